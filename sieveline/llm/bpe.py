@@ -11,19 +11,19 @@ independent, so ties, repeated rows and empty tables need no rule. Long texts go
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import python_batches
+from .tools import no_collector, python_batches
 
 #: Words, and pretokens, whose encoding a worker remembers.
 CACHE_WORDS = 400_000
@@ -32,6 +32,11 @@ CACHE_WORDS = 400_000
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Widths of ids and of positions within packed numbers, and the first character that isn't in a Latin block.
+PAIR, PLACE = 20, 40
+PLACES = (1 << PLACE) - 1
+LATIN_END = "\u0250"
+
 _separators = re.compile(f"[{WHITE_SPACE}]+")
 _odd_controls = re.compile("[\x1c-\x1f]")
 
@@ -60,6 +65,17 @@ class Memo(dict):
             self[word] = value
 
 
+    def keep_all(self, values: dict) -> None:
+        """``keep`` for many words at once."""
+        if len(self) + len(values) <= CACHE_WORDS:
+            self.update({k: v for k, v in values.items() if len(k) <= 64})
+        else:
+            self.missed += len(values)
+            if self.missed >= CACHE_WORDS * 4:
+                self.clear()
+                self.missed = 0
+
+
 class Vocabulary:
     """A BPE tokenizer file of the kind "word ends marked by a suffix"."""
 
@@ -71,10 +87,12 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # pair, as left id << PAIR | right id, to rank
+        self.wholes: list[int] = []  # rank to the merged id
         for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            x, y = pair if isinstance(pair, list) else pair.split(" ")
+            self.ranks.setdefault(self.ids[x] << PAIR | self.ids[y], rank)
+            self.wholes.append(self.ids[x + y])
         letters = byte_letters()
         self.first = [self.ids[c] for c in letters]
         self.last = [self.ids[c + self.suffix] for c in letters]
@@ -84,49 +102,60 @@ class Vocabulary:
 
     def merge(self, pretoken: bytes) -> list[int]:
         """Ids of one pretoken."""
-        sym = [self.first[b] for b in pretoken]
-        sym[-1] = self.last[pretoken[-1]]
+        first, rank_of, wholes = self.first, self.ranks.get, self.wholes
+        sym = [first[b] for b in pretoken]
         n = len(sym)
-        if n == 1:
+        sym[-1] = self.last[pretoken[-1]]
+        # an entry is rank << PLACE | position: the least rank first, and the leftmost of equal ones
+        queue = []
+        left = sym[0]
+        for i in range(1, n):
+            right = sym[i]
+            if (rank := rank_of(left << PAIR | right)) is not None:
+                queue.append(rank << PLACE | i - 1)
+            left = right
+        if not queue:
             return sym
-        merges = self.merges
+        heapify(queue)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if found := merges.get((sym[i], sym[i + 1])):
-                queue.append((found[0], i, sym[i], sym[i + 1], found[1]))
-        heapq.heapify(queue)
         while queue:
-            _, i, a, b, whole = heapq.heappop(queue)
+            entry = heappop(queue)
+            rank, i = entry >> PLACE, entry & PLACES
             j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+            if j >= n or sym[i] < 0 or rank_of(sym[i] << PAIR | sym[j]) != rank:
                 continue  # stale: one of the two was merged meanwhile
-            sym[i], sym[j] = whole, -1
+            whole = sym[i] = wholes[rank]
+            sym[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((whole, sym[k])):
-                    heapq.heappush(queue, (found[0], i, whole, sym[k], found[1]))
+                if (rank := rank_of(whole << PAIR | sym[k])) is not None:
+                    heappush(queue, rank << PLACE | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((sym[h], whole))):
-                heapq.heappush(queue, (found[0], h, sym[h], whole, found[1]))
+            if h >= 0 and (rank := rank_of(sym[h] << PAIR | whole)) is not None:
+                heappush(queue, rank << PLACE | h)
         return [s for s in sym if s >= 0]
 
+    def _pretoken(self, p: str) -> list[int]:
+        if (ids := self._known.get(p)) is None:
+            ids = self.merge(p.encode("utf-8", "surrogatepass"))
+            self._known.keep(p, ids)
+        return ids
+
+    def split(self, word: str) -> list[str]:
+        """Pretokens of a normalised run of characters without white space."""
+        if max(word) < LATIN_END:  # letters are the same in every Unicode version
+            if word.isalpha():
+                return [word]
+            if (stem := word[:-1]).isalpha() and not word[-1].isalnum():
+                return [stem, word[-1]]
+        return self._pretokens.findall(word)
+
     def word(self, word: str) -> list[int]:
         """Ids of a normalised run of characters without white space."""
-        known = self._known
-        if (ids := known.get(word)) is not None:
-            return ids
-        if word.isascii() and word.isalpha():
-            ids = self.merge(word.encode())
-            known.keep(word, ids)
-            return ids
         out: list[int] = []
-        for p in self._pretokens.findall(word):
-            if (ids := known.get(p)) is None:
-                ids = self.merge(p.encode("utf-8", "surrogatepass"))
-                known.keep(p, ids)
-            out += ids
+        for p in self.split(word):
+            out += self._pretoken(p)
         return out
 
     def pieces(self, text: str) -> Iterator[tuple[list[str], int | None]]:
@@ -217,10 +246,11 @@ def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             counts, ids, decoded = [], [], []
             for t in b.column(1).to_pylist():
                 parts = []
-                for words, special in vocab.pieces(t or ""):
-                    parts += map(look, words)
-                    if special is not None:
-                        parts.append((1, str(special), vocab.strings[special]))
+                with no_collector():
+                    for words, special in vocab.pieces(t or ""):
+                        parts += map(look, words)
+                        if special is not None:
+                            parts.append((1, str(special), vocab.strings[special]))
                 counts.append(sum([p[0] for p in parts]))
                 ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())

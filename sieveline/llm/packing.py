@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, Vocabulary, vocabulary
+from .bpe import vocabulary
+from .bpe_batch import BatchEncoder
 from .tools import cut, python_batches
 
 CAPACITY = 4096
@@ -149,29 +150,6 @@ def stream_cuts(plan: Plan, position: int, length: int) -> list[tuple[int, int,
     return out
 
 
-class _IdBytes(Memo):
-    """Word to its ids as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, vocab: Vocabulary) -> None:
-        super().__init__()
-        self.vocab = vocab
-
-    def __missing__(self, word: str) -> bytes:
-        out = np.array(self.vocab.word(word), "<u4").tobytes()
-        self.keep(word, out)
-        return out
-
-
-def _token_bytes(vocab: Vocabulary, cache: _IdBytes, text: str | None, end: bytes) -> bytes:
-    parts: list[bytes] = []
-    for words, special in vocab.pieces(text or ""):
-        parts += map(cache.__getitem__, words)
-        if special is not None:
-            parts.append(np.array([special], "<u4").tobytes())
-    parts.append(end)
-    return b"".join(parts)
-
-
 _PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -180,12 +158,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(tokenizer)
-        cache, close, width = _IdBytes(vocab), np.array([end], "<u4").tobytes(), 4 * capacity
+        encoder, close, width = BatchEncoder(vocabulary(tokenizer)), end.to_bytes(4, "little"), 4 * capacity
         for b in batches:
             rows = []
-            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = _token_bytes(vocab, cache, text, close)
+            for doc, row, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist()), strict=True):
+                data = ids + close
                 for at in range(0, len(data), width):
                     piece = data[at : at + width]
                     rows.append((doc, row, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4))
@@ -251,12 +228,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, _ = shared.value
-        vocab = vocabulary(tokenizer)
-        cache, close = _IdBytes(vocab), np.array([end], "<u4").tobytes()
+        encoder, close = BatchEncoder(vocabulary(tokenizer)), end.to_bytes(4, "little")
         for b in batches:
             rows = []
             for doc, text, start, length, total, position in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = _token_bytes(vocab, cache, text, close)
+                data = encoder.encode([text])[0] + close
                 for at, n, sequence, offset in stream_cuts(plan, position, length):
                     rows.append((doc, start + at, n, zlib.crc32(data[4 * (start + at) : 4 * (start + at + n)]), total, sequence, offset))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [()] * 7)], names=columns)
