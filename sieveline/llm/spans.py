@@ -70,8 +70,8 @@ def covered(docs: DataFrame, units: Units) -> DataFrame:
     """__s_id, __s_text, __s_gone: ranks of the units to remove, for documents that have any."""
     every = cut(runs(docs, units))
     place = F.struct("__s_id", "__s_text", "at")
-    # rows that repeat doc_id and text share their places, so the first and last place tell whether a run occurs elsewhere
-    found = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final")
+    # a run that occurs only in rows that repeat doc_id and text is found too, but all its places are the first
+    found = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     found = cut(found.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"))
     later = every.join(found, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~place.eqNullSafe(F.col("first")))
     hit = F.transform(F.sequence(F.lit(0), F.lit(units.run - 1)), lambda k: F.col("at") + k)
