@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,8 +33,8 @@ def words(values: tuple[str, ...] | list[str]) -> Column:
 
 def seed_matches(text: Column | str, stems: tuple[str, ...] | list[str] = SEED_STEMS) -> Column:
     """Sorted stems that a token of the text starts with."""
-    tokens = F.array_distinct(F.split(F.lower(col(text)), r"\s+"))
-    return F.sort_array(F.filter(words(stems), lambda s: F.exists(tokens, lambda t: F.startswith(t, s))))
+    low = F.lower(col(text))
+    return F.array_compact(F.array(*[F.when(low.rlike(rf"(?:^|\s){re.escape(s)}"), F.lit(s)) for s in sorted(stems)]))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -1,8 +1,9 @@
-"""Price series by symbol and order column (WN8-WN14). Recurrences fold over a symbol's ordered array; the rest are windows."""
+"""Price series by symbol and order column (WN8-WN14). Recurrences run per symbol in pandas; the rest are windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,44 +13,49 @@ def moving_average(df: DataFrame, n: int, name: str, order: list[str], value: st
     return df.withColumn(name, F.when(F.row_number().over(w) >= n, F.avg(value).over(w.rowsBetween(1 - n, 0))))
 
 
-def ema(values: Column, n: int) -> Column:
+def ema(values: list[float], n: int) -> list[float]:
     """Exponential mean seeded with the first value."""
-    alpha = 2 / (n + 1)
-    last = lambda a: F.when(F.size(a) == 0, F.lit(None).cast("double")).otherwise(F.get(a, F.size(a) - 1))
-    return F.aggregate(values, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(x * alpha + last(a) * (1 - alpha), x))))
+    alpha, out = 2 / (n + 1), []
+    for x in values:
+        out.append(x if not out else x * alpha + out[-1] * (1 - alpha))
+    return out
 
 
-def rsi(values: Column, n: int = 14) -> Column:
+def rsi(values: list[float], n: int = 14) -> list[float | None]:
     """Wilder's index; null for the first n values, 100 when the mean loss is 0."""
-    change = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values) - 1, F.lit(1))), lambda i: F.get(values, i) - F.get(values, i - 1))
-    mean = lambda part: F.aggregate(F.slice(part, 1, n), F.lit(0.0), lambda s, v: s + v) / n
-    gain, loss = F.transform(change, lambda d: F.greatest(d, F.lit(0.0))), F.transform(change, lambda d: F.greatest(-d, F.lit(0.0)))
-    index = lambda g, l: F.when(l == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + g / l))  # noqa: E731, E741
-    start = F.struct(mean(gain).alias("g"), mean(loss).alias("l"), F.array(index(mean(gain), mean(loss))).alias("out"))
-    pairs = F.slice(F.arrays_zip(gain.alias("g"), loss.alias("l")), n + 1, F.greatest(F.size(values), F.lit(1)))
-
-    def step(a: Column, x: Column) -> Column:
-        g, l = (a["g"] * (n - 1) + x["g"]) / n, (a["l"] * (n - 1) + x["l"]) / n  # noqa: E741
-        return F.struct(g.alias("g"), l.alias("l"), F.concat(a["out"], F.array(index(g, l))).alias("out"))
-
-    folded = F.aggregate(pairs, start, step, lambda a: a["out"])
-    blank = F.array_repeat(F.lit(None).cast("double"), n)
-    return F.when(F.size(values) <= n, F.array_repeat(F.lit(None).cast("double"), F.size(values))).otherwise(F.concat(blank, folded))
-
-
-def gathered(df: DataFrame, order: list[str], value: str = "c", key: str = "symbol") -> DataFrame:
-    """key, v (values in order), o (order columns alike). A symbol's series is one array: a few thousand values."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v"))))
-    return df.groupBy(key).agg(rows.alias("r")).select(key, F.transform("r", lambda x: x["__v"]).alias("v"), F.transform("r", lambda x: F.struct(*[x[o].alias(o) for o in order])).alias("o"))
+    out: list[float | None] = [None] * min(n, len(values))
+    gain = loss = 0.0
+    for i in range(1, len(values)):
+        up, down = max(values[i] - values[i - 1], 0.0), max(values[i - 1] - values[i], 0.0)
+        if i <= n:
+            gain, loss = gain + up / n, loss + down / n
+        else:
+            gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
+        if i >= n:
+            out.append(100.0 if loss == 0 else 100 - 100 / (1 + gain / loss))
+    return out
 
 
 def indicators(df: DataFrame, order: list[str], value: str = "c", key: str = "symbol") -> DataFrame:
-    """key, order columns, ema12, ema26, macd, macd_signal, macd_hist, rsi14."""
-    g = gathered(df, order, value, key).withColumn("e12", ema(F.col("v"), 12)).withColumn("e26", ema(F.col("v"), 26))
-    g = g.withColumn("line", F.zip_with("e12", "e26", lambda a, b: a - b)).withColumn("sig", ema(F.col("line"), 9)).withColumn("rsi", rsi(F.col("v")))
-    z = g.select(key, F.posexplode(F.arrays_zip("o", "v", "e12", "e26", "line", "sig", "rsi")).alias("i", "x"))
-    late = lambda c: F.when(F.col("i") >= 25, c)
-    return z.select(key, *[F.col(f"x.o.{o}").alias(o) for o in order], F.col("x.e12").alias("ema12"), F.col("x.e26").alias("ema26"), late(F.col("x.line")).alias("macd"), late(F.col("x.sig")).alias("macd_signal"), late(F.col("x.line") - F.col("x.sig")).alias("macd_hist"), F.col("x.rsi").alias("rsi14"))
+    """key, order columns, ema12, ema26, macd, macd_signal, macd_hist, rsi14; MACD is null before bar 26.
+
+    The recurrences run over one symbol's ordered series in a grouped pandas function, in time linear in its length.
+    """
+    rows = df.select(key, *order, F.col(value).cast("double").alias("v"))
+    names = ("ema12", "ema26", "macd", "macd_signal", "macd_hist", "rsi14")
+    schema = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes if n != "v"] + [f"{n} double" for n in names])
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(order, ignore_index=True)
+        v = x.pop("v").tolist()
+        short, long = ema(v, 12), ema(v, 26)
+        line = [a - b for a, b in zip(short, long, strict=True)]
+        signal = ema(line, 9)
+        late = [i >= 25 for i in range(len(v))]
+        made = (short, long, [m if ok else None for m, ok in zip(line, late, strict=True)], [m if ok else None for m, ok in zip(signal, late, strict=True)], [m - s if ok else None for m, s, ok in zip(line, signal, late, strict=True)], rsi(v))
+        return x.assign(**{n: pd.Series(m, dtype="float64") for n, m in zip(names, made, strict=True)})
+
+    return rows.groupBy(key).applyInPandas(run, schema)
 
 
 def technicals(df: DataFrame, order: list[str], value: str = "c", key: str = "symbol") -> DataFrame:
