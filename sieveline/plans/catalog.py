@@ -442,3 +442,39 @@ def fu5_fused_profiles(spark: SparkSession, d: str) -> DataFrame:
     return discourse.fuse_profiles(parts, model)
 
 
+
+
+# --- families, fusion formulas, label sets
+
+
+@query(f"WITH {_AXES}, p AS (SELECT symbol, axis_id % 3 AS family_id, sum(raw * greatest(0.03, exposure) * (0.25 + 0.75 * 0.5)) / sum(greatest(0.03, exposure) * (0.25 + 0.75 * 0.5)) AS raw, least(1.0, sum(exposure)) AS exposure, count(*) AS dims, sum(posts)::BIGINT AS posts FROM x GROUP BY 1, 2) SELECT symbol, family_id, round(raw, 8) AS raw, round(exposure, 8) AS exposure, dims, posts FROM p")
+def ag9_company_families(spark: SparkSession, d: str) -> DataFrame:
+    axes = b.axis_scores(spark, d).withColumn("confidence", F.lit(0.5))
+    families = axes.select("axis_id", (F.col("axis_id") % 3).alias("family_id")).distinct()
+    out = discourse.company_families(axes, families)
+    return out.select("symbol", "family_id", F.round("raw", 8).alias("raw"), F.round("exposure", 8).alias("exposure"), "dims", "posts")
+
+
+@query("SELECT o_orderkey, CASE WHEN n = 0 OR c = 0 THEN 0.0 ELSE round(least(1.0, c * least(log10(n) / 2, 1.0) * (0.4 + 0.6 * m / 3)), 4) END::DOUBLE AS confidence FROM (SELECT o_orderkey, o_orderkey % 150 AS n, (o_orderkey % 11) / 10.0::DOUBLE AS c, o_orderkey % 5 AS m FROM orders)")
+def fu2_profile_confidence(spark: SparkSession, d: str) -> DataFrame:
+    o = b.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 150).alias("n"), ((F.col("o_orderkey") % 11) / 10.0).alias("c"), (F.col("o_orderkey") % 5).alias("m"))
+    return o.select("o_orderkey", F.round(rules.profile_confidence("c", "n", "m"), 4).alias("confidence"))
+
+
+@query(f"WITH {MEMBERS}, s AS (SELECT category, list(ticker) AS t FROM members GROUP BY category) SELECT x.category AS a, y.category AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 4) AS likeness FROM s x JOIN s y ON x.category < y.category")
+def ev4_label_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    s = b.members(spark, d).groupBy("category").agg(F.collect_set("ticker").alias("t"))
+    x, y = s.select(F.col("category").alias("a"), F.col("t").alias("ta")), s.select(F.col("category").alias("b"), F.col("t").alias("tb"))
+    # one row for each of the few categories
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(statistics.jaccard(F.col("ta"), F.col("tb")), 4).alias("likeness"))
+
+
+@query("SELECT p_brand AS category, p_type AS label, count(*) AS n FROM part GROUP BY ALL")
+def ag3_value_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return b.read(spark, d, "part").groupBy(F.col("p_brand").alias("category"), F.col("p_type").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(CASE WHEN l_linenumber > 2 THEN l_quantity END), 6) AS mean FROM lineitem WHERE l_linenumber > 2 GROUP BY 1")
+def ag13_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("l_linenumber") > 2, F.col("l_discount"))
+    return b.read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(statistics.weighted_mean(value, F.col("l_quantity")), 6).alias("mean"))
