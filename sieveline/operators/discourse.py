@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -10,6 +10,11 @@ from ..functions.text import clamp
 from .statistics import top_k
 
 
+def exact_mean(column: str) -> Column:
+    """Mean of values of four decimals, summed exactly, so that it doesn't depend on the order of rows."""
+    return F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count(column)
+
+
 def company_social(posts: DataFrame) -> DataFrame:
     """Counts, distinct authors, mean sentiment and label shares for each symbol; the mean is over rounded scores."""
     share = lambda label: F.round(F.count_if(F.col("sentiment_label") == label) / F.count("*"), 4)
@@ -17,7 +22,7 @@ def company_social(posts: DataFrame) -> DataFrame:
         F.count("*").alias("posts_count"),
         F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("text_posts_count"),
         F.count_distinct(F.nullif("username", F.lit(""))).alias("authors_count"),
-        F.round(F.avg("sentiment_score"), 4).alias("avg_sentiment"),
+        F.round(exact_mean("sentiment_score"), 4).alias("avg_sentiment"),
         share("positive").alias("positive_share"), share("negative").alias("negative_share"), share("neutral").alias("neutral_share"),
     )
 
@@ -79,7 +84,7 @@ def frame_sentiment(frames: DataFrame, posts: DataFrame) -> DataFrame:
     """symbol, label ⋈ symbol, text, sentiment_score: mean over the posts that contain any word of the label."""
     words = F.filter(F.split(F.lower("label"), r"\s+"), lambda w: w != "")
     joined = frames.select("symbol", "label", words.alias("words")).join(posts, "symbol").where(F.exists("words", lambda w: F.contains(F.lower("text"), w)))
-    return joined.groupBy("symbol", "label").agg(F.count("*").alias("n_posts"), F.round(F.avg("sentiment_score"), 4).alias("sentiment"))
+    return joined.groupBy("symbol", "label").agg(F.count("*").alias("n_posts"), F.round(exact_mean("sentiment_score"), 4).alias("sentiment"))
 
 
 def fuse_profiles(filters: dict[str, DataFrame], model: DataFrame) -> DataFrame:

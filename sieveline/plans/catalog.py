@@ -193,12 +193,12 @@ def cl4_lexicon_sentiment(spark: SparkSession, d: str) -> DataFrame:
 # --- aggregates
 
 
-@query(f"{SENTIMENT} SELECT symbol, count(*) AS posts_count, count(*) FILTER (trim(text) <> '') AS text_posts_count, count(DISTINCT username) AS authors_count, round(avg(sentiment_score), 4) AS avg_sentiment, round(count(*) FILTER (sentiment_label = 'positive') / count(*), 4) AS positive_share, round(count(*) FILTER (sentiment_label = 'negative') / count(*), 4) AS negative_share, round(count(*) FILTER (sentiment_label = 'neutral') / count(*), 4) AS neutral_share FROM scored GROUP BY symbol")
+@query(f"{SENTIMENT} SELECT symbol, count(*) AS posts_count, count(*) FILTER (trim(text) <> '') AS text_posts_count, count(DISTINCT username) AS authors_count, round(sum(sentiment_score::DECIMAL(18,4))::DOUBLE / count(sentiment_score), 4) AS avg_sentiment, round(count(*) FILTER (sentiment_label = 'positive') / count(*), 4) AS positive_share, round(count(*) FILTER (sentiment_label = 'negative') / count(*), 4) AS negative_share, round(count(*) FILTER (sentiment_label = 'neutral') / count(*), 4) AS neutral_share FROM scored GROUP BY symbol")
 def ag1_company_social(spark: SparkSession, d: str) -> DataFrame:
     return discourse.company_social(_scored_posts(spark, d))
 
 
-@query(f"{SENTIMENT}, a AS (SELECT symbol, count(*) AS n, count(DISTINCT username) AS u, round(avg(sentiment_score), 4) AS s, round(count(*) FILTER (sentiment_label = 'positive') / count(*), 4) AS p, round(count(*) FILTER (sentiment_label = 'negative') / count(*), 4) AS g FROM scored GROUP BY symbol) SELECT symbol, round(4 * p * g, 4) AS controversy_score, round(least(1.0, ln(1 + n) / ln(41)), 4) AS coverage_score, round(least(1.0, 3 * u / n), 4) AS author_diversity_score, round(100 * (0.45 * (s + 1) / 2 + 0.25 * (1 - 4 * p * g) + 0.20 * 0.5 + 0.10 * least(1.0, ln(1 + n) / ln(41))), 2) AS custom_esg_proxy_score FROM a")
+@query(f"{SENTIMENT}, a AS (SELECT symbol, count(*) AS n, count(DISTINCT username) AS u, round(sum(sentiment_score::DECIMAL(18,4))::DOUBLE / count(sentiment_score), 4) AS s, round(count(*) FILTER (sentiment_label = 'positive') / count(*), 4) AS p, round(count(*) FILTER (sentiment_label = 'negative') / count(*), 4) AS g FROM scored GROUP BY symbol) SELECT symbol, round(4 * p * g, 4) AS controversy_score, round(least(1.0, ln(1 + n) / ln(41)), 4) AS coverage_score, round(least(1.0, 3 * u / n), 4) AS author_diversity_score, round(100 * (0.45 * (s + 1) / 2 + 0.25 * (1 - 4 * p * g) + 0.20 * 0.5 + 0.10 * least(1.0, ln(1 + n) / ln(41))), 2) AS custom_esg_proxy_score FROM a")
 def ag2_social_scores(spark: SparkSession, d: str) -> DataFrame:
     c = discourse.company_social(_scored_posts(spark, d)).withColumn("sector_norm_prior", F.lit(0.5))
     return discourse.social_scores(c).select("symbol", "controversy_score", "coverage_score", "author_diversity_score", "custom_esg_proxy_score")
@@ -237,7 +237,7 @@ def ag19_merge_report(spark: SparkSession, d: str) -> DataFrame:
     return discourse.merge_report(p.where("p_size < 25"), p)
 
 
-@query(f"{SENTIMENT}, f AS (SELECT DISTINCT symbol, unnest(['that which', 'keit']) AS label FROM scored) SELECT symbol, label, count(*) AS n_posts, round(avg(sentiment_score), 4) AS sentiment FROM f JOIN scored USING (symbol) WHERE contains(lower(text), CASE label WHEN 'keit' THEN 'keit' ELSE 'that' END) OR (label <> 'keit' AND contains(lower(text), 'which')) GROUP BY ALL")
+@query(f"{SENTIMENT}, f AS (SELECT DISTINCT symbol, unnest(['that which', 'keit']) AS label FROM scored) SELECT symbol, label, count(*) AS n_posts, round(sum(sentiment_score::DECIMAL(18,4))::DOUBLE / count(sentiment_score), 4) AS sentiment FROM f JOIN scored USING (symbol) WHERE contains(lower(text), CASE label WHEN 'keit' THEN 'keit' ELSE 'that' END) OR (label <> 'keit' AND contains(lower(text), 'which')) GROUP BY ALL")
 def ag20_frame_sentiment(spark: SparkSession, d: str) -> DataFrame:
     p = _scored_posts(spark, d)
     frames = p.select("symbol").distinct().select("symbol", F.explode(F.array(F.lit("that which"), F.lit("keit"))).alias("label"))
