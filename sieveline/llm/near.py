@@ -16,12 +16,13 @@ the threshold shares no band with probability (1 - t**ROWS)**BANDS, 8e-7 at 0.85
 
 Nulls: a null text counts as empty; empty texts, and texts without words, link with nothing. Rows with a null doc_id have no
 component and are kept. Rows that repeat a doc_id are each reported; a class is known by its smallest doc_id. Texts of any
-length are read whole. Only doc_id and text are read; an empty table gives no rows.
+length are read whole. Other signatures (``Scheme``) are banded, estimated and verified alike. Only doc_id and text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -70,10 +71,32 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return np.take_along_axis(j, likely.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def _sketch_likeness(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    sa, sb = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
+    return joint_estimate(sa, sb, n_a, n_b)
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """A signature: its bytes from a set of hashes, how it is banded, and the likeness two of them (with set sizes) suggest."""
+
+    sign: Callable[[np.ndarray], bytes]
+    likeness: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], np.ndarray]
+    bands: int
+    band_bytes: int
+
+
+def _sketch_bytes(elements: np.ndarray) -> bytes:
+    return sketch(elements).tobytes()
+
+
+SETSKETCH = Scheme(_sketch_bytes, _sketch_likeness, BANDS, 2 * ROWS)
+
+
 _SIGNED = "doc_id long, row long, n_shingles long, k1 long, k2 long, sketch binary"
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, scheme: Scheme = SETSKETCH) -> DataFrame:
     """doc_id, row, n_shingles, k1 and k2 (128-bit key of the set), sketch of every document; key and sketch null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +107,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 if len(s):
                     k1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    sketches.append(sketch(s).tobytes())
+                    sketches.append(scheme.sign(s))
                 else:
                     k1.append(None), k2.append(None), sketches.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.binary())], [c.split()[0] for c in _SIGNED.split(", ")])
@@ -131,16 +154,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
-def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
+def estimated(pairs: DataFrame, threshold: float, scheme: Scheme = SETSKETCH) -> DataFrame:
     """The rows (a, b, sketches sa and sb, sizes na and nb) whose estimate may stand for a likeness of ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sa, sb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
             na, nb = (b.column(i).to_numpy().astype(float) for i in (4, 5))
-            good = pa.array(joint_estimate(sa, sb, na, nb) >= threshold - MARGIN)
+            good = pa.array(scheme.likeness(b.column(2).to_pylist(), b.column(3).to_pylist(), na, nb) >= threshold - MARGIN)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
     size = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
@@ -225,15 +247,15 @@ def exact_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent:
     return rows.groupBy("band", "left", "right").applyInPandas(links, "a long, b long")
 
 
-def near_classes(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_classes(docs: DataFrame, percent: int = 85, scheme: Scheme = SETSKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row (hash of the text) of every document; documents link at a likeness of ``percent`` or more."""
     threshold = percent / 100
-    every = cut(signed(docs))
+    every = cut(signed(docs, scheme))
     some = every.where("doc_id is not null and k1 is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
-    width = 2 * ROWS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * width, width)) for i in range(BANDS)])
+    width = scheme.band_bytes
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * width, width)) for i in range(scheme.bands)])
     keyed = classes.select("rep", "copies", "size", F.explode(bands).alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("all"), F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("hub")).where(F.col("all") > 1)
     shared = cut(shared.select(F.col("band").alias("s"), "all", (-F.col("hub.minus")).alias("hub")))
@@ -244,7 +266,7 @@ def near_classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     spokes = cut(members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     one = own.select(F.col("r").alias("x"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     two = own.select(F.col("r").alias("y"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    likely = estimated(spokes.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")), threshold)
+    likely = estimated(spokes.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")), threshold, scheme)
     links = cut(verified(cut(likely), sets, percent))
     found = cut(components(links))
     more = cut(exact_links(members, sets, found, percent))

@@ -176,6 +176,12 @@ def test_near_classes_equal_all_pairs(spark, documents):
         assert got == {i: (n, c, i == c) for i, (n, c) in plain_components(rows).items()}
 
 
+def test_near_documents_by_minhash_equal_all_pairs(spark, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.where("doc_id < 300").collect()] + [(9000 + i, " ".join(f"v{k}" for k in range(90) if k != 7 * i)) for i in range(12)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in fingerprints.near_documents(table(spark, rows)).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in plain_components(rows, 80).items()}
+
+
 def test_near_classes_odd_rows(spark, odd):
     rows = near.near_classes(odd).collect()
     assert len(rows) == 10 and next(r for r in rows if r["doc_id"] is None)["kept"] and {r["component_id"] for r in rows if r["doc_id"] in (4, 5) and r["n_shingles"] > 100} == {4}
