@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +9,9 @@ from ..functions import rules, text
 from ..operators import discourse, identity, models, portfolio, series, statistics
 from ..sources import files
 from . import bindings as b
+from .registry import oracle_sql, queries, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
+__all__ = ["oracle_sql", "queries"]
 
 def _terms(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
@@ -478,3 +456,6 @@ def ag3_value_frequencies(spark: SparkSession, d: str) -> DataFrame:
 def ag13_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("l_linenumber") > 2, F.col("l_discount"))
     return b.read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(statistics.weighted_mean(value, F.col("l_quantity")), 6).alias("mean"))
+
+
+from . import records_catalog  # noqa: E402, F401  registers its queries beside these
