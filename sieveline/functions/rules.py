@@ -32,9 +32,13 @@ def words(values: tuple[str, ...] | list[str]) -> Column:
 
 
 def seed_matches(text: Column | str, stems: tuple[str, ...] | list[str] = SEED_STEMS) -> Column:
-    """Sorted stems that a token of the text starts with."""
-    low = F.lower(col(text))
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"(?:^|\s){re.escape(s)}"), F.lit(s)) for s in sorted(stems)]))
+    """Sorted stems that a token of the text starts with, in one pass: the longest stem at a token, and those that begin it."""
+    stems, none = sorted(stems, key=lambda s: (-len(s), s)), F.array().cast("array<string>")
+    pattern = rf"(?:^|\s)({'|'.join(map(re.escape, stems))})"
+    found = F.array_distinct(F.coalesce(F.regexp_extract_all(F.lower(col(text)), F.lit(pattern), F.lit(1)), none))
+    within = {s: [t for t in stems if t != s and s.startswith(t)] for s in stems}
+    more = [F.when(F.array_contains(found, s), words(t)).otherwise(none) for s, t in within.items() if t]
+    return F.array_sort(F.array_distinct(F.concat(found, *more)) if more else found)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -45,3 +45,9 @@ def test_fusion_formulas(spark):
     frames = F.from_json(F.lit('[{"label":"A","s":1},{"label":" a ","s":2},{"label":""},{"label":"B","s":3}]'), "array<struct<label:string,s:int>>")
     assert [f["s"] for f in one(spark, rules.merge_frames(frames), t="x")] == [1, 3]
     assert one(spark, rules.method_agreement([F.lit(True), F.lit(False), F.lit(True)], F.lit(True)), t="x") == 0.5
+
+
+def test_seed_matches_of_stems_within_stems(spark):
+    rows = spark.createDataFrame([("A sustainable VALUE valued",), ("unsustain sus", ), (None,), ("",)], "t string")
+    got = [r[0] for r in rows.select(rules.seed_matches("t", ("value", "sustain", "sus", "val"))).collect()]
+    assert got == [["sus", "sustain", "val", "value"], ["sus"], [], []]
