@@ -281,6 +281,33 @@ def test_quality_base_and_model(spark, documents, odd):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_bands_reject_labelled_junk(spark, sf_dir, documents):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    rows = [r for r in quality.judge(documents).join(labels, "doc_id").collect() if not r["base_failed"]]
+    junk, clean = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(junk) > 10 and sum(junk) < 0.1 * len(junk) and sum(clean) > 0.98 * len(clean)
+
+
+def test_word_perplexity_equals_a_plain_one(spark, documents, odd, monkeypatch):
+    monkeypatch.setattr(quality, "HOT", 2000)  # so that most words are dealt and joined
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 100_000)
+    for df in (documents.where("doc_id < 300"), odd):
+        rows = [(r["doc_id"], r["lang"], [w for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) if re.search(r"[a-z0-9]|[^\x00-\x7f]", w)]) for r in df.collect()]
+        counts = collections.defaultdict(collections.Counter)
+        for _, lang, w in rows:
+            counts[lang].update(w)
+        p = {}
+        for lang, c in counts.items():
+            n = [sum(v == k for v in c.values()) for k in range(5)]
+            y = n[1] / max(n[1] + 2 * n[2], 1)
+            d = [0.0] + [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k + 1] / max(n[k], 1))) if n[k] else k * 0.5 for k in (1, 2, 3)]
+            back = sum(d[min(v, 3)] for v in c.values()) / max(sum(c.values()), 1) / (len(c) + 1)
+            p |= {(lang, w): (v - 1 - d[min(v - 1, 3)]) / max(sum(c.values()) - 1, 1) + back for w, v in c.items()}
+        want = sorted((i or 0, round(-np.mean([np.log(p[lang, x]) for x in w]), 4) if w else -1) for i, lang, w in rows)
+        got = sorted((r["doc_id"] or 0, -1 if r["log_words"] is None else r["log_words"]) for r in quality.perplexities(df).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-3)
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = table(spark, [(1, "abracadabra abracadabra simsalabim"), (2, "hocus pocus abracadabra")])
     model = quality.kneser_ney(quality.count_grams(df)).collect()
