@@ -2,8 +2,7 @@
 
 A modified Kneser-Ney model over the bytes of the texts (order 4, ASCII lower-cased, white space as one blank each) is
 counted by Spark over all documents, for each language. Probabilities of the n-grams seen are stored in two arrays sorted
-by a hash of SLOT_BITS bits: at most 2**SLOT_BITS entries, so the broadcast has a size bound whatever the corpus (n-grams
-that share a slot share their mean). A document's perplexity is that of its bytes; each language has a lower and an upper
+by language and n-gram, 12 bytes for each distinct n-gram of a language; none share an entry. A document's perplexity is that of its bytes; each language has a lower and an upper
 bound, FENCE interquartile ranges outside the quartiles of its documents' perplexities, and documents beyond them are rejected.
 
 Above the bytes, whole words are counted too (ASCII lower-cased; those without a letter or digit are left out, so that separators
@@ -31,7 +30,6 @@ from .hashing import WHITE, document_word_hashes, encoded, mix, run_hashes, slic
 from .tools import cut, python_batches
 
 ORDER = 4
-SLOT_BITS = 22
 #: Distinct n-grams that a task holds before it hands on its counts.
 HELD_GRAMS = 1 << 20
 #: Perplexity bands: so many interquartile ranges of its logarithm beyond the quartiles.
@@ -70,9 +68,9 @@ def grams(texts: list[bytes]) -> np.ndarray:
 
 
 def slots(lang: str | None, gram: np.ndarray) -> np.ndarray:
-    """Hash of SLOT_BITS bits of language and n-gram."""
-    seed = np.uint64((zlib.crc32((lang or "").encode()) + 1 + (lang is None)) << 32)
-    return (mix(gram.astype(np.uint64) ^ seed) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+    """Hash of the language (31 bits) before the whole n-gram."""
+    seed = (zlib.crc32((lang or "").encode()) + 1 + (lang is None)) & 0x7FFFFFFF
+    return gram.astype(np.int64) | np.int64(seed << 32)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 keys, n = merged(parts)
                 for at in range(0, len(keys), 50_000):
                     k = keys[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(slots(lang, k).astype(np.int32)), pa.array(k.astype(np.int64)), pa.array(n[at : at + 50_000])], ["lang", "slot", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(slots(lang, k)), pa.array(k.astype(np.int64)), pa.array(n[at : at + 50_000])], ["lang", "slot", "gram", "n"])
             held.clear()
 
         for b in batches:
@@ -110,7 +108,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         yield from out()
 
     python_batches(docs.sparkSession)
-    each = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, slot int, gram long, n long")
+    each = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, slot long, gram long, n long")
     return each.groupBy("lang", "slot", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -154,11 +152,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def stored_model(docs: DataFrame) -> Broadcast:
-    """Sorted slots (uint32) and their log probabilities (float32), at most 2**SLOT_BITS of each."""
+    """Sorted slots (int64) and their log probabilities (float32), one for each n-gram of a language."""
     counts = cut(count_grams(docs))
     model = kneser_ney(counts)
     by_slot = model.groupBy("slot").agg((F.sum(F.col("logp") * F.col("n")) / F.sum("n")).cast("float").alias("logp")).toArrow()
-    at, logp = by_slot.column("slot").to_numpy().astype(np.uint32), by_slot.column("logp").to_numpy().astype(np.float32)
+    at, logp = by_slot.column("slot").to_numpy(), by_slot.column("logp").to_numpy().astype(np.float32)
     order = np.argsort(at)
     return docs.sparkSession.sparkContext.broadcast((at[order], logp[order]))
 

@@ -320,6 +320,14 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(0 < v <= 1.0001 for v in total.values())
 
 
+def test_model_keeps_every_n_gram_apart(spark):
+    random.seed(8)
+    texts = ["".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(4000)) for _ in range(6)]
+    df = table(spark, enumerate(texts)).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3))
+    distinct = {(i % 3, g) for i, t in enumerate(texts) for g in quality.grams([t.encode()]).tolist()}
+    assert len(distinct) > 30_000 and len(quality.stored_model(df).value[0]) == len(distinct)
+
+
 # 10
 
 
