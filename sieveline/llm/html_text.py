@@ -2,7 +2,7 @@
 
 The page becomes a tree of block elements; text directly in one is a block. Each block passes points for its length and
 its commas to the elements around it, the more the nearer, and an element's score is discounted by its share of linked text. The best
-container and those siblings that score well beside it are kept, without menus, headers, footers, sidebars, notices,
+container, or the article or main around it, and those siblings that score well or are text beside it are kept, without menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments inside them. Character references are decoded, white space within a
 block (line-break tags included) becomes one blank, blocks are trimmed and joined in page order by a line feed.
 
@@ -32,6 +32,7 @@ RAW = frozenset("iframe noembed noframes script style textarea title xmp".split(
 DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe menu nav noscript object select svg template video".split())
 CONTAINERS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0, "blockquote": 1.0, "pre": 1.0}
 _SAFE = frozenset(("html", "body", "article", "main"))
+_WHOLE = frozenset(("article", "main"))
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
 _WORDS = "ad|ads|adsense|advert|adverts|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|promotion|comment|comments|commentlist|reply|replies|respond|disqus|discussion|sidebar|side-bar|rail|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|toc|header|masthead|topbar|footer|foot|copyright|legal|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|recommendations|pager|pagination|hidden|skip|toolbar"
 _BAD = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
@@ -188,10 +189,16 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     best = max((n for n in nodes if n.points), key=_Node.score, default=root)
-    kept = [best]
     limit = max(MIN_POINTS, best.score() * SIBLING_SHARE)
+    above: _Node | None = best
+    while above is not None:  # an article or main around it is taken whole
+        if above.tag in _WHOLE:
+            best = above
+        above = above.parent
+    kept = [best]
     if best.parent is not None:
-        kept += [n for n in nodes if n.parent is best.parent and n is not best and not n.dropped and (n.score() >= limit and n.tag in CONTAINERS or n.tag == "p" and n.chars > 80 and n.linked < 0.25 * n.chars)]
+        short = best.tag not in _WHOLE and best.parent.tag not in ("#root", "html", "body")
+        kept += [n for n in nodes if n.parent is best.parent and n is not best and not n.dropped and (n.score() >= limit if n.tag in CONTAINERS else (short or n.tag == "p" and n.chars > 80) and n.linked < 0.25 * n.chars)]
     chosen = {id(n) for n in kept}
     verdict: dict[int, bool] = {}
 

@@ -135,6 +135,15 @@ def test_html_on_the_pages_and_on_cases(spark, sf_dir):
     assert {k: html_text.main_text(k) for k in cases} == cases and html_text.main_text(None) == ""
 
 
+def test_html_uneven_sections_stay_whole():
+    section = lambda n, name: f"<section><h2>{name}</h2>" + "".join(f"<p>{name} {i}, one, two, three</p>" for i in range(n)) + "</section>"
+    want = ["Title", "A", *(f"A {i}, one, two, three" for i in range(50)), "B", "B 0, one, two, three", "x", "y"]
+    inner = "<h1>Title</h1>" + section(50, "A") + section(1, "B") + "<ul><li>x</li></ul><p>y</p><aside>no</aside><div class=related>no</div>"
+    for page in (f"<body><nav>menu</nav><article>{inner}</article><p>after</p>", f"<body><main><div>{inner}</div></main><footer>f</footer>"):
+        assert html_text.main_text(page).split("\n") == want
+    assert html_text.main_text("<body><div><h1>Title</h1><div>" + "<p>a, b, c, d</p>" * 9 + "</div><p>end</p></div><p>after").split("\n") == ["Title", *["a, b, c, d"] * 9, "end"]
+
+
 # 5
 
 
