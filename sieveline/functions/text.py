@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-URL = r"https?://\S+"
-DOMAIN = r"\b\w[\w.-]*\.(?:com|app|gov|net|org|io|in|co)\b(?:/\S*)?"
+#: White space, letters and digits of all scripts: Java's own classes are ASCII.
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+LETTER = r"\p{L}\p{N}_"
+URL = rf"https?://[^{SPACE}]+"
+DOMAIN = rf"(?<![{LETTER}])[{LETTER}][{LETTER}.-]*\.(?:com|app|gov|net|org|io|in|co)(?![{LETTER}])(?:/[^{SPACE}]*)?"
 CASHTAG = r"\$[A-Za-z][A-Za-z0-9.\-]*"
 MENTION = r"@[A-Za-z0-9_]+"
 
@@ -55,7 +58,7 @@ def informative_text(c: Column | str, stop_words: list[str]) -> Column:
 
 
 def clean_post(c: Column | str) -> Column:
-    return F.trim(_without(col(c), "(?i)" + DOMAIN, "(?i)instant stock alerts on whatsapp", "(?i)try free", r"\s+"))
+    return F.trim(_without(col(c), "(?iu)" + DOMAIN, "(?iu)instant stock alerts on whatsapp", "(?iu)try free", f"[{SPACE}]+"))
 
 
 def clean_label(c: Column | str) -> Column:

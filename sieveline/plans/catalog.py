@@ -83,6 +83,12 @@ def tx2_topic_text(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.topic_text("text").alias("clean"))
 
 
+@query()
+def tx2_topic_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """All languages; regular expressions of DuckDB know ASCII classes only, so there is no SQL."""
+    return b.read(spark, d, "documents").select("doc_id", text.topic_text("text").alias("clean"))
+
+
 @query("WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: NOT w IN ('the', 'that', 'with')) AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS informative FROM t WHERE len(w) >= 3")
 def tx4_informative_text(spark: SparkSession, d: str) -> DataFrame:
     t = b.read(spark, d, "documents").select("doc_id", text.informative_text(F.lower("text"), ["the", "that", "with"]).alias("informative"))

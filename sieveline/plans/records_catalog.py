@@ -74,6 +74,11 @@ def tx3_template_text(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.template_text("text").alias("template"))
 
 
+@query()
+def tx3_template_text_all(spark: SparkSession, d: str) -> DataFrame:
+    return b.read(spark, d, "documents").select("doc_id", text.template_text("text").alias("template"))
+
+
 @query("SELECT p_partkey, concat(p_type, ' _ ', p_name) AS label FROM part")
 def tx5_clean_label(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("★ ☆x  "), F.lit("- "), "p_type", F.lit("  _ "), "p_name", F.lit(" -/"))
@@ -85,6 +90,11 @@ def tx8_clean_post(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.clean_post("text").alias("post"))
 
 
+@query()
+def tx8_clean_post_all(spark: SparkSession, d: str) -> DataFrame:
+    return b.read(spark, d, "documents").select("doc_id", text.clean_post("text").alias("post"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('a', user_id, ',b') ELSE '' END AS items FROM events")
 def tx13_json_array(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('["a'), "user_id", F.lit('","b"]'))).otherwise(F.lit("[bad"))
@@ -119,6 +129,16 @@ def fl5_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", found.alias("boilerplate"))
 
 
+@query()
+def fl5_boilerplate_all(spark: SparkSession, d: str) -> DataFrame:
+    """All languages, with templates counted over all rows."""
+    docs = b.read(spark, d, "documents").select("doc_id", "text", text.template_text("text").alias("template"))
+    docs = docs.withColumn("key", F.sha2("template", 256))
+    counts = docs.groupBy("key").agg(F.count("*").alias("frequency"))
+    found = rules.boilerplate("text", "template", "frequency", 40, ("inst",), ("the", "that", "with", "from", "were"))
+    return docs.join(counts, "key").select("doc_id", found.alias("boilerplate"))
+
+
 @query(f"WITH {COMPANIES} SELECT symbol FROM (SELECT *, CASE right(symbol, 1) WHEN '1' THEN 'reit' WHEN '2' THEN 'ambiguous' ELSE 'common_equity' END AS u FROM master) WHERE category IN ('Brand#1', 'Brand#2', 'Brand#3') AND u <> 'ambiguous' AND posts_count >= 28")
 def fl7_candidates(spark: SparkSession, d: str) -> DataFrame:
     last = F.right("symbol", F.lit(1))

@@ -18,3 +18,45 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_text_queries_over_all_languages_equal_plain_ones(spark, sf_dir):
+    import collections
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sieveline.functions import text
+
+    domain = r"\b\w[\w.-]*\.(?:com|app|gov|net|org|io|in|co)\b(?:/\S*)?"
+
+    def plain(t, *more):
+        t = t.lower()
+        for p in (r"https?://\S+", domain, r"\$[A-Za-z][A-Za-z0-9.\-]*", r"@[A-Za-z0-9_]+", *more, r"[^a-z\s]", r"\s+"):
+            t = re.sub(p, " ", t)
+        return t.strip()
+
+    def post(t):
+        for p in ("(?i)" + domain, "(?i)instant stock alerts on whatsapp", "(?i)try free", r"\s+"):
+            t = re.sub(p, " ", t)
+        return t.strip()
+
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    run = lambda name: {r[0]: r[1] for r in catalog.queries()[name](spark, sf_dir).collect()}
+    templates = {i: plain(t, r"\d+") for i, t in rows.items()}
+    assert run("tx2_topic_text_all") == {i: plain(t) for i, t in rows.items()} and run("tx3_template_text_all") == templates
+    assert run("tx8_clean_post_all") == {i: post(t) for i, t in rows.items()}
+    count = collections.Counter(templates.values())
+    hints = {"the", "that", "with", "from", "were"}
+    tokens = {i: set(re.findall("[a-z]{2,}", t)) for i, t in templates.items()}
+    want = {i: "inst" in t.lower() or len(tokens[i] & hints) >= 4 and len(tokens[i]) <= 18 or count[templates[i]] >= 40 and len(templates[i].split()) >= 5 for i, t in rows.items()}
+    assert run("fl5_boilerplate_all") == want
+    odd = ["aü.com/x ö", "über.com", "x http://a.b\u00a0stays é", "Ünstant TRY\u2003FREE try free\u00a0\u3000x", "y.co\u0301 z.coé a.in/ü\u2028b", "\x1cq.io\x1d r"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", text.topic_text("t").alias("a"), text.clean_post("t").alias("b"), F.col("t")).collect()
+    assert [(r["a"], r["b"]) for r in sorted(made)] == [(plain(t), post(t)) for t in odd]
+
+
+def test_boilerplate_counts_templates(spark, tmp_path):
+    rows = [(i, f"un deux trois quatre cinq {i}", "fr") for i in range(40)] + [(50 + i, f"six sept huit neuf dix {i}", "fr") for i in range(39)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r[0]: r[1] for r in catalog.queries()["fl5_boilerplate_all"](spark, str(tmp_path)).collect()} == {i: i < 50 for i, _, _ in rows}
