@@ -38,6 +38,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.without_repeats(docs, spans.SENTENCES, "n_sentences", "n_removed")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of over 50 words wherever they begin and end, which runs of three sentences (and their SQL) don't all find."""
+    return spans.without_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), "n_words", "n_removed")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.without_repeats(docs, spans.LINES, "n_lines", "n_removed")
@@ -56,7 +61,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_pii, op2_toxicity, op3_bpe, op4_html, op5_near_dedup, op6_substring_dedup, op7_line_dedup, op8_packing, op9_quality, op10_fingerprints)
+    made = (op1_pii, op2_toxicity, op3_bpe, op4_html, op5_near_dedup, op6_substring_dedup, op6_passage_dedup, op7_line_dedup, op8_packing, op9_quality, op10_fingerprints)
     return {f.__name__: f for f in made}
 
 

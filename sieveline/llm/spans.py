@@ -1,4 +1,4 @@
-"""Removal of repeated runs of text units: lines (operator 7) and sentences (operator 6). DataFrame functions only.
+"""Removal of repeated runs of text units: lines (operator 7) and sentences (operator 6), in DataFrame functions only; and of passages of words.
 
 A text is cut into units; every run of ``run`` consecutive non-blank units is hashed (128 bits, units trimmed), runs that occur
 more than once anywhere are found by one aggregation, and every unit covered by an occurrence that isn't the first one (least
@@ -12,12 +12,16 @@ their own names; internal columns start with two underscores and a dedicated pre
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tools import cut
+from .hashing import _powers, document_word_hashes, encoded, mix, run_hashes
+from .tools import cut, python_batches
 
 
 @dataclass(frozen=True)
@@ -92,3 +96,103 @@ def without_repeats(docs: DataFrame, units: Units, total: str = "n_units", remov
     counts = {total: F.coalesce(F.size("__s_at"), F.lit(0)).cast("long"), removed: F.coalesce(F.size("__s_gone"), F.lit(0)).cast("long")}
     keep = [F.col(c) for c in docs.columns if c not in ("text", *counts)]
     return joined.select(*keep, text.alias("text"), *[v.alias(k) for k, v in counts.items()])
+
+
+#: Repeated passages of at least so many words go. Windows of ANCHOR words are compared first, one at least of any WINDOW words.
+WINDOW = 51
+ANCHOR = 26
+_PLACES = "id long, row long, at int, h long"
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` word hashes, by its first word."""
+    if len(words) < size:
+        return np.empty(0, np.int64)
+    up, down = _powers.upto(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)])
+    return mix((sums[size:] - sums[:-size]) * down[: len(words) - size + 1]).view(np.int64)
+
+
+def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the least window of ANCHOR words within every WINDOW words."""
+    h = _windows(words, ANCHOR)
+    width = WINDOW - ANCHOR + 1
+    if len(h) < width:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(len(h) - width + 1))
+    return at, h[at]
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """h, first: hashes that occur more than once, and their first place."""
+    found = places.groupBy("h").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return found.select(F.col("h").alias("same"), "first")
+
+
+def without_passages(docs: DataFrame, total: str = "n_words", removed: str = "n_removed") -> DataFrame:
+    """``docs`` with ``text`` less every word that lies in WINDOW words which an earlier place has, and numbers of words before and removed.
+
+    Passages may begin and end anywhere, sentences don't matter. Words are runs of bytes outside ASCII white space; white space
+    around a removed passage stays once. Any two equal windows share an anchor, so only texts around repeated anchors are
+    compared window by window. Rows that repeat doc_id and text are one document.
+    """
+    spark = docs.sparkSession
+    named = docs.withColumns({"__p_id": F.col("doc_id").cast("long"), "__p_row": F.xxhash64("text")})
+    texts = named.where("text is not null").select("__p_id", "__p_row", "text")
+
+    def places(ids: pa.Array, rows: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        each = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        at, h = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(each)), rows.take(pa.array(each)), pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["id", "row", "at", "h"])
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield places(b.column(0), b.column(1), [_anchors(w) for w in document_word_hashes(encoded(b.column(2)))])
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for w, marks in zip(document_word_hashes(encoded(b.column(2))), b.column(3).to_pylist(), strict=True):
+                h = _windows(w, WINDOW)
+                near = np.zeros(len(h) + 1, np.int64)
+                at = np.array(marks, np.int64)
+                np.add.at(near, np.clip(at + ANCHOR - WINDOW, 0, len(h)), 1)
+                np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
+                own = np.flatnonzero(np.cumsum(near)[:-1])
+                found.append((own, h[own]))
+            yield places(b.column(0), b.column(1), found)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            made, counts = [], []
+            for t, gone in zip(encoded(b.column(names.index("text"))), b.column(names.index("__p_gone")).to_pylist(), strict=True):
+                starts, ends, _ = run_hashes(np.frombuffer(t, np.uint8))
+                cover = np.zeros(len(starts) + 1, np.int64)
+                if gone:
+                    at = np.array(gone, np.int64)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + WINDOW, -1)
+                lost = np.flatnonzero(np.cumsum(cover)[:-1])
+                keep = np.ones(len(t), bool)
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(lost) > 1) + 1, [len(lost)]]) if len(lost) else np.zeros(1, int)
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    a, z = lost[x], lost[y - 1]
+                    keep[starts[a] : starts[z + 1] if z + 1 < len(starts) else len(t)] = False
+                made.append(np.frombuffer(t, np.uint8)[keep].tobytes().decode() if len(lost) else t.decode())
+                counts.append((len(starts), len(lost)))
+            text = pa.array([None if n else m for n, m in zip(b.column(names.index("text")).is_null().to_pylist(), made, strict=True)], pa.string())
+            kept = [b.column(i) if n != "text" else text for i, n in enumerate(names) if n != "__p_gone"]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))], [*(n for n in names if n != "__p_gone"), total, removed])
+
+    python_batches(spark)
+    each = cut(texts.mapInArrow(anchored, _PLACES).dropDuplicates(["id", "row", "at"]))
+    marks = each.join(_repeated(each), F.col("h") == F.col("same")).groupBy(F.col("id").alias("__g_id"), F.col("row").alias("__g_row")).agg(F.collect_list("at").alias("marks"))
+    pair = F.col("__p_id").eqNullSafe(F.col("__g_id")) & (F.col("__p_row") == F.col("__g_row"))
+    some = texts.dropDuplicates(["__p_id", "__p_row"]).join(marks, pair).select("__p_id", "__p_row", "text", "marks")
+    every = cut(some.mapInArrow(windowed, _PLACES))
+    later = every.join(_repeated(every), F.col("h") == F.col("same")).where(~F.struct("id", "row", "at").eqNullSafe(F.col("first")))
+    gone = later.groupBy(F.col("id").alias("__g_id"), F.col("row").alias("__g_row")).agg(F.collect_list("at").alias("__p_gone"))
+    joined = named.join(gone, pair, "left").select(*docs.columns, "__p_gone")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.mapInArrow(left, f"{schema}, `{total}` long, `{removed}` long")

@@ -221,6 +221,31 @@ def test_span_dedup_odd_rows(spark, odd):
     assert got[20] == (lines, 4, 0) and got[21] == ("x\ny", 6, 4) and got[22][2] == 0 and got[1] == (None, 0, 0) and got[24] == ("d", 4, 3) and got[23][2] == 0
 
 
+def plain_passages(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w, gone = words(t), set()
+        for k in range(len(w) - 50):
+            if (run := tuple(w[k : k + 51])) in seen:
+                gone |= set(range(k, k + 51))
+            seen.add(run)
+        out[i] = ([x for k, x in enumerate(w) if k not in gone], len(gone))
+    return out
+
+
+def test_passages_inside_sentences_go(spark, documents, odd):
+    random.seed(12)
+    free = lambda n: " ".join(f"q{random.randrange(10**6)}" + random.choice(["", "", "", "."]) for _ in range(n))
+    passage = " ".join(f"p{k}" for k in range(51))  # one sentence's inside
+    made = [(i, f"{free(30)} {passage if i % 2 else passage[:-4]} {free(i * 7)}") for i in range(12)] + [(20, free(40) + " " + passage), (21, passage), (22, "z " * 200)]
+    for rows in (made, [(r["doc_id"], r["text"]) for r in documents.collect()]):
+        got = {r["doc_id"]: (words(r["text"]), r["n_removed"]) for r in spans.without_passages(table(spark, rows)).collect()}
+        assert got == plain_passages(rows)
+    assert plain_passages(made)[3][1] == 51 and plain_passages(made)[2][1] == 0
+    rows = spans.without_passages(odd).collect()
+    assert len(rows) == 10 and next(r for r in rows if r["doc_id"] == 1)["text"] is None and spans.without_passages(odd.limit(0)).count() == 0
+
+
 # 8
 
 
