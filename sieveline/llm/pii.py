@@ -38,6 +38,8 @@ SHAPES = {
     "card": r"^(?:[^0-9]?[0-9]){12,19}$",
     "phone": r"^[+(]?[0-9](?:[().-]*[0-9]){6,14}$",
 }
+LEADING = r"""^(?:[\["'<{,;.!?«“‘]|\((?![^()]*\)))*"""
+TRAILING = r"""(?:[.,;!?"'>\]})»”’]|(?<!:):)+$"""
 ROUNDS = 2
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.75
@@ -88,18 +90,27 @@ def _hint(kind: str, text: Column) -> Column:
 
 def _located(parts: Column, matches: Column) -> Column:
     """Spans of the matches: ``parts`` is what lies between them."""
-    left = lambda p: F.lower(F.regexp_extract(F.right(p, F.lit(LEFT_CHARS)), r"(\S+\s+\S+)\s*$", 1))
-    both = F.zip_with(parts, matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value"), F.when(m.isNotNull(), left(p)).alias("left")))
+    left = lambda t: F.lower(F.regexp_extract(F.right(t, F.lit(LEFT_CHARS)), r"((?:\S+\s+)?\S+)\s*$", 1))
+    both = F.zip_with(parts, matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value"), p.alias("part")))
 
     def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"), x["left"].alias("left"))
-        return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["value"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
+        start, before = a["at"] + x["gap"], F.concat(a["tail"], x["part"])
+        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"), left(before).alias("left"))
+        tail = F.right(F.concat(before, F.coalesce(x["value"], F.lit(""))), F.lit(LEFT_CHARS))
+        return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), tail.alias("tail"), F.when(x["value"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
     return F.aggregate(both, start, step, lambda a: a["out"])
 
 
+def _trimmed(span: Column) -> Column:
+    """A candidate without the punctuation around it; a bracket with its partner inside stays."""
+    value = F.regexp_replace(span["value"], TRAILING, "")
+    lead = F.length(F.regexp_extract(value, LEADING, 0)).cast("long")
+    start = span["start"] + lead
+    return F.struct(start.alias("start"), (span["start"] + F.length(value)).alias("end"), F.substring(value, lead.cast("int") + 1, F.length(value)).alias("value"), span["left"].alias("left"))
+
+
 def _spans(df: DataFrame, name: str, pattern: str, hint: Column) -> DataFrame:
     """Adds a column ``name`` of all spans of ``pattern`` in the column t."""
     df = df.withColumn("m", F.when(hint, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))))
@@ -116,7 +127,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     df = _spans(df, "others", CANDIDATE, F.col("t").rlike(CANDIDATE_SIGN))
     known = F.concat(*KINDS)
     apart = lambda x: (x["end"] - x["start"] >= 6) & ~F.exists("known", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    df = df.withColumn("known", known).withColumn("others", F.filter("others", apart))
+    df = df.withColumn("known", known).withColumn("others", F.filter(F.transform("others", _trimmed), apart))
     return df.select("id", F.xxhash64("t").alias("h"), *KINDS, "others")
 
 

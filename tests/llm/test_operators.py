@@ -74,6 +74,19 @@ def test_pii_patterns_discover_and_mask(spark):
     assert pii.masked(df).columns == df.columns
 
 
+def test_pii_candidates_lose_punctuation_and_see_the_text_before(spark):
+    seeded = [(i, f"please reach us user{i}@mail.example.com now") for i in range(6)] + [(10 + i, f"call me +1 555 010 {1000 + i} now") for i in range(20)]
+    df = table(spark, [*seeded, (50, 'please reach us "bob(at)mail.example", ok'), (51, "é call me 555-123-4567."), (52, "x 9abcdef call me (555-123-4568), ok"), (53, "9 call me (555)123-4569; ok")])
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    assert got[50] == "email:17:36" and got[51] == "phone:10:22" and got[52] == "phone:19:31" and got[53] == "phone:10:23"
+
+
+def test_pii_pattern_spans_an_earlier_identifier(spark):
+    df = table(spark, [(i, f"x a1b2c3d4 or user{i}@mail.example.com") for i in range(6)] + [(50, "x a1b2c3d4 or bob(at)mail.example ok"), (51, "mail: w@ex.org")])
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    assert got[50] == "email:14:33"
+
+
 # 2
 
 
