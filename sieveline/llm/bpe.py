@@ -23,14 +23,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import no_collector, python_batches
+from .tools import no_collector, small
 
 #: Words, and pretokens, whose encoding a worker remembers.
 CACHE_WORDS = 400_000
 
 #: The pretoken pattern and the white space of the tokenizer file.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_SPACE = "\t-\r " + WIDE_SPACE
 
 #: Widths of ids and of positions within packed numbers, and the first character that isn't in a Latin block.
 PAIR, PLACE = 20, 40
@@ -180,11 +181,16 @@ class Vocabulary:
         return " ".join([self.strings[i] for i in ids])
 
 
-def words_of(text: str) -> list[str]:
-    """NFC, white space as separator, lower case (each character by itself, so without final sigma)."""
+def folded(text: str) -> str:
+    """NFC, lower case (each character by itself, so without final sigma)."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
+    return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
+
+
+def words_of(text: str) -> list[str]:
+    """The folded text, cut at white space."""
+    text = folded(text)
     if _odd_controls.search(text):
         return [w for w in _separators.split(text) if w]
     return text.split()
@@ -211,11 +217,10 @@ class _Rendered(Memo):
 
 def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, ids (array<int>): the ids of every text. Null texts have no ids."""
-    python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
-        for b in batches:
+        for b in small(batches):
             ids = [vocab.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
@@ -224,11 +229,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: s
 
 def decode_documents(encoded_docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
     """key, text: the vocabulary strings of the ids, one space between."""
-    python_batches(encoded_docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vocab.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], ["key", "text"])
 
     return encoded_docs.select(F.col(key).cast("long").alias("key"), F.col("ids")).mapInArrow(run, "key long, text string").withColumnRenamed("key", key)
@@ -236,13 +240,12 @@ def decode_documents(encoded_docs: DataFrame, tokenizer: str, key: str = "doc_id
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, then decoded, then hashed."""
-    python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
         cache = _Rendered(vocab)
         look = cache.__getitem__
-        for b in batches:
+        for b in small(batches):
             counts, ids, decoded = [], [], []
             for t in b.column(1).to_pylist():
                 parts = []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import near
 from .hashing import document_word_hashes, encoded, minima, multipliers, shingles
-from .tools import python_batches
+from .tools import small
 
 PERMUTATIONS = 64
 #: A pair as alike as 0.8 shares none of 21 bands of three minima with probability 3e-7.
@@ -59,10 +59,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fingerprint (hexadecimal) of every whole text."""
-    python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             signs = signatures(encoded(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(as_hex(signs), pa.string())], ["key", "fingerprint"])
 
@@ -145,13 +144,12 @@ _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with the likeness of the first to the second and to the next document's."""
-    python_batches(docs.sparkSession)
     rows = _next_texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row that waits for the next one: doc_id, text, signature
         done = False
-        for b in batches:
+        for b in small(batches):
             ids, texts, copies = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             if done:
                 continue

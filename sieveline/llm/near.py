@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import encoded, minima, mix, multipliers, shingle_sets
-from .tools import cut, python_batches
+from .tools import cut, small
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
@@ -100,7 +100,7 @@ def signed(docs: DataFrame, scheme: Scheme = SETSKETCH) -> DataFrame:
     """doc_id, row, n_shingles, k1 and k2 (128-bit key of the set), sketch of every document; key and sketch null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sizes, k1, k2, sketches = [], [], [], []
             for s in shingle_sets(encoded(b.column(2))):
                 sizes.append(len(s))
@@ -112,7 +112,6 @@ def signed(docs: DataFrame, scheme: Scheme = SETSKETCH) -> DataFrame:
                     k1.append(None), k2.append(None), sketches.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.binary())], [c.split()[0] for c in _SIGNED.split(", ")])
 
-    python_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, _SIGNED)
 
 
@@ -120,10 +119,9 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """rep, elements (sorted 64-bit shingle hashes) of the documents whose doc_id is a ``rep`` in ``ids`` (distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in shingle_sets(encoded(b.column(3)))], pa.binary())], ["rep", "k1", "k2", "elements"])
 
-    python_batches(docs.sparkSession)
     wanted = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(ids, F.col("d") == F.col("rep")).select("rep", "k1", "k2", "text")
     made = wanted.mapInArrow(run, "rep long, k1 long, k2 long, elements binary")
     # rows may share a doc_id: only the text of the class counts
@@ -146,7 +144,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows a, b of ``pairs`` whose full sets reach ``percent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             good = pa.array(_pairs_exact(b.column(2).to_pylist(), b.column(3).to_pylist(), percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
@@ -158,7 +156,7 @@ def estimated(pairs: DataFrame, threshold: float, scheme: Scheme = SETSKETCH) ->
     """The rows (a, b, sketches sa and sb, sizes na and nb) whose estimate may stand for a likeness of ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             if not b.num_rows:
                 continue
             na, nb = (b.column(i).to_numpy().astype(float) for i in (4, 5))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bpe import vocabulary
 from .bpe_batch import BatchEncoder
-from .tools import cut, python_batches
+from .tools import cut, small
 
 CAPACITY = 4096
 END = 2
@@ -155,11 +155,10 @@ _PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_t
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Full windows and rest of every document: doc_id, row, start, length, ids_crc32, doc_tokens."""
-    python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, close, width = BatchEncoder(vocabulary(tokenizer)), end.to_bytes(4, "little"), 4 * capacity
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, row, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist()), strict=True):
                 data = ids + close
@@ -195,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, before = shared.value
-        for b in batches:
+        for b in small(batches):
             length, salt, rank = (b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in ("length", "salt", "rank"))
             rank = rank + before[length, salt]
             window, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
@@ -229,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, _ = shared.value
         encoder, close = BatchEncoder(vocabulary(tokenizer)), end.to_bytes(4, "little")
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, text, start, length, total, position in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = encoder.encode([text])[0] + close

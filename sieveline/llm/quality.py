@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import WHITE, document_word_hashes, encoded, mix, run_hashes, slices
-from .tools import cut, python_batches
+from .tools import cut, small
 
 ORDER = 4
 #: Distinct n-grams that a task holds before it hands on its counts.
@@ -93,7 +93,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(slots(lang, k)), pa.array(k.astype(np.int64)), pa.array(n[at : at + 50_000])], ["lang", "slot", "gram", "n"])
             held.clear()
 
-        for b in batches:
+        for b in small(batches):
             texts, by = encoded(b.column(1)), {}
             for i, lang in enumerate(b.column(0).to_pylist()):
                 by.setdefault(lang, []).append(texts[i])
@@ -107,7 +107,6 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    python_batches(docs.sparkSession)
     each = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, slot long, gram long, n long")
     return each.groupBy("lang", "slot", "gram").agg(F.sum("n").alias("n"))
 
@@ -197,7 +196,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n[at : at + 50_000])], ["lang", "word", "c"])
             held.clear()
 
-        for b in batches:
+        for b in small(batches):
             for lang, _, words in words_in(encoded(b.column(1)), b.column(0).to_pylist()):
                 parts = held.setdefault(lang, [])
                 parts.append(np.unique(words, return_counts=True))
@@ -207,7 +206,6 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    python_batches(docs.sparkSession)
     each = docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, word long, c long")
     return each.groupBy("lang", "word").agg(F.sum("c").alias("c"))
 
@@ -252,7 +250,7 @@ def rare_words(docs: DataFrame, hot: Broadcast, bits: int) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         keys: list[np.ndarray] = []
         size = rows = 0
-        for b in batches:
+        for b in small(batches):
             texts = encoded(b.column(2))
             for _, at, words in words_in(texts, b.column(1).to_pylist()):
                 rare = ~np.isin(words, known)
@@ -264,7 +262,6 @@ def rare_words(docs: DataFrame, hot: Broadcast, bits: int) -> DataFrame:
                 parts, keys, size, rows = [], [], 0, 0
         yield from asked(parts, keys)
 
-    python_batches(docs.sparkSession)
     return docs.select(_key(), F.col("lang").cast("string"), "text").mapInArrow(run, _ASKED)
 
 
@@ -329,7 +326,7 @@ def scored(docs: DataFrame, model: Broadcast, hot: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, logp = model.value
         known, known_logp = hot.value
-        for b in batches:
+        for b in small(batches):
             texts, langs = encoded(b.column(3)), b.column(1).to_pylist()
             rows = [base_counts(t, w, np.frombuffer(t, np.uint8)) for t, w in zip(texts, document_word_hashes(texts), strict=True)]
             perplexity: list[float | None] = [None] * len(texts)
@@ -356,7 +353,6 @@ def scored(docs: DataFrame, model: Broadcast, hot: Broadcast) -> DataFrame:
             columns = [b.column(0), pa.array(langs, pa.string()), b.column(2), *(pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [()] * 5)), pa.array(perplexity, pa.float64()), b.column(4), *(pa.array(t, pa.int64()) for t in totals)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORED.split(", ")])
 
-    python_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("row"), "text", _key()).mapInArrow(run, _SCORED)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import _powers, document_word_hashes, encoded, mix, run_hashes
-from .tools import cut, python_batches
+from .tools import cut, small
 
 
 @dataclass(frozen=True)
@@ -146,11 +146,11 @@ def without_passages(docs: DataFrame, total: str = "n_words", removed: str = "n_
         return pa.RecordBatch.from_arrays([ids.take(pa.array(each)), rows.take(pa.array(each)), pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["id", "row", "at", "h"])
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield places(b.column(0), b.column(1), [_anchors(w) for w in document_word_hashes(encoded(b.column(2)))])
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = []
             for w, marks in zip(document_word_hashes(encoded(b.column(2))), b.column(3).to_pylist(), strict=True):
                 h = _windows(w, WINDOW)
@@ -163,7 +163,7 @@ def without_passages(docs: DataFrame, total: str = "n_words", removed: str = "n_
             yield places(b.column(0), b.column(1), found)
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             names = b.schema.names
             made, counts = [], []
             for t, gone in zip(encoded(b.column(names.index("text"))), b.column(names.index("__p_gone")).to_pylist(), strict=True):
@@ -185,7 +185,6 @@ def without_passages(docs: DataFrame, total: str = "n_words", removed: str = "n_
             kept = [b.column(i) if n != "text" else text for i, n in enumerate(names) if n != "__p_gone"]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))], [*(n for n in names if n != "__p_gone"), total, removed])
 
-    python_batches(spark)
     each = cut(texts.mapInArrow(anchored, _PLACES).dropDuplicates(["id", "row", "at"]))
     marks = each.join(_repeated(each), F.col("h") == F.col("same")).groupBy(F.col("id").alias("__g_id"), F.col("row").alias("__g_row")).agg(F.collect_list("at").alias("marks"))
     pair = F.col("__p_id").eqNullSafe(F.col("__g_id")) & (F.col("__p_row") == F.col("__g_row"))

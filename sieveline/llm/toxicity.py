@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WHITE, _BYTE_VALUES, _powers, encoded, mix, run_hashes, slices
-from .tools import python_batches
+from .tools import small
 
 TRAIN_DOCUMENTS = 2500
 TRAIN_CHARS = 60_000_000
@@ -225,11 +225,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int, st
     few = F.broadcast(spark.createDataFrame(kept, "doc_id long, toxic int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [word_buckets(np.frombuffer(t.lower(), np.uint8))[1].tobytes() for t in encoded(b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
 
-    python_batches(spark)
     rows = docs.join(few, "doc_id").select("doc_id", "toxic", "lang", "text").mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary").collect()
     rows = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"] or "", bytes(r["buckets"])), reverse=True)}
     return [(np.frombuffer(bytes(rows[d]["buckets"]), np.int32).reshape(-1, FEATURES), t, rows[d]["lang"]) for d, t in kept if d in rows]
@@ -242,12 +241,11 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         table = net.table()
-        for b in batches:
+        for b in small(batches):
             s = net.scores(net.logits(table, encoded(b.column(2))))
             limit = np.array([net.thresholds.get(k, 0.5) for k in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(s >= limit)], ["doc_id", "score", "predicted", "flagged"])
 
-    python_batches(docs.sparkSession)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, score double, predicted int, flagged boolean")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "flagged")
 
