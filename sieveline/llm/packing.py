@@ -8,7 +8,8 @@ left over are laid end to end and cut at the windows' ends; the last, partial wi
 need no padding.
 
 Rows then find their place by arithmetic from their rank among the rests of their length. Ranks come from windows over
-(length, salt), so one very common length is not ranked in one task.
+(length, salt), as many salts as shuffle partitions, so one very common length is not ranked in one task; the driver sees one
+count for each length.
 
 Null texts count as empty: such a document is its end token alone. Rows with equal or null doc_id are packed each by
 itself; ties among equal lengths fall by doc_id, then by position in the table. Other columns are ignored, and an empty table gives no sequences.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .bpe_batch import BatchEncoder
+from .bpe_batch import SLICE, BatchEncoder
 from .tools import cut, small
 
 CAPACITY = 4096
@@ -158,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, close, width = BatchEncoder(vocabulary(tokenizer)), end.to_bytes(4, "little"), 4 * capacity
-        for b in small(batches):
+        for b in small(batches, 1 << 16, SLICE):
             rows = []
             for doc, row, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist()), strict=True):
                 data = ids + close
@@ -176,27 +177,26 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: every token of every document in one piece."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    salts = max(64, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = cut(pieces(docs, tokenizer, capacity, end).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(salts))))
-    # at most capacity * salts rows, whatever the corpus
-    counts = sorted((r["length"], r["salt"], r["n"]) for r in made.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
-    histogram: dict[int, int] = {}
-    before = np.zeros((capacity + 1, salts), np.int64)
-    for length, salt, n in counts:
-        before[length, salt] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
+    counts = cut(made.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    # at most one row for each length, whatever the corpus
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_windows(histogram, capacity)
-    shared = spark.sparkContext.broadcast((plan, before))
+    shared = spark.sparkContext.broadcast(plan)
+    # a piece's rank among those of its length: pieces with lesser salts, then those before it with its own salt
+    lesser = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce(lesser, F.lit(0)).alias("before"))
     spec = Window.partitionBy("length", "salt").orderBy("doc_id", "row", "start")
-    ranked = made.withColumn("rank", F.row_number().over(spec).cast("long") - 1)
+    own = made.withColumn("own", F.row_number().over(spec).cast("long") - 1)
+    ranked = own.join(before, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt"))).withColumn("rank", F.col("own") + F.col("before"))
 
     out_schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long, position long"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, before = shared.value
-        for b in small(batches):
-            length, salt, rank = (b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in ("length", "salt", "rank"))
-            rank = rank + before[length, salt]
+        plan = shared.value
+        for b in batches:
+            length, rank = (b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in ("length", "rank"))
             window, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for one in np.unique(length):
                 at = length == one
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     keyed = keyed.dropDuplicates(["position"])
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, _ = shared.value
+        plan = shared.value
         encoder, close = BatchEncoder(vocabulary(tokenizer)), end.to_bytes(4, "little")
         for b in small(batches):
             rows = []
