@@ -15,8 +15,8 @@ So within band values no link is lost to caps, and the count of rows between sta
 the threshold shares no band with probability (1 - t**ROWS)**BANDS, 8e-7 at 0.85.
 
 Nulls: a null text counts as empty; empty texts, and texts without words, link with nothing. Rows with a null doc_id have no
-component and are kept. Rows that repeat a doc_id are each reported; a class is known by its smallest doc_id. Texts of any
-length are read whole. Other signatures (``Scheme``) are banded, estimated and verified alike. Only doc_id and text are read; an empty table gives no rows.
+component and are kept. Rows that repeat a doc_id are each reported and may lie in different components, as their texts say; a
+component is named by its smallest doc_id. Texts of any length are read whole. Other signatures (``Scheme``) are banded, estimated and verified alike. Only doc_id and text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,29 +104,38 @@ def signed(docs: DataFrame, scheme: Scheme = SETSKETCH) -> DataFrame:
             sizes, k1, k2, sketches = [], [], [], []
             for s in shingle_sets(encoded(b.column(2))):
                 sizes.append(len(s))
-                if len(s):
-                    k1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                    k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    sketches.append(scheme.sign(s))
-                else:
-                    k1.append(None), k2.append(None), sketches.append(None)
+                one, two = _key(s) if len(s) else (None, None)
+                k1.append(one)
+                k2.append(two)
+                sketches.append(scheme.sign(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.binary())], [c.split()[0] for c in _SIGNED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, _SIGNED)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, elements (sorted 64-bit shingle hashes) of the documents whose doc_id is a ``rep`` in ``ids`` (distinct)."""
+def _key(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of hashes, as two signed numbers."""
+    return tuple(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in (elements, elements ^ np.uint64(0x5851F42D4C957F2D)))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, elements (sorted 64-bit shingle hashes) of the classes in ``wanted`` (node, rep, k1, k2), from a text with doc_id rep.
+
+    Rows may share a doc_id and differ in text: a row stands for the class whose key its own set has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in shingle_sets(encoded(b.column(3)))], pa.binary())], ["rep", "k1", "k2", "elements"])
+            nodes, elements = [], []
+            for node, k1, k2, s in zip(*(b.column(i).to_pylist() for i in range(3)), shingle_sets(encoded(b.column(3))), strict=True):
+                if len(s) and _key(s) == (k1, k2):
+                    nodes.append(node)
+                    elements.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(elements, pa.binary())], ["node", "elements"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(ids, F.col("d") == F.col("rep")).select("rep", "k1", "k2", "text")
-    made = wanted.mapInArrow(run, "rep long, k1 long, k2 long, elements binary")
-    # rows may share a doc_id: only the text of the class counts
-    size = F.octet_length("elements")
-    return made.withColumn("size", size).where("size > 0").dropDuplicates(["rep"]).select("rep", "elements")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, F.col("d") == F.col("rep")).select("node", "k1", "k2", "text")
+    # rows that repeat doc_id and text have one set
+    return texts.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
 
 
 def _pairs_exact(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
@@ -148,7 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = pa.array(_pairs_exact(b.column(2).to_pylist(), b.column(3).to_pylist(), percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
-    one, two = sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
@@ -191,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _block_links(x: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links of a spanning forest over the classes of one block, or between those of two; exact."""
-    reps, blocks = x["rep"].tolist(), x["block"].tolist()
+    nodes, blocks = x["node"].tolist(), x["block"].tolist()
     sets = [np.frombuffer(e, np.uint64) for e in x["elements"]]
     parent = {}
 
@@ -222,25 +231,25 @@ def _block_links(x: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
                 p, q = root(i), root(k)
                 if p != q:
                     parent[p] = q
-                    out.append((reps[i], reps[k]))
+                    out.append((nodes[i], nodes[k]))
     return out
 
 
 def exact_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between classes that share a band value but no component yet. ``members``: band, rep, size, all; ``found``: node, component."""
-    inside = members.where("all > 2").join(found.select(F.col("node").alias("n"), "component"), F.col("rep") == F.col("n"), "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    """a, b: links between classes that share a band value but no component yet. ``members``: band, node, size, all; ``found``: node, component."""
+    inside = members.where("all > 2").join(found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
     inside = cut(inside)
     open_bands = inside.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum(F.col("size") * 8).alias("bytes"), F.count("*").alias("n")).where("c1 != c2")
     parts = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("n") / 256))
     open_bands = cut(open_bands.select(F.col("band").alias("o"), parts.cast("int").alias("parts")))
-    here = inside.join(open_bands, F.col("band") == F.col("o")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
+    here = inside.join(open_bands, F.col("band") == F.col("o")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     # a block meets each block, itself included, once
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "block").alias("left"), F.greatest(k, "block").alias("right")))
-    dealt = here.select("band", "rep", "component", "block", F.inline(every))
-    rows = dealt.join(sets.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("band", "left", "right", "block", "rep", "component", "elements")
+    dealt = here.select("band", "node", "component", "block", F.inline(every))
+    rows = dealt.join(sets.withColumnRenamed("node", "r"), F.col("node") == F.col("r")).select("band", "left", "right", "block", "node", "component", "elements")
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_block_links(x.sort_values("rep", ignore_index=True), percent), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_block_links(x.sort_values("node", ignore_index=True), percent), columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("band", "left", "right").applyInPandas(links, "a long, b long")
 
@@ -251,19 +260,20 @@ def near_classes(docs: DataFrame, percent: int = 85, scheme: Scheme = SETSKETCH)
     every = cut(signed(docs, scheme))
     some = every.where("doc_id is not null and k1 is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
-    classes = cut(classes)
+    # a number of its own for each class, as rows that share a doc_id may differ in text; written once, so fixed
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     width = scheme.band_bytes
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * width, width)) for i in range(scheme.bands)])
-    keyed = classes.select("rep", "copies", "size", F.explode(bands).alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("all"), F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("hub")).where(F.col("all") > 1)
+    keyed = classes.select("node", "copies", "size", F.explode(bands).alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("all"), F.max(F.struct("copies", (-F.col("node")).alias("minus"))).alias("hub")).where(F.col("all") > 1)
     shared = cut(shared.select(F.col("band").alias("s"), "all", (-F.col("hub.minus")).alias("hub")))
-    members = cut(keyed.join(shared, F.col("band") == F.col("s")).select("band", "rep", "size", "all", "hub"))
-    met = cut(members.select("rep").distinct())
-    own = classes.select(F.col("rep").alias("r"), "k1", "k2", F.col("size").alias("n"), "sketch")
-    sets = cut(full_sets(docs, met.join(own, F.col("rep") == F.col("r")).select("rep", "k1", "k2")))
-    spokes = cut(members.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    one = own.select(F.col("r").alias("x"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    two = own.select(F.col("r").alias("y"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    members = cut(keyed.join(shared, F.col("band") == F.col("s")).select("band", "node", "size", "all", "hub"))
+    met = cut(members.select(F.col("node").alias("m")).distinct())
+    own = classes.select("node", "rep", "k1", "k2", F.col("size").alias("n"), "sketch")
+    sets = cut(full_sets(docs, met.join(own, F.col("m") == F.col("node")).select("node", "rep", "k1", "k2")))
+    spokes = cut(members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    one = own.select(F.col("node").alias("x"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    two = own.select(F.col("node").alias("y"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     likely = estimated(spokes.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")), threshold, scheme)
     links = cut(verified(cut(likely), sets, percent))
     found = cut(components(links))
@@ -271,7 +281,13 @@ def near_classes(docs: DataFrame, percent: int = 85, scheme: Scheme = SETSKETCH)
     if not more.isEmpty():
         star = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = cut(components(star.unionByName(more)))
-    reps = classes.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("component"))
+    # a component is named by the smallest doc_id of its classes, its own root among them
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = found.join(classes.select(F.col("node").alias("c"), "rep"), F.col("node") == F.col("c"))
+    names = linked.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "named")
+    linked = found.join(names, F.col("component") == F.col("named")).select(F.col("node").alias("l"), "component_id")
+    reps = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "node").join(linked, F.col("node") == F.col("l"), "left")
+    reps = reps.select("c1", "c2", F.coalesce("component_id", "rep").alias("component"))
     joined = every.join(cut(reps), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "row")

@@ -210,6 +210,20 @@ def test_near_classes_odd_rows(spark, odd):
     assert near.near_classes(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_that_share_a_doc_id_link_by_their_own_text(spark, turned):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (6, b + " zz"), (4, a + " yy"), (9, "alone and far from all the others")]
+    rows = rows[::-1] if turned else rows
+    plain = plain_components([(k, t) for k, (_, t) in enumerate(rows)])
+    group = collections.defaultdict(list)
+    for k, (_, c) in plain.items():
+        group[c].append(rows[k][0])
+    want = sorted((i, plain[k][0], min(group[plain[k][1]])) for k, (i, _) in enumerate(rows))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.near_classes(table(spark, rows)).collect())
+    assert got == want and {c for _, _, c in got} == {4, 5, 9}
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
