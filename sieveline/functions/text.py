@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 #: White space, letters and digits of all scripts: Java's own classes are ASCII.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 LETTER = r"\p{L}\p{N}_"
+#: Patterns of links, bare domains (those of topics and templates, and those of cleaned posts), cashtags and mentions.
 URL = rf"https?://[^{SPACE}]+"
-DOMAIN = rf"(?<![{LETTER}])[{LETTER}][{LETTER}.-]*\.(?:com|app|gov|net|org|io|in|co)(?![{LETTER}])(?:/[^{SPACE}]*)?"
+TOPIC_ENDINGS = "com|net|org|io|co|ai|gov|edu|biz|info|me|ca|uk|de|fr|jp|cn|ly|gg"
+POST_ENDINGS = "com|app|gov|net|org|io|in|co"
+TOPIC_DOMAIN = rf"(?<![{LETTER}])(?:[a-z0-9-]+\.)+(?:{TOPIC_ENDINGS})(?![{LETTER}])(?:/[^{SPACE}]*)?"
+DOMAIN = rf"(?<![{LETTER}])[{LETTER}][{LETTER}.-]*\.(?:{POST_ENDINGS})(?![{LETTER}])(?:/[^{SPACE}]*)?"
 CASHTAG = r"\$[A-Za-z][A-Za-z0-9.\-]*"
 MENTION = r"@[A-Za-z0-9_]+"
 
@@ -43,11 +47,11 @@ def training_text(c: Column | str) -> Column:
 
 
 def topic_text(c: Column | str) -> Column:
-    return F.trim(_without(F.lower(col(c)), URL, DOMAIN, CASHTAG, MENTION, r"[^a-z\s]", r"\s+"))
+    return F.trim(_without(F.lower(col(c)), URL, TOPIC_DOMAIN, CASHTAG, MENTION, r"[^a-z\s]", r"\s+"))
 
 
 def template_text(c: Column | str) -> Column:
-    return F.trim(_without(F.lower(col(c)), URL, DOMAIN, CASHTAG, MENTION, r"\d+", r"[^a-z\s]", r"\s+"))
+    return F.trim(_without(F.lower(col(c)), URL, TOPIC_DOMAIN, CASHTAG, MENTION, r"\d+", r"[^a-z\s]", r"\s+"))
 
 
 def informative_text(c: Column | str, stop_words: list[str]) -> Column:
@@ -57,8 +61,12 @@ def informative_text(c: Column | str, stop_words: list[str]) -> Column:
     return F.array_join(F.filter(tokens, lambda t: ~F.array_contains(stops, t)), " ")
 
 
+#: Advertising phrases.
+ADVERTS = ("instant stock alerts on whatsapp", "try free")
+
+
 def clean_post(c: Column | str) -> Column:
-    return F.trim(_without(col(c), "(?iu)" + DOMAIN, "(?iu)instant stock alerts on whatsapp", "(?iu)try free", f"[{SPACE}]+"))
+    return F.trim(_without(col(c), "(?iu)" + DOMAIN, *["(?iu)" + a for a in ADVERTS], f"[{SPACE}]+"))
 
 
 def clean_label(c: Column | str) -> Column:
@@ -130,3 +138,31 @@ def prompt(posts: Column | str, head: str, limit: int = 20, width: int = 200) ->
     """A head, then the first posts, each cut to a width and dashed."""
     cut = F.transform(F.slice(col(posts), 1, limit), lambda p: F.concat(F.lit("- "), F.substring(p, 1, width)))
     return F.concat(F.lit(head), F.lit("\n"), F.array_join(cut, "\n"))
+
+
+def text_shape(c: Column | str, *arrays: str) -> dict[str, Column]:
+    """Length, whether it is blank, and sizes of array columns; null counts as empty."""
+    t = F.coalesce(col(c), F.lit(""))
+    sizes = {f"n_{a}": F.coalesce(F.size(a), F.lit(0)) for a in arrays}
+    return {"text_length": F.length(t), "is_text_empty": F.trim(t) == "", **sizes}
+
+
+def human_number(c: Column | str, digits: int = 2) -> Column:
+    """A number with M, B or T from a million on; n/d for null."""
+    n = col(c).cast("double")
+    shown = lambda by, unit, k=2: F.format_string(f"%.{k}f{unit}", n / by)
+    return F.when(n.isNull(), "n/d").when(F.abs(n) >= 1e12, shown(1e12, " T")).when(F.abs(n) >= 1e9, shown(1e9, " B")).when(F.abs(n) >= 1e6, shown(1e6, " M")).otherwise(shown(1.0, "", digits))
+
+
+def human_percent(c: Column | str) -> Column:
+    n = col(c).cast("double")
+    return F.when(n.isNull(), "n/d").otherwise(F.format_string("%.2f%%", n * 100))
+
+
+def prompt_header(c: Column | str) -> dict[str, Column]:
+    """symbol, category, industry and post_count from the head of an assembled prompt; null where it has none."""
+    line = r"Company:\s*(\S+)\s*\|\s*Category:\s*([\s\S]*?)\s*\|\s*Industry:\s*([\s\S]*?)\s*\n"
+    found = col(c).rlike(line)
+    part = lambda k: F.when(found, F.regexp_extract(col(c), line, k))
+    total = F.regexp_extract(col(c), r"Total posts collected:\s*(\d+)", 1).try_cast("long")
+    return {"symbol": part(1), "category": part(2), "industry": part(3), "post_count": F.when(found, total)}

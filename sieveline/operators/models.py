@@ -12,7 +12,7 @@ from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import polarity
@@ -59,9 +59,17 @@ def holdout_quality(scored: DataFrame) -> DataFrame:
     return scored.agg(F.round((tp + tn) / F.count("*"), 4).alias("accuracy"), F.round((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2, 4).alias("macro_f1"))
 
 
-def topic_count(n: int) -> int:
-    """Number of topics by number of documents."""
-    return max(2, min(48, round(n**0.5 / 4) + 6))
+def topic_count(documents: Column, requested: Column | int) -> Column:
+    """Number of topics: the requested one within bounds by the number of documents; 0 without documents."""
+    least = F.when(documents >= 5_000, 12).otherwise(6)
+    most = F.when(documents >= 20_000, 72).when(documents >= 10_000, 56).otherwise(24)
+    wanted = F.lit(requested) if isinstance(requested, int) else requested
+    return F.when(documents <= 0, 0).otherwise(F.greatest(least, F.least(wanted, most, F.greatest(documents - 1, F.lit(1))))).cast("int")
+
+
+def least_documents(documents: Column, requested: int = 20) -> Column:
+    """Least number of documents that a topic term must be in."""
+    return F.least(F.lit(requested), F.greatest(F.lit(2), F.floor(documents / 50))).cast("int")
 
 
 def discover_topics(rows: DataFrame, k: int, seed: int = 42, min_df: float = 2, max_df: float = 0.9) -> DataFrame:
@@ -73,7 +81,10 @@ def discover_topics(rows: DataFrame, k: int, seed: int = 42, min_df: float = 2,
 
 def assign_topics(vectors: DataFrame, k: int, outlier: float = 2.0, seed: int = 42) -> DataFrame:
     """doc_id, topic_id by KMeans over a vector column; documents far from every centre are -1."""
-    size = len(vectors.select("vector").first()["vector"])
+    some = vectors.select("vector").first()
+    if some is None:
+        return vectors.select("doc_id", F.lit(-1).alias("topic_id"), F.lit(None).cast("double").alias("distance"))
+    size = len(some["vector"])
     parts = vectors.select("doc_id", *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(size)])
     data = VectorAssembler(inputCols=[f"v{i}" for i in range(size)], outputCol="features").transform(parts)
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(data)

@@ -9,6 +9,7 @@ from ..functions import rules, text
 from ..operators import discourse, identity, models, portfolio, series, statistics
 from ..sources import files
 from . import bindings as b
+from . import sqltext
 from .registry import oracle_sql, queries, query
 
 __all__ = ["oracle_sql", "queries"]
@@ -78,14 +79,8 @@ def tx1_training_text(spark: SparkSession, d: str) -> DataFrame:
     return b.posts(spark, d).select("doc_id", text.training_text("text").alias("clean"), F.length("text").cast("long").alias("text_length"), (F.trim("text") == "").alias("is_text_empty"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '\b\w[\w.-]*\.(?:com|app|gov|net|org|io|in|co)\b(?:/\S*)?', ' ', 'g'), '\$[A-Za-z][A-Za-z0-9.\-]*', ' ', 'g'), '@[A-Za-z0-9_]+', ' ', 'g'), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {sqltext.topic('text')} AS clean FROM documents")
 def tx2_topic_text(spark: SparkSession, d: str) -> DataFrame:
-    return b.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.topic_text("text").alias("clean"))
-
-
-@query()
-def tx2_topic_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """All languages; regular expressions of DuckDB know ASCII classes only, so there is no SQL."""
     return b.read(spark, d, "documents").select("doc_id", text.topic_text("text").alias("clean"))
 
 
@@ -274,6 +269,9 @@ def wn4_profitability_scores(spark: SparkSession, d: str) -> DataFrame:
 _AXES = "x AS (SELECT concat('P', l_partkey) AS symbol, l_linenumber AS axis_id, round(avg(l_discount), 6) AS raw, round(avg(l_tax) * 5, 6) AS exposure, count(*) AS posts FROM lineitem GROUP BY 1, 2)"
 
 
+_SHRUNK = "p AS (SELECT *, CASE WHEN min(raw) OVER k = max(raw) OVER k THEN 50.0 ELSE (rank() OVER (PARTITION BY axis_id ORDER BY raw) - 1 + 0.5 * count(*) OVER (PARTITION BY axis_id, raw)) / count(*) OVER k * 100 END AS pct, least(1.0, ln(1 + posts) / ln(16)) * least(1.0, 0.2 + 0.8 * least(1.0, 3.5 * exposure)) AS conf FROM x WINDOW k AS (PARTITION BY axis_id)), shrunk AS (SELECT symbol, axis_id, exposure, round(conf, 4) AS confidence, round(50 + conf * (pct - 50), 2) AS axis_score FROM p)"
+
+
 @query(f"WITH {_AXES}, p AS (SELECT *, CASE WHEN min(raw) OVER k = max(raw) OVER k THEN 50.0 ELSE (rank() OVER (PARTITION BY axis_id ORDER BY raw) - 1 + 0.5 * count(*) OVER (PARTITION BY axis_id, raw)) / count(*) OVER k * 100 END AS pct, least(1.0, ln(1 + posts) / ln(16)) * least(1.0, 0.2 + 0.8 * least(1.0, 3.5 * exposure)) AS conf FROM x WINDOW k AS (PARTITION BY axis_id)) SELECT symbol, axis_id, round(pct, 4) AS percentile, round(conf, 4) AS confidence, round(50 + conf * (pct - 50), 2) AS axis_score FROM p")
 def wn6_axis_scores(spark: SparkSession, d: str) -> DataFrame:
     return statistics.shrunk_axis_scores(b.axis_scores(spark, d)).select("symbol", "axis_id", F.round("percentile", 4).alias("percentile"), "confidence", "axis_score")
@@ -314,12 +312,18 @@ def wn18_threshold_table(spark: SparkSession, d: str) -> DataFrame:
 # --- portfolio
 
 _W = portfolio.normal_weights(PROFILE.weights)
+
+
+def _selection(weights: dict[str, float]) -> str:
+    return " + ".join(f"{k} * {v!r}" for k, v in weights.items())
+
+
 _SCORED = f"""c AS (SELECT *, round(0.45 * (1 / sqrt(rank_in_category)) + 0.35 * least(posts_count / 40, 1.0) + 0.20 * CASE WHEN market_cap_numeric > 0 THEN least(log10(market_cap_numeric) / 12, 1.0) ELSE 0 END, 4) AS base_quality,
   round(CASE WHEN custom_esg_proxy_score IS NULL THEN 0 ELSE least(1.0, greatest(0.0, custom_esg_proxy_score / 100)) END, 4) AS esg_alignment, 1.0 AS category_match,
   CASE WHEN profitability_score IS NULL THEN 0 ELSE least(1.0, greatest(0.0, profitability_score / 100)) END AS profitability_alignment,
   CASE WHEN technical_score IS NULL THEN 0 ELSE least(1.0, greatest(0.0, technical_score / 100)) END AS technical_alignment,
   CASE WHEN market_cap_numeric IS NULL THEN 0 ELSE least(1.0, greatest(0.0, log10(greatest(market_cap_numeric, 1.0)) / 12)) END AS market_cap_alignment FROM master WHERE posts_count >= {PROFILE.min_posts}),
-scored AS (SELECT *, round({' + '.join(f'{k} * {v!r}' for k, v in _W.items())}, 4) AS selection_score FROM c)"""
+scored AS (SELECT *, round({_selection(_W)}, 4) AS selection_score FROM c)"""
 _PICK = f"""r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY selection_score DESC, symbol) AS cr FROM scored),
 seeds AS (SELECT symbol FROM r WHERE cr = 1 ORDER BY selection_score DESC, symbol LIMIT {PROFILE.min_categories}),
 ph AS (SELECT *, CASE WHEN symbol IN (SELECT symbol FROM seeds) THEN 0 WHEN cr <= {PROFILE.max_per_category} THEN 1 ELSE 2 END AS phase FROM r),
@@ -351,13 +355,17 @@ def pf13_summary(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.summary(portfolio.preview(_master(spark, d), PROFILE))
 
 
-@query()
+_OTHER = _SCORED.replace(_selection(_W), _selection(portfolio.normal_weights(portfolio.BENCHMARK_WEIGHTS)))
+_MEANS = ", ".join(f"round(sum({c} * weight) / sum(CASE WHEN {c} IS NOT NULL THEN weight END), 4) AS avg_{c}" for c in ("custom_esg_proxy_score", "profitability_score"))
+
+
+@query(f"WITH {COMPANIES}, base AS (WITH {_SCORED}, {_PICK} SELECT * FROM holdings), other AS (WITH {_OTHER}, {_PICK} SELECT * FROM holdings), a AS (SELECT count(*) AS n, round(sum(weight * weight), 4) AS hhi, {_MEANS} FROM base), b AS (SELECT round(sum(weight * weight), 4) AS hhi, {_MEANS} FROM other), o AS (SELECT count(*) AS overlap FROM base WHERE symbol IN (SELECT symbol FROM other)) SELECT overlap, round(overlap / n, 4) AS overlap_ratio, round(a.hhi - b.hhi, 4) AS delta_hhi, round(a.avg_custom_esg_proxy_score - b.avg_custom_esg_proxy_score, 4) AS delta_avg_custom_esg_proxy_score, round(a.avg_profitability_score - b.avg_profitability_score, 4) AS delta_avg_profitability_score FROM a, b, o")
 def pf15_comparison(spark: SparkSession, d: str) -> DataFrame:
     m = _master(spark, d)
     return portfolio.comparison(portfolio.preview(m, PROFILE), portfolio.preview(m, portfolio.benchmark_profile(PROFILE)))
 
 
-@query()
+@query(f"WITH {_AXES}, {_SHRUNK}, t AS (SELECT *, least(1.0, greatest(0.0, axis_score / 100)) AS x, CASE axis_id WHEN 1 THEN 0.8 WHEN 2 THEN 0.4 ELSE 0.5 END AS imp, least(1.0, exposure) AS e FROM shrunk WHERE axis_id <= 3), v AS (SELECT *, CASE WHEN axis_id < 3 THEN imp * (0.25 + 0.75 * confidence) * (0.20 + 0.80 * e) END AS w, CASE WHEN axis_id = 2 THEN 1 - x ELSE x END AS good FROM t) SELECT symbol, round(sum(good * w) / sum(w), 4) AS axis_component, count(w) AS match_count, round(sum(e * imp) / sum(imp), 4) AS perception FROM v GROUP BY symbol")
 def pf5_axis_alignment(spark: SparkSession, d: str) -> DataFrame:
     axes = statistics.shrunk_axis_scores(b.axis_scores(spark, d)).withColumnRenamed("axis_score", "score")
     prefs = (portfolio.AxisPreference(1, "prefer_high", 0.8), portfolio.AxisPreference(2, "prefer_low", 0.4), portfolio.AxisPreference(3, "neutral", 0.5))
@@ -399,11 +407,6 @@ def so5_to_do(spark: SparkSession, d: str) -> DataFrame:
     return identity.to_do(c, b.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query()
-def sc13_listings(spark: SparkSession, d: str) -> DataFrame:
-    return files.listings(b.read(spark, d, "pages"))
-
-
 @query()
 def ml4_sentiment_model(spark: SparkSession, d: str) -> DataFrame:
     docs = b.read(spark, d, "documents").withColumn("text", text.training_text("text"))
@@ -464,4 +467,4 @@ def ag13_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(statistics.weighted_mean(value, F.col("l_quantity")), 6).alias("mean"))
 
 
-from . import records_catalog  # noqa: E402, F401  registers its queries beside these
+from . import files_catalog, records_catalog  # noqa: E402, F401  register their queries beside these

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import discourse, identity, portfolio, records, statistics
 from . import bindings as b
+from . import sqltext
 from .catalog import COMPANIES, METRICS, SENTIMENT, _master, _scored_posts
 from .registry import query
 
@@ -39,7 +40,7 @@ def id1_symbol_key(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "part").select("p_partkey", text.symbol_key(raw).alias("symbol"))
 
 
-@query(f"WITH {_LISTED} SELECT s_suppkey, concat(base, '.', suffix, ',', base, '-', suffix, ',', base, ',', base, suffix) AS candidates FROM s")
+@query(f"WITH {_LISTED} SELECT s_suppkey, concat(base, '.', suffix, ',', base, '-', suffix, CASE WHEN suffix = 'US' THEN concat(',', base, '.USE,', base, '-USE') ELSE '' END, ',', base) AS candidates FROM s")
 def id3_ticker_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _listed(spark, d).select("s_suppkey", F.array_join(identity.ticker_candidates("symbol"), ",").alias("candidates"))
 
@@ -69,13 +70,8 @@ def id11_unique_slugs(spark: SparkSession, d: str) -> DataFrame:
 # --- text
 
 
-@query(f"SELECT doc_id, {_chain('lower(text)', r'https?://\S+', r'\b\w[\w.-]*\.(?:com|app|gov|net|org|io|in|co)\b(?:/\S*)?', r'\$[A-Za-z][A-Za-z0-9.\-]*', '@[A-Za-z0-9_]+', r'\d+', r'[^a-z\s]', r'\s+')} AS template FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {sqltext.topic('text')} AS template FROM documents")
 def tx3_template_text(spark: SparkSession, d: str) -> DataFrame:
-    return b.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.template_text("text").alias("template"))
-
-
-@query()
-def tx3_template_text_all(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "documents").select("doc_id", text.template_text("text").alias("template"))
 
 
@@ -85,13 +81,8 @@ def tx5_clean_label(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "part").select("p_partkey", text.clean_label(raw).alias("label"))
 
 
-@query(f"SELECT doc_id, {_chain('text', r'(?i)\b\w[\w.-]*\.(?:com|app|gov|net|org|io|in|co)\b(?:/\S*)?', '(?i)instant stock alerts on whatsapp', '(?i)try free', r'\s+')} AS post FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {sqltext.post('text')} AS post FROM documents")
 def tx8_clean_post(spark: SparkSession, d: str) -> DataFrame:
-    return b.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.clean_post("text").alias("post"))
-
-
-@query()
-def tx8_clean_post_all(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "documents").select("doc_id", text.clean_post("text").alias("post"))
 
 
@@ -122,16 +113,9 @@ def tx18_safe_number(spark: SparkSession, d: str) -> DataFrame:
 # --- filters and rules
 
 
-@query(f"WITH t AS (SELECT doc_id, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS w FROM documents WHERE lang = 'en') SELECT doc_id, contains(low, 'inst') OR (len(list_intersect(w, ['the', 'that', 'with', 'from', 'were'])) >= 4 AND len(w) <= 18) AS boilerplate FROM t")
+@query(f"WITH t AS (SELECT doc_id, lower(text) AS low, {sqltext.topic('text')} AS template FROM documents), w AS (SELECT *, list_distinct(regexp_extract_all(template, '[a-z]{{2,}}')) AS w, count(*) OVER (PARTITION BY template) AS n FROM t) SELECT doc_id, contains(low, 'inst') OR (len(list_intersect(w, ['the', 'that', 'with', 'from', 'were'])) >= 4 AND len(w) <= 18) OR (n >= 40 AND len(string_split(template, ' ')) >= 5) AS boilerplate FROM w")
 def fl5_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.read(spark, d, "documents").where("lang = 'en'")
-    found = rules.boilerplate("text", F.lower("text"), F.lit(1), 40, ("inst",), ("the", "that", "with", "from", "were"))
-    return docs.select("doc_id", found.alias("boilerplate"))
-
-
-@query()
-def fl5_boilerplate_all(spark: SparkSession, d: str) -> DataFrame:
-    """All languages, with templates counted over all rows."""
+    """Templates are counted over all rows."""
     docs = b.read(spark, d, "documents").select("doc_id", "text", text.template_text("text").alias("template"))
     docs = docs.withColumn("key", F.sha2("template", 256))
     counts = docs.groupBy("key").agg(F.count("*").alias("frequency"))

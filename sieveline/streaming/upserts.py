@@ -3,7 +3,7 @@ same files gives the same table; the order of versions is the file order column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.identity import upsert_messages
@@ -43,3 +43,13 @@ def open_symbols(symbols: DataFrame, journal: DataFrame) -> DataFrame:
 
 def seen_times(messages: DataFrame) -> DataFrame:
     return messages.groupBy("id").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("updated_at"))
+
+
+def last_extract(extracts: DataFrame, patience: int = 5) -> DataFrame:
+    """One row, stop_at: the extract (``step``) after which ``patience`` extracts in a row, it included, brought no new ``id``; null if none did."""
+    first = extracts.groupBy("id").agg(F.min("step").alias("step")).groupBy("step").agg(F.count("*").alias("new"))
+    # one row for each extract
+    steps = extracts.select("step").distinct().join(first, "step", "left")
+    w = Window.orderBy("step").rowsBetween(1 - patience, 0)
+    quiet = steps.select("step", F.count_if(F.col("new").isNull()).over(w).alias("quiet"))
+    return quiet.agg(F.min(F.when(F.col("quiet") >= patience, F.col("step"))).alias("stop_at"))

@@ -29,10 +29,11 @@ def test_text_queries_over_all_languages_equal_plain_ones(spark, sf_dir):
     from sieveline.functions import text
 
     domain = r"\b\w[\w.-]*\.(?:com|app|gov|net|org|io|in|co)\b(?:/\S*)?"
+    topic_domain = r"(?i)\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|co|ai|gov|edu|biz|info|me|ca|uk|de|fr|jp|cn|ly|gg)\b(?:/\S*)?"
 
     def plain(t, *more):
         t = t.lower()
-        for p in (r"https?://\S+", domain, r"\$[A-Za-z][A-Za-z0-9.\-]*", r"@[A-Za-z0-9_]+", *more, r"[^a-z\s]", r"\s+"):
+        for p in (r"https?://\S+", topic_domain, r"\$[A-Za-z][A-Za-z0-9.\-]*", r"@[A-Za-z0-9_]+", *more, r"[^a-z\s]", r"\s+"):
             t = re.sub(p, " ", t)
         return t.strip()
 
@@ -44,14 +45,14 @@ def test_text_queries_over_all_languages_equal_plain_ones(spark, sf_dir):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     run = lambda name: {r[0]: r[1] for r in catalog.queries()[name](spark, sf_dir).collect()}
     templates = {i: plain(t, r"\d+") for i, t in rows.items()}
-    assert run("tx2_topic_text_all") == {i: plain(t) for i, t in rows.items()} and run("tx3_template_text_all") == templates
-    assert run("tx8_clean_post_all") == {i: post(t) for i, t in rows.items()}
+    assert run("tx2_topic_text") == {i: plain(t) for i, t in rows.items()} and run("tx3_template_text") == templates
+    assert run("tx8_clean_post") == {i: post(t) for i, t in rows.items()}
     count = collections.Counter(templates.values())
     hints = {"the", "that", "with", "from", "were"}
     tokens = {i: set(re.findall("[a-z]{2,}", t)) for i, t in templates.items()}
     want = {i: "inst" in t.lower() or len(tokens[i] & hints) >= 4 and len(tokens[i]) <= 18 or count[templates[i]] >= 40 and len(templates[i].split()) >= 5 for i, t in rows.items()}
-    assert run("fl5_boilerplate_all") == want
-    odd = ["aü.com/x ö", "über.com", "x http://a.b\u00a0stays é", "Ünstant TRY\u2003FREE try free\u00a0\u3000x", "y.co\u0301 z.coé a.in/ü\u2028b", "\x1cq.io\x1d r"]
+    assert run("fl5_boilerplate") == want
+    odd = ["aü.com/x ö", "über.com", "x http://a.b\u00a0stays é", "Ünstant TRY\u2003FREE try free\u00a0\u3000x", "y.co\u0301 z.coé a.in/ü\u2028b", "\x1cq.io\x1d r", "see sub.site.ai/x and a.de,b.uk;c.fr mail@host.edu x-y.me é-z.gg _q.com 3.14 app.app"]
     made = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", text.topic_text("t").alias("a"), text.clean_post("t").alias("b"), F.col("t")).collect()
     assert [(r["a"], r["b"]) for r in sorted(made)] == [(plain(t), post(t)) for t in odd]
 
@@ -59,4 +60,56 @@ def test_text_queries_over_all_languages_equal_plain_ones(spark, sf_dir):
 def test_boilerplate_counts_templates(spark, tmp_path):
     rows = [(i, f"un deux trois quatre cinq {i}", "fr") for i in range(40)] + [(50 + i, f"six sept huit neuf dix {i}", "fr") for i in range(39)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r[0]: r[1] for r in catalog.queries()["fl5_boilerplate_all"](spark, str(tmp_path)).collect()} == {i: i < 50 for i, _, _ in rows}
+    assert {r[0]: r[1] for r in catalog.queries()["fl5_boilerplate"](spark, str(tmp_path)).collect()} == {i: i < 50 for i, _, _ in rows}
+
+
+def test_redundant_categories_equal_a_plain_pass(spark):
+    import random
+
+    from sieveline.operators import discourse
+
+    random.seed(4)
+    sets = {f"c{i:02}": set(random.sample(range(30), random.randint(3, 25))) for i in range(25)}
+    sets["c90"], sets["c91"] = set(sorted(sets["c00"])[:3]), set(sets["c01"])
+    n = {c: len(s) for c, s in sets.items()}
+    dropped = {}
+    for rule in ("contained", "like"):
+        pairs = sorted(((a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]), key=lambda p: (-max(n[p[0]], n[p[1]]), p))
+        for a, b in pairs:
+            big, less = (a, b) if (n[a], b) >= (n[b], a) else (b, a)
+            both = len(sets[a] & sets[b])
+            if a not in dropped and b not in dropped and (both >= 0.85 * n[less] if rule == "contained" else both >= 0.6 * len(sets[a] | sets[b])):
+                dropped[less] = big
+    rows = spark.createDataFrame([(c, f"t{t}") for c, s in sets.items() for t in s], "category string, ticker string")
+    assert dropped and discourse.redundant_categories(rows) == sorted(dropped.items())
+
+
+def test_stratified_sample_equals_a_plain_one(spark):
+    import struct
+
+    import xxhash
+
+    from sieveline.operators import statistics
+
+    rows = [(f"k{i}", f"s{i % 7 % 4}") for i in range(90)]
+    turn = lambda k: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(struct.pack("<i", 42), seed=xxhash.xxh64(k.encode(), seed=42).intdigest()).intdigest()))[0]
+    groups = {s: sorted((k for k, t in rows if t == s), key=lambda k: (turn(k), k)) for s in {t for _, t in rows}}
+    want = sorted((i + 1, s, k) for s, own in groups.items() for i, k in enumerate(own))[:30]
+    made = statistics.stratified_sample(spark.createDataFrame(rows, "k string, s string"), "s", "k", 30, 42)
+    assert sorted((r["turn"], r["s"], r["k"]) for r in made.collect()) == want
+
+
+def test_fused_profiles_on_cases(spark):
+    from sieveline.operators import discourse
+
+    part = lambda rows: spark.createDataFrame(rows, "symbol string, post_count long, axiological_coverage double")
+    filters = {"seed": part([("A", 10, 0.5), ("B", 4, 0.0)]), "embed": part([("A", 20, 0.25), ("C", 8, 0.02)])}
+    frame = "array<struct<label:string,sentiment:string>>"
+    model = spark.createDataFrame([("A", 30, [("x", "positive"), (" X", "neutral")], False), ("D", 5, [], True)], f"symbol string, post_count long, frames {frame}, error boolean")
+    got = {r["symbol"]: r for r in discourse.fuse_profiles(filters, model).collect()}
+    assert sorted(got) == ["A", "B", "C", "D"]
+    a, b, c, e = (got[k] for k in "ABCD")
+    assert (a["post_count"], a["axiological_coverage"], a["coverage_seed"], a["coverage_embed"], a["n_frames"], a["methods"], a["has_signal"]) == (30, 0.5, 0.5, 0.25, 1, 3, True)
+    assert (b["methods"], b["has_signal"], b["profile_null"]) == (0, False, True)
+    assert (c["post_count"], c["axiological_coverage"], c["methods"], c["profile_null"]) == (8, 0.02, 1, True)
+    assert (e["post_count"], e["n_frames"], e["methods"], e["confidence"]) == (5, 0, 0, 0.0)

@@ -51,8 +51,14 @@ def test_flat_series_and_bounds(spark):
 def test_identity(spark):
     rows = spark.createDataFrame([("a-b", 2, 1), ("A.B", 1, 2), ("A.B", 1, 3), ("C", None, 4)], "symbol string, rank int, _ord long")
     assert [(r["symbol"], r["_ord"]) for r in identity.distinct_universe(rows).orderBy("symbol").collect()] == [("A.B", 2), ("C", 4)]
+    cases = [("brk/b ",), ("A2Z.NS",), ("AAWH.U.CSE",), ("ABC",), ("",), ("x.y/l n.v",)]
+    spelt = [r["c"] for r in spark.createDataFrame(cases, "s string").select(identity.ticker_candidates("s").alias("c")).collect()]
+    assert spelt == [
+        ["BRK/B", "BRK.B", "BRK-B", "BRK"], ["A2Z.NS", "A2Z-NS", "A2Z.NSE", "A2Z-NSE", "A2Z"], ["AAWH.U.CSE", "AAWH-U-CSE", "AAWH.U-CSE", "AAWH.U", "AAWH-U", "AAWH"],
+        ["ABC"], [], ["X.Y/L N.V", "X.Y.L N.V", "X-Y-L N-V", "X.Y.L N-V", "X.Y.L N-TSXV", "X-Y-L N-TSXV", "X.Y.L N.TSXV", "X.Y.L N", "X-Y-L N", "X", "X.Y-L-N.V"],
+    ]
     c = spark.createDataFrame([("BRK/B",)], "s string").select(identity.ticker_candidates("s", {"B": ["X"]}).alias("c")).first()["c"]
-    assert c == ["BRK/B", "BRK.B", "BRK-B", "BRK.X", "BRK", "BRKB"]
+    assert c == ["BRK/B", "BRK.B", "BRK-B", "BRK.X", "BRK-X", "BRK"]
     base = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "symbol string, m double")
     raw = spark.createDataFrame([("a", 5.0, 1), ("a", None, 2), ("z", 1.0, 3)], "symbol string, m double, _ord long")
     new, lost = identity.merge_raw(base, raw, ["m"])
@@ -82,7 +88,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.append_missing(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), str(tmp_path / "out"), "k") == 1
     page = "<table><tr><th>#</th><th>Name</th></tr><tr><td>1</td><td>Acme Corp ACM</td></tr></table>"
     assert [tuple(r) for r in files.listings(spark.createDataFrame([("u", page)], "url string, html string")).collect()] == [("u", 1, "ACM", "Acme Corp")]
-    assert "| 1 |" in files.report("T", {"S": spark.range(1, 2)})
+    made = files.report("T", {"S": spark.range(1, 4)}, limit=2)
+    assert "| 1 |" in made and "| 3 |" not in made and "1 more rows" in made
 
 
 def test_stream_upsert_equals_batch(spark, tmp_path):
