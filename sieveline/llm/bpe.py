@@ -4,8 +4,9 @@ Each pretoken is a doubly linked list of symbols. A priority queue holds (merge
 is merged, its neighbours are queued anew, and entries whose pair has changed since are skipped as stale. Decoding
 concatenates vocabulary strings with one space between, as the tokenizer file names no decoder.
 
-Nulls count as empty texts (no ids, both digests those of the empty string). Any other column is ignored; rows are
-independent, so ties, repeated rows and empty tables need no rule. Long texts go through word by word.
+Nulls count as empty texts (no ids, both digests those of the empty string), a null doc_id is handed through. Any other column is
+ignored; rows are independent, so repeated rows give equal rows, there are no ties, and an empty table gives no rows. Long texts go
+through word by word.
 """
 
 from __future__ import annotations

@@ -79,7 +79,7 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
-def _pieces(text: bytes, separators: np.ndarray) -> Iterator[np.ndarray]:
+def text_parts(text: bytes, separators: np.ndarray) -> Iterator[np.ndarray]:
     """A long text in parts of about a slice each that end at a separator."""
     buf, at = np.frombuffer(text, np.uint8), 0
     while at < len(buf):
@@ -98,7 +98,7 @@ def document_word_hashes(texts: list[bytes], separators: np.ndarray = WHITE, joi
     """Word hashes of each text, in order; memory is bounded by a slice, or one text's hashes."""
     for first, last in slices(texts):
         if last - first == 1 and len(texts[first]) > SLICE_BYTES:
-            parts = [run_hashes(p, separators)[2] for p in _pieces(texts[first], separators)]
+            parts = [run_hashes(p, separators)[2] for p in text_parts(texts[first], separators)]
             yield np.concatenate(parts) if parts else np.empty(0, np.uint64)
             continue
         group = texts[first:last]

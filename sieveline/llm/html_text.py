@@ -8,7 +8,8 @@ block (line-break tags included) becomes one blank, blocks are trimmed and joine
 
 Null or empty html gives an empty text with 0 characters, as does a page without text; broken and truncated markup is
 read as far as it goes, an unfinished tag at the end is dropped. Rows are independent: repeated rows give equal rows, null
-page_id or url are handed through, other columns are ignored, an empty table gives no rows.
+page_id or url are handed through, other columns are ignored, an empty table gives no rows. Very long pages are read whole; work grows
+with the length and, for each block, with the number of elements around it.
 """
 
 from __future__ import annotations

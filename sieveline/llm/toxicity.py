@@ -9,7 +9,9 @@ Every whole text is scored in Spark, in Arrow batches.
 
 doc_id, lang, source and labels are no inputs of a score. Null or empty texts get the score of a text without words; rows
 with a null doc_id are scored and are not held out. Repeated rows score alike, other columns are ignored, an empty
-table gives no rows. Without labelled rows of both classes every score is the prior 0.5 * TRAIN prevalence, predicted 0.
+table gives no rows. Labels that contradict each other for one doc_id are left out. Without labelled rows of both classes there is
+nothing to learn: every score is 0.4 times the share of toxic rows among the labelled ones, predicted 0. A very long text is read
+whole, in parts of LONG_WORDS words that overlap, so memory is that of its word hashes and one part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import WHITE, _BYTE_VALUES, _powers, encoded, mix, run_hashes, slices
+from .hashing import WHITE, _BYTE_VALUES, _powers, encoded, mix, run_hashes, slices, text_parts
 from .tools import small
 
 TRAIN_DOCUMENTS = 2500
@@ -35,6 +37,8 @@ PREFIXES = (4, 6)
 EPOCHS = 4
 FEATURES = 1 + len(PREFIXES)
 SLICE = 1 << 18
+#: Words of a long text that are pooled together.
+LONG_WORDS = 1 << 16
 COLUMNS = FILTERS * sum(WIDTHS)
 
 #: Words of this operator are runs of bytes that are neither ASCII punctuation nor white space.
@@ -70,7 +74,7 @@ class Network:
     thresholds: dict[str | None, float] = field(default_factory=dict)
 
     def pooled(self, table: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Maximum of each filter over each document; rows of documents are set apart by two rows of zeros."""
+        """Maximum of each filter over each document, which ends in rows of zeros; no window reaches into the next document."""
         rows = table[buckets[:, 0]]
         for k in range(1, FEATURES):
             rows += table[buckets[:, k]]
@@ -79,10 +83,23 @@ class Network:
             z = rows[: len(rows) - width + 1, at : at + FILTERS].copy()
             for o in range(1, width):
                 z[:] += rows[o : len(rows) - width + 1 + o, at + o * FILTERS : at + (o + 1) * FILTERS]
-            out.append(np.maximum.reduceat(z, bounds, axis=0))
+            ends = np.append(bounds[1:], len(rows)) - width + 1
+            edges = np.stack([bounds, ends], axis=1).ravel()
+            out.append(np.maximum.reduceat(z, edges[:-1] if edges[-1] == len(z) else edges, axis=0)[::2])
             at += width * FILTERS
         return np.maximum(np.concatenate(out, axis=1) + self.bias, 0)
 
+    def pooled_long(self, table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """``pooled`` of one long document, part by part: parts overlap by the widest filter."""
+        best = None
+        for at in range(0, len(buckets), LONG_WORDS):
+            part = buckets[at : at + LONG_WORDS + max(WIDTHS) - 1]
+            if at and len(part) < max(WIDTHS):
+                break  # the part before has seen these
+            made = self.pooled(table, part, np.zeros(1, np.int64))
+            best = made if best is None else np.maximum(best, made)
+        return best
+
     def table(self) -> np.ndarray:
         return self.embed @ self.bank
 
@@ -90,6 +107,11 @@ class Network:
         total = []
         for first, last in slices(texts, SLICE):
             group = [t.lower() for t in texts[first:last]]
+            if len(group) == 1 and len(group[0]) > SLICE:
+                parts = [word_buckets(p)[1] for p in text_parts(group[0], _BREAKS)]
+                buckets = np.concatenate([*parts, np.full((3, FEATURES), BUCKETS, np.int32)]).astype(np.int32)
+                total.append(self.pooled_long(table, buckets) @ self.out + self.offset)
+                continue
             joined = b"\n".join(group) + b"\n"
             starts, found = word_buckets(np.frombuffer(joined, np.uint8))
             bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in group]))
@@ -124,7 +146,8 @@ def train(documents: list[tuple[np.ndarray, int, str | None]], seed: int = 7) ->
     net = Network(embed, bank, np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 2.0 / (len(WIDTHS) * FILTERS), np.float32), -2.0)
     if not positives or positives == len(used):
         net.out[:] = 0
-        net.offset = -4.0 if not positives else 0.0
+        share = 0.4 * positives / max(len(used), 1)
+        net.offset = float(np.log(share / (1 - share))) if share else -40.0
         return net
     weight = len(used) / 2 / np.array([len(used) - positives, positives])
     squares = np.full(BUCKETS + 1, 1e-3, np.float32)
@@ -209,7 +232,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int, st
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     order = F.xxhash64("doc_id", F.lit(11))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    chosen = [r for t in (1, 0) for r in labels.where(F.col("toxic") == t).dropDuplicates(["doc_id"]).orderBy(order).limit(TRAIN_DOCUMENTS).collect()]
+    labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
+    chosen = [r for t in (1, 0) for r in labels.where(F.col("toxic") == t).orderBy(order).limit(TRAIN_DOCUMENTS).collect()]
     if not chosen:
         return []
     # at most 2 * TRAIN_DOCUMENTS rows are broadcast

@@ -81,6 +81,22 @@ def test_pii_candidates_lose_punctuation_and_see_the_text_before(spark):
     assert got[50] == "email:17:36" and got[51] == "phone:10:22" and got[52] == "phone:19:31" and got[53] == "phone:10:23"
 
 
+def test_pii_secrets_need_a_pattern(spark):
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    seeded = [(i, f'x y token = "{key(i)}"') for i in range(6)]
+    df = table(spark, [*seeded, (50, 'then token = "sk_live_9aZ81kQx77Lm"; done'), (51, f"commit {key(51)} alone"), (52, "again sk_live_9aZ81kQx77Lm here"), (53, "token = 12")])
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    assert got[1] == "secret:13:77" and got[50] == "secret:14:34" and got[51] == "" and got[52] == "secret:6:26" and got[53] == ""
+
+
+def test_pii_clashing_columns_and_many_spans(spark):
+    many = " ".join(f"id{i}x77 {i % 200}.1.2.3" for i in range(700))
+    df = spark.createDataFrame([(1, many, "a", 1), (2, None, "b", 2), (None, "mail a@b.cd", "c", 3)], "doc_id long, text string, t string, m int").withColumns({"s": F.lit(1), "value": F.lit(2), "start": F.lit(3), "own": F.lit(4)})
+    made = {r["doc_id"]: r for r in pii.masked(df).collect()}
+    assert made[1]["text"] == re.sub(r"[0-9]+\.1\.2\.3", "[IP]", many) and made[None]["text"] == "mail [EMAIL]" and made[2]["text"] is None and made[1]["own"] == 4
+    assert {r["doc_id"]: r["n_ip"] for r in pii.report(df).collect()} == {1: 700, 2: 0, None: 0}
+
+
 def test_pii_pattern_spans_an_earlier_identifier(spark):
     df = table(spark, [(i, f"x a1b2c3d4 or user{i}@mail.example.com") for i in range(6)] + [(50, "x a1b2c3d4 or bob(at)mail.example ok"), (51, "mail: w@ex.org")])
     got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
@@ -102,6 +118,38 @@ def test_toxicity_on_held_out_rows(spark, sf_dir, documents, odd):
     assert len(scored) == 10 and all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_toxicity_logits_equal_a_plain_loop(monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [(rng.integers(0, toxicity.BUCKETS, (rng.integers(1, 9), toxicity.FEATURES)).astype(np.int32), int(i % 3 == 0), "en") for i in range(60)]
+    net = toxicity.train(docs)
+    texts = [" ".join(f"w{rng.integers(0, 40)}" for _ in range(rng.integers(0, 30))).encode() for _ in range(40)] + [b"", b"one", b"x y"]
+    table = net.table()
+
+    def plain(text):
+        rows = [table[list(b)].sum(axis=0) for b in toxicity.word_buckets(np.frombuffer(text, np.uint8))[1]] + [np.zeros(table.shape[1], np.float32)] * 3
+        best, at = [], 0
+        for width in toxicity.WIDTHS:
+            windows = [sum(rows[i + o][at + o * toxicity.FILTERS : at + (o + 1) * toxicity.FILTERS] for o in range(width)) for i in range(len(rows) - width + 1)]
+            best += list(np.max(windows, axis=0))
+            at += width * toxicity.FILTERS
+        return float(np.maximum(np.array(best) + net.bias, 0) @ net.out + net.offset)
+
+    want = [plain(t) for t in texts]
+    assert np.allclose(net.logits(table, texts), want, atol=1e-4)
+    monkeypatch.setattr(toxicity, "SLICE", 1)
+    monkeypatch.setattr(toxicity, "LONG_WORDS", 4)
+    assert np.allclose(net.logits(table, texts), want, atol=1e-4)
+
+
+def test_toxicity_labels_of_one_class_or_both_for_one_document(spark, documents, odd):
+    some = documents.select("doc_id").limit(200)
+    for label, score in ((1, 0.4), (0, 0.0)):
+        rows = toxicity.classify(odd, some.withColumn("toxic", F.lit(label))).collect()
+        assert len(rows) == 10 and all(abs(r["score"] - score) < 1e-6 and r["predicted"] == 0 for r in rows) or not toxicity.sample(odd, some.withColumn("toxic", F.lit(label)))
+    both = some.withColumn("toxic", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert toxicity.sample(documents, both) == []
+
+
 # 3
 
 
@@ -148,6 +196,13 @@ def test_html_on_the_pages_and_on_cases(spark, sf_dir):
     assert {k: html_text.main_text(k) for k in cases} == cases and html_text.main_text(None) == ""
 
 
+def test_html_odd_tables(spark):
+    df = spark.createDataFrame([(None, None, "<p>some text, here</p>", 1), (2, "u", None, 2), (2, "u", None, 2), (3, "v", "<div>" * 3000 + "deep down in the page", 3)], "page_id long, url string, html string, text int")
+    rows = html_text.extract_text(df).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"] > 0) for r in rows) == [(0, True), (2, False), (2, False), (3, True)]
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
 def test_html_uneven_sections_stay_whole():
     section = lambda n, name: f"<section><h2>{name}</h2>" + "".join(f"<p>{name} {i}, one, two, three</p>" for i in range(n)) + "</section>"
     want = ["Title", "A", *(f"A {i}, one, two, three" for i in range(50)), "B", "B 0, one, two, three", "x", "y"]
@@ -236,6 +291,16 @@ def test_sketch_merges_and_estimates():
 # 6 and 7
 
 
+def test_sentence_dedup_odd_rows(spark):
+    run = "First sentence of the passage stands here. Second sentence follows it at once. Third sentence closes the passage."
+    df = table(spark, [(1, run), (2, "Intro. " + run + " Outro."), (None, run), (2, "Intro. " + run + " Outro."), (3, None), (4, ""), (5, " \n ")])
+    got = sorted((r["doc_id"] or 0, r["n"], r["n_removed"], r["text"]) for r in spans.without_repeats(df, spans.SENTENCES, "n", "n_removed").where("text is not null").collect())
+    assert got == [(0, 3, 0, run), (1, 3, 3, ""), (2, 5, 3, "Intro. Outro."), (2, 5, 3, "Intro. Outro."), (4, 0, 0, ""), (5, 0, 0, " \n ")]
+    long = " ".join(f"Sentence number {i} of a very long text." for i in range(20000))
+    made = {r["doc_id"]: (r["n"], r["n_removed"]) for r in spans.without_repeats(table(spark, [(1, long), (2, long)]), spans.SENTENCES, "n", "n_removed").collect()}
+    assert made == {1: (20000, 0), 2: (20000, 20000)} and spans.without_repeats(df.limit(0), spans.SENTENCES).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op6_substring_dedup", "op7_line_dedup"])
 def test_span_dedup_equals_sql(same_as_sql, name):
     same_as_sql(queries.queries()[name], queries.oracle_sql()[name])
@@ -408,9 +473,67 @@ def test_fingerprints(spark, documents, odd):
     assert abs(float((sign(a) == sign(b)).mean()) - 240 / 360) < 0.2
 
 
+def test_fingerprints_equal_plain_minhash(spark, documents):
+    df = documents.where("doc_id < 60").select("doc_id", "text")
+    rows = sorted(df.collect())
+
+    def plain(text):
+        """Least images of the shingles' hashes by each permutation."""
+        (elements,) = fingerprints.document_word_hashes([text.lower().encode()]) if text.isascii() else fingerprints.document_word_hashes([text.encode().lower()])
+        high = [int(x) >> 32 for x in fingerprints.shingles(elements)]
+        return [min([(int(a) * x + int(b)) % (1 << 32) for x in high], default=0xFFFFFFFF) for a, b in zip(fingerprints._MULT, fingerprints._ADD, strict=True)]
+
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(df).collect()}
+    for k, r in enumerate(rows):
+        after = rows[(k + 1) % len(rows)]["text"]
+        own, new, nxt = plain(r["text"]), plain(fingerprints.edited(r["text"], after)), plain(after)
+        made = got[r["doc_id"]]
+        assert made["n_chars"] == len(r["text"]) and made["fingerprint"] == fingerprints.as_hex(np.array([own], np.uint32))[0] and made["edited_fingerprint"] == fingerprints.as_hex(np.array([new], np.uint32))[0]
+        assert abs(made["near_edited"] - np.mean([a == b for a, b in zip(own, new, strict=True)])) < 1e-9 and abs(made["near_next"] - np.mean([a == b for a, b in zip(own, nxt, strict=True)])) < 1e-9
+
+
 # pipeline
 
 
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Every decision but the perplexity bands', which the quality operator's own tests hold against plain versions, made by plain loops."""
+    import corpus_pipeline
+
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    texts = ["\n".join(" ".join(word() for _ in range(10)) for _ in range(9)) for _ in range(40)]
+    texts += ["\n".join(texts[0].split("\n")[:4] + texts[1].split("\n")[:5]), texts[2] + " end", texts[3], "too short", "", None, texts[4] + "\nmail me at a.b@c.de or 10.0.0.1", texts[5].replace("a", "é")]
+    df = table(spark, list(enumerate(texts)) + [(7, texts[7]), (None, texts[8] + " x")])
+    judged = {(r["doc_id"], r["row"]): r["kept"] for r in quality.judge(df).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).collect() if judged[r["doc_id"], r["h"]]]
+    assert len(rows) > 30 and all(len(words(t)) >= 50 for _, t in rows)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    seen, kept = set(), {}
+    for i, t in sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
+        lines, gone = t.split("\n"), set()
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        for a in range(len(at) - 2):
+            run = tuple(lines[k].strip() for k in at[a : a + 3])
+            if run in seen:
+                gone |= set(at[a : a + 3])
+            seen.add(run)
+        kept[i, t] = None if gone and len(gone) == len(at) else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    left = sorted({(i, kept[i, t]) for i, t in rows if kept[i, t] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    parts = plain_components([r for r in left if r[0] is not None])
+    final = [(i, t) for i, t in left if i is None or parts[i][1] == i]
+    final = {i: re.sub(r"[0-9.]+\.1\b", "[IP]", t.replace("a.b@c.de", "[EMAIL]")) for i, t in final}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == final
+    encoder = bpe_batch.BatchEncoder(bpe.Vocabulary(queries.TOKENIZER))
+    packed = collections.Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == {i: len(encoder.encode([t])[0]) // 4 + 1 for i, t in final.items()}
+
+
 def test_pipeline(spark, sf_dir, odd):
     import corpus_pipeline
 
