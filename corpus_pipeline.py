@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the columns of documents, the last one
 the packed pieces. A stage's result is meant to be written and read again before the next; ``run`` checkpoints it.
+
+In all stages a null text counts as empty and is handed through as null, a null doc_id is a document like any other (nothing is
+its near copy), texts are read whole whatever their length, repeated rows get the same decision, further columns are handed
+through under any name, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,29 +35,37 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the quality rules reject go: empty and null texts among them (under 50 words). Rows are judged one by one, so
+    repeated rows stay or go together, and there are no ties to break."""
     return _less(docs, quality.judge(docs).where(~F.col("kept"))).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go; so do documents that have no line left."""
+    """Repeated windows of three lines go, and documents that have no line left by it. The first place stays (least doc_id, then hash
+    of the text, then position); rows that repeat doc_id and text are one document and lose the same lines. Empty, null and blank
+    texts have no lines to lose and stay."""
     made = spans.without_repeats(docs, spans.LINES, "__lines", "__removed")
     return _counted(made.where((F.col("__removed") == 0) | (F.col("__removed") < F.col("__lines"))), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of rows that repeat doc_id and text, one."""
+    """One document of each group of near copies stays, that with the smallest doc_id. Of rows that repeat doc_id and text one stays,
+    that with the least values in its other columns, compared as text. Empty texts and rows without doc_id are no near copies of anything."""
     left = _less(docs, near.near_classes(docs, 85).where(~F.col("kept")))
-    return left.dropDuplicates(["doc_id", "__row"]).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min_by(F.struct(*docs.columns), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others])).alias("first")
+    return left.groupBy("doc_id", "__row").agg(first).select("first.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind."""
+    """Spans of personal data and secrets are replaced by their kind in brackets; spans that overlap become one, named by the first
+    (the alphabetically first kind of those that start together). Null texts stay null."""
     return _counted(pii.masked(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of up to 4096 tokens."""
+    """Pieces of sequences of up to 4096 tokens. Empty and null texts are their end token alone; rows that repeat a doc_id are packed
+    each; equal lengths are taken by doc_id, then by hash of the text, then by position."""
     return packing.pack(docs, TOKENIZER, 4096, 2)
 
 
