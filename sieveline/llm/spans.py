@@ -49,17 +49,10 @@ def _bare(unit: Column) -> Column:
     return F.btrim(unit, F.lit(_BLANKS))
 
 
-def _rows(docs: DataFrame, units: Units) -> DataFrame:
-    """__s_id, __s_text (hash), __s_units, __s_at: the positions of the non-blank units."""
-    made = docs.withColumns({"__s_id": F.col("doc_id"), "__s_text": F.xxhash64("text"), "__s_units": units.split(F.col("text"))})
-    filled = F.filter(F.transform("__s_units", lambda u, i: F.when(_bare(u) != "", i)), lambda i: i.isNotNull())
-    return made.withColumn("__s_at", filled)
-
-
 def runs(docs: DataFrame, units: Units) -> DataFrame:
     """__s_id, __s_text, at, h1, h2: every run, by the rank of its first unit among the non-blank ones."""
-    bare = F.filter(F.transform("__s_units", _bare), lambda u: u != "")
-    rows = _rows(docs.select("doc_id", "text"), units).where(F.size("__s_at") >= units.run).select("__s_id", "__s_text", bare.alias("u"))
+    bare = F.filter(F.transform(units.split(F.col("text")), _bare), lambda u: u != "")
+    rows = docs.select(F.col("doc_id").alias("__s_id"), F.xxhash64("text").alias("__s_text"), bare.alias("u")).where(F.size("u") >= units.run)
 
     def hashed(first: Column) -> Column:
         parts = [F.get("u", first + k) for k in range(units.run)]
@@ -85,13 +78,14 @@ def covered(docs: DataFrame, units: Units) -> DataFrame:
 def without_repeats(docs: DataFrame, units: Units, total: str = "n_units", removed: str = "n_removed") -> DataFrame:
     """``docs`` with ``text`` less its repeated units, and the numbers of non-blank units before and of those removed."""
     gone = covered(docs, units).withColumnRenamed("__s_id", "__g_id").withColumnRenamed("__s_text", "__g_text")
-    rows = _rows(docs, units)
-    joined = rows.join(gone, F.col("__s_id").eqNullSafe(F.col("__g_id")) & (F.col("__s_text") == F.col("__g_text")), "left")
-    out = F.transform("__s_gone", lambda r: F.get("__s_at", r))
-    # looked up in a map: an array would be searched for every unit
-    lost = F.map_from_arrays(out, out)
-    left = F.array_join(F.filter("__s_units", lambda u, i: ~F.map_contains_key("__s_lost", i)), units.joiner)
-    joined = joined.withColumn("__s_lost", lost)
+    same = F.col("doc_id").eqNullSafe(F.col("__g_id")) & (F.col("__s_text") == F.col("__g_text"))
+    # texts are cut after the join, so that only they are shuffled
+    joined = docs.withColumn("__s_text", F.xxhash64("text")).join(gone, same, "left").withColumn("__s_units", units.split(F.col("text")))
+    filled = F.filter(F.transform("__s_units", lambda u, i: F.when(_bare(u) != "", i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("__s_at", filled)
+    # positions left, by one hash set, in order
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__s_units") - 1), F.transform("__s_gone", lambda r: F.get("__s_at", r)))
+    left = F.array_join(F.transform(kept, lambda i: F.get("__s_units", i)), units.joiner)
     text = F.when(F.col("__s_gone").isNull(), F.col("text")).otherwise(left)
     counts = {total: F.coalesce(F.size("__s_at"), F.lit(0)).cast("long"), removed: F.coalesce(F.size("__s_gone"), F.lit(0)).cast("long")}
     keep = [F.col(c) for c in docs.columns if c not in ("text", *counts)]
