@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,78 +96,91 @@ def without_repeats(docs: DataFrame, units: Units, total: str = "n_units", remov
 #: Repeated passages of at least so many words go. Windows of ANCHOR words are compared first, one at least of any WINDOW words.
 WINDOW = 51
 ANCHOR = 26
-_PLACES = "id long, row long, at int, h long"
+SLICE = 1 << 14
+_ANCHORS = "id long, row long, code array<long>, h array<long>, c array<long>"
+_PLACES = "id long, row long, code array<long>, h array<long>"
 
 
-def _windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` word hashes, by its first word."""
-    if len(words) < size:
-        return np.empty(0, np.int64)
+def _hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the word hashes from each start to its end, end exclusive."""
     up, down = _powers.upto(len(words))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)])
-    return mix((sums[size:] - sums[:-size]) * down[: len(words) - size + 1]).view(np.int64)
+    return mix((sums[ends] - sums[starts]) * down[starts]).view(np.int64)
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` word hashes, by its first word."""
+    starts = np.arange(max(0, len(words) - size + 1))
+    return _hashes(words, starts, starts + size) if len(starts) else np.empty(0, np.int64)
 
 
-def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the least window of ANCHOR words within every WINDOW words."""
+def _anchors(words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each window of ANCHOR words that is the least (the leftmost of equal ones) of some WINDOW words: a code of the first of these and
+    their number (they follow one another), first * 256 + number; the anchor's hash; a hash of all the words that they cover."""
     h = _windows(words, ANCHOR)
     width = WINDOW - ANCHOR + 1
     if len(h) < width:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(len(h) - width + 1))
-    return at, h[at]
+        return (np.empty(0, np.int64),) * 3
+    near = np.lib.stride_tricks.sliding_window_view(h, width)
+    # in slices, as numpy copies the windows it looks at
+    least = np.concatenate([near[k : k + SLICE].argmin(axis=1) + np.arange(k, min(k + SLICE, len(near))) for k in range(0, len(near), SLICE)])
+    anchor, at, n = np.unique(least, return_index=True, return_counts=True)
+    return at << 8 | n, h[anchor], _hashes(words, at, at + n - 1 + WINDOW)
+
+
+def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First windows and numbers of windows of each row of a list of codes; none where it is null."""
+    codes = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    for end, before in zip(ends, np.concatenate([np.zeros(1, np.int64), ends]), strict=False):
+        yield codes[before:end] >> 8, codes[before:end] & 255
 
 
-def _repeated(places: DataFrame) -> DataFrame:
-    """h, first: hashes that occur more than once, and their first place."""
-    found = places.groupBy("h").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return found.select(F.col("h").alias("same"), "first")
+def _flat(df: DataFrame, *names: str) -> DataFrame:
+    """One row for each element of the lists named, which are as long as each other. Lists are what is written: rows have overhead."""
+    return df.select("id", "row", F.inline(F.arrays_zip(*names)))
 
 
 def without_passages(docs: DataFrame, total: str = "n_words", removed: str = "n_removed") -> DataFrame:
     """``docs`` with ``text`` less every word that lies in WINDOW words which an earlier place has, and numbers of words before and removed.
 
     Passages may begin and end anywhere, sentences don't matter. Words are runs of bytes outside ASCII white space; white space
-    around a removed passage stays once. Any two equal windows share an anchor, so only texts around repeated anchors are
-    compared window by window. Rows that repeat doc_id and text are one document.
+    around a removed passage stays once. Any two equal windows share an anchor at the same offset, and each window has one anchor, so
+    places of anchors stand for the windows around them. Places with the same anchor and the same words around it are alike: all but the
+    first of them lose all their windows. Only firsts that share their anchor with other words around it are compared window by
+    window. Rows that repeat doc_id and text are one document.
     """
     spark = docs.sparkSession
     named = docs.withColumns({"__p_id": F.col("doc_id").cast("long"), "__p_row": F.xxhash64("text")})
     texts = named.where("text is not null").select("__p_id", "__p_row", "text")
 
-    def places(ids: pa.Array, rows: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        each = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        at, h = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(each)), rows.take(pa.array(each)), pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["id", "row", "at", "h"])
+    def lists(ids: pa.Array, rows: pa.Array, found: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0] + [len(f[0]) for f in found]), pa.int32())
+        parts = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]), pa.int64())) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([ids, rows, *parts], ["id", "row", *names])
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield places(b.column(0), b.column(1), [_anchors(w) for w in document_word_hashes(encoded(b.column(2)))])
+            yield lists(b.column(0), b.column(1), [_anchors(w) for w in document_word_hashes(encoded(b.column(2)))], ("code", "h", "c"))
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             found = []
-            for w, marks in zip(document_word_hashes(encoded(b.column(2))), b.column(3).to_pylist(), strict=True):
+            for w, (at, n) in zip(document_word_hashes(encoded(b.column(2))), _lists(b.column(3)), strict=True):
                 h = _windows(w, WINDOW)
-                near = np.zeros(len(h) + 1, np.int64)
-                at = np.array(marks, np.int64)
-                np.add.at(near, np.clip(at + ANCHOR - WINDOW, 0, len(h)), 1)
-                np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
-                own = np.flatnonzero(np.cumsum(near)[:-1])
-                found.append((own, h[own]))
-            yield places(b.column(0), b.column(1), found)
+                own = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append((own << 8 | 1, h[own]))
+            yield lists(b.column(0), b.column(1), found, ("code", "h"))
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             names = b.schema.names
             made, counts = [], []
-            for t, gone in zip(encoded(b.column(names.index("text"))), b.column(names.index("__p_gone")).to_pylist(), strict=True):
+            for t, (at, n) in zip(encoded(b.column(names.index("text"))), _lists(b.column(names.index("__p_gone"))), strict=True):
                 starts, ends, _ = run_hashes(np.frombuffer(t, np.uint8))
                 cover = np.zeros(len(starts) + 1, np.int64)
-                if gone:
-                    at = np.array(gone, np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + WINDOW, -1)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + n - 1 + WINDOW, -1)
                 lost = np.flatnonzero(np.cumsum(cover)[:-1])
                 keep = np.ones(len(t), bool)
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(lost) > 1) + 1, [len(lost)]]) if len(lost) else np.zeros(1, int)
@@ -179,13 +193,23 @@ def without_passages(docs: DataFrame, total: str = "n_words", removed: str = "n_
             kept = [b.column(i) if n != "text" else text for i, n in enumerate(names) if n != "__p_gone"]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))], [*(n for n in names if n != "__p_gone"), total, removed])
 
-    each = cut(texts.mapInArrow(anchored, _PLACES).dropDuplicates(["id", "row", "at"]))
-    marks = each.join(_repeated(each), F.col("h") == F.col("same")).groupBy(F.col("id").alias("__g_id"), F.col("row").alias("__g_row")).agg(F.collect_list("at").alias("marks"))
+    each = _flat(cut(texts.mapInArrow(anchored, _ANCHORS)), "code", "h", "c")
+    place = F.struct("id", "row", "code")
+    anchors = each.groupBy(F.col("h").alias("same")).agg((F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("many")).where("many > 1").select("same", "mixed")
+    # what was counted is written before it is joined, so that both sides are plain exchanges, which AQE can split
+    some = cut(each.join(cut(anchors), F.col("h") == F.col("same")).drop("same"))
+    alike = some.groupBy(F.col("h").alias("h1"), F.col("c").alias("c1")).agg(F.min(place).alias("first"), F.first("mixed").alias("mixed"), F.count("*").alias("many"))
+    alike = cut(alike.where("many > 1 or mixed"))
+    copies = some.join(alike.where("many > 1").drop("mixed"), (F.col("h") == F.col("h1")) & (F.col("c") == F.col("c1"))).where(~place.eqNullSafe(F.col("first")))
+    owner = [F.col("id").alias("__g_id"), F.col("row").alias("__g_row")]
     pair = F.col("__p_id").eqNullSafe(F.col("__g_id")) & (F.col("__p_row") == F.col("__g_row"))
-    some = texts.dropDuplicates(["__p_id", "__p_row"]).join(marks, pair).select("__p_id", "__p_row", "text", "marks")
-    every = cut(some.mapInArrow(windowed, _PLACES))
-    later = every.join(_repeated(every), F.col("h") == F.col("same")).where(~F.struct("id", "row", "at").eqNullSafe(F.col("first")))
-    gone = later.groupBy(F.col("id").alias("__g_id"), F.col("row").alias("__g_row")).agg(F.collect_list("at").alias("__p_gone"))
+    # sets, so that rows that repeat a document don't add up; their windows count as one place, as do their anchors
+    spread = alike.where("mixed").select("first.*").groupBy(*owner).agg(F.collect_set("code").alias("marks"))
+    mixed = texts.join(spread, pair).select("__p_id", "__p_row", "text", "marks")
+    every = _flat(cut(mixed.mapInArrow(windowed, _PLACES)), "code", "h")
+    repeated = cut(every.groupBy(F.col("h").alias("same")).agg(F.min(place).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many"))
+    later = every.join(repeated, F.col("h") == F.col("same")).where(~place.eqNullSafe(F.col("first")))
+    gone = copies.select("id", "row", "code").unionByName(later.select("id", "row", "code")).groupBy(*owner).agg(F.collect_set("code").alias("__p_gone"))
     joined = named.join(gone, pair, "left").select(*docs.columns, "__p_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(left, f"{schema}, `{total}` long, `{removed}` long")

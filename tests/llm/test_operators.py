@@ -330,10 +330,15 @@ def test_passages_inside_sentences_go(spark, documents, odd):
     free = lambda n: " ".join(f"q{random.randrange(10**6)}" + random.choice(["", "", "", "."]) for _ in range(n))
     passage = " ".join(f"p{k}" for k in range(51))  # one sentence's inside
     made = [(i, f"{free(30)} {passage if i % 2 else passage[:-4]} {free(i * 7)}") for i in range(12)] + [(20, free(40) + " " + passage), (21, passage), (22, "z " * 200)]
-    for rows in (made, [(r["doc_id"], r["text"]) for r in documents.collect()]):
+    pool = [[f"w{random.randrange(40)}" for _ in range(150)] for _ in range(4)] + [["z"] * 90]
+    piece = lambda: (lambda w, k: w[k : k + random.randrange(30, 120)])(random.choice(pool), random.randrange(80))
+    spliced = [(i, " ".join(sum((piece() for _ in range(random.randrange(1, 5))), []))) for i in range(60)]
+    for rows in (made, spliced, [(r["doc_id"], r["text"]) for r in documents.collect()]):
         got = {r["doc_id"]: (words(r["text"]), r["n_removed"]) for r in spans.without_passages(table(spark, rows)).collect()}
         assert got == plain_passages(rows)
     assert plain_passages(made)[3][1] == 51 and plain_passages(made)[2][1] == 0
+    again = spans.without_passages(table(spark, spliced + spliced[::2])).collect()
+    assert len(again) == 90 and {(r["doc_id"], tuple(words(r["text"])), r["n_removed"]) for r in again} == {(i, tuple(w), n) for i, (w, n) in plain_passages(spliced).items()}
     rows = spans.without_passages(odd).collect()
     assert len(rows) == 10 and next(r for r in rows if r["doc_id"] == 1)["text"] is None and spans.without_passages(odd.limit(0)).count() == 0
 
