@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, near, packing, pii, quality, spans, toxicity
+from . import bpe, fingerprints, html_text, itemsets, lexical, near, packing, pii, quality, spans, toxicity, vectors
 from .tools import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,8 +60,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsets.itemset_report(table(spark, sf_dir, "sale_lines"), "sale_id", "item_id")
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_pii, op2_toxicity, op3_bpe, op4_html, op5_near_dedup, op6_substring_dedup, op6_passage_dedup, op7_line_dedup, op8_packing, op9_quality, op10_fingerprints)
+    made = (op1_pii, op2_toxicity, op3_bpe, op4_html, op5_near_dedup, op6_substring_dedup, op6_passage_dedup, op7_line_dedup, op8_packing, op9_quality, op10_fingerprints, op11_itemsets, op12_neighbours, op13_ranked_search)
     return {f.__name__: f for f in made}
 
 
@@ -79,9 +91,47 @@ FROM n LEFT JOIN g ON n.doc_id = g.doc_id
 """
 
 
+_ITEMSETS = """
+WITH RECURSIVE b AS (SELECT DISTINCT sale_id AS s, item_id AS i FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+n AS (SELECT count(DISTINCT s)::BIGINT AS total FROM b),
+one AS (SELECT i, count(*)::BIGINT AS support FROM b GROUP BY i HAVING count(*) >= 5 AND count(*) * 20000 >= (SELECT total FROM n)),
+f AS (SELECT s, i FROM b JOIN one USING (i)),
+r AS (SELECT [i] AS items, i AS last, list(s) AS held FROM f GROUP BY i UNION ALL
+  SELECT list_append(o.items, f.i), f.i, list(f.s) FROM (SELECT items, last, unnest(held) AS s FROM r) o JOIN f ON f.s = o.s AND f.i > o.last
+  GROUP BY o.items, f.i HAVING count(*) >= 5 AND count(*) * 20000 >= (SELECT total FROM n)),
+x AS (SELECT items, len(items) AS k, len(held)::BIGINT AS support FROM r),
+part AS (SELECT items, support, unnest(items) AS c FROM x WHERE k > 1),
+rest AS (SELECT items, support, c, list_filter(items, lambda y: y <> c) AS rest FROM part),
+above AS (SELECT rest AS items, max(support) AS support FROM rest GROUP BY rest),
+closed AS (SELECT x.items, x.k, x.support FROM x LEFT JOIN above USING (items) WHERE above.support IS NULL OR above.support < x.support),
+rule AS (SELECT t.items, t.c, x.support AS a, one.support AS s FROM rest t JOIN closed c ON c.items = t.items JOIN x ON x.items = t.rest JOIN one ON one.i = t.c, n
+  WHERE 100 * t.support >= 60 * x.support AND t.support * total > x.support * one.support),
+found AS (SELECT items, count(*)::BIGINT AS n_rules, first(c ORDER BY a, c) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS told FROM rule GROUP BY items)
+SELECT array_to_string(items, ',') AS items, k::BIGINT AS n_items, support, coalesce(n_rules, 0)::BIGINT AS n_rules, best_item, sha256(coalesce(told, '')) AS rules_sha256
+FROM closed LEFT JOIN found USING (items)
+"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+size AS (SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+o AS (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM o WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, size GROUP BY term),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM f JOIN w USING (term) JOIN i USING (term), size GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s
+WHERE score > 0 AND doc_id IS NOT NULL AND item_id IS NOT NULL QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     sentences = r"string_split(regexp_replace(text, '([.!?][ \t\r\n]|\n)', '\1' || chr(1), 'g'), chr(1))"
     return {
         "op6_substring_dedup": _REPEATS.format(units=sentences, joiner="''", total="n_sentences", least=spans.SENTENCES.least_chars),
         "op7_line_dedup": _REPEATS.format(units="string_split(text, chr(10))", joiner="chr(10)", total="n_lines", least=1),
+        "op11_itemsets": _ITEMSETS,
+        "op13_ranked_search": _RANKED,
     }
