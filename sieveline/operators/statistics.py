@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
+from . import ordering
+from .lineage import cut
 
 # Metric weights; True marks metrics where less is better.
 PROFITABILITY = {"roe": 0.30, "roa": 0.20, "net_margin": 0.20, "operating_margin": 0.15, "revenue_growth": 0.15}
@@ -20,15 +22,17 @@ def add(columns: list[Column]) -> Column:
 
 
 def metric_bounds(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row: the 10th and 90th percentile of each metric, least and greatest where they are equal, null where those are."""
-    aggs = [f(F.col(m)).alias(f"{m}_{n}") for m in metrics for n, f in (("p10", lambda c: F.percentile(c, 0.1)), ("p90", lambda c: F.percentile(c, 0.9)), ("min", F.min), ("max", F.max))]
-    out = []
-    for m in metrics:
-        same, flat = F.col(f"{m}_p10") == F.col(f"{m}_p90"), F.col(f"{m}_min") == F.col(f"{m}_max")
-        for end, plain in (("p10", "min"), ("p90", "max")):
-            value = F.when(same & flat, F.lit(None)).when(same, F.col(f"{m}_{plain}")).otherwise(F.col(f"{m}_{end}"))
-            out.append(value.alias(f"{m}_{'low' if end == 'p10' else 'high'}"))
-    return df.agg(*aggs).select(*out)
+    """One row: the 10th and 90th percentile of each metric, least and greatest where they are equal, null where those are.
+
+    The metrics' distinct values are counted and dealt by range, so no task holds all values of a metric.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
+    ranked = cut(ordering.ranked_values(long, ["metric"], "value"))
+    ends = ordering.quantiles(ranked, ["metric"], "value", {"p10": 0.1, "p90": 0.9}).join(ranked.groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max")), "metric")
+    same, flat = F.col("p10") == F.col("p90"), F.col("min") == F.col("max")
+    value = lambda end, plain: F.when(same & flat, F.lit(None)).when(same, F.col(plain)).otherwise(F.col(end))
+    ends = ends.select("metric", value("p10", "min").alias("low"), value("p90", "max").alias("high"))  # a row for each metric
+    return ends.agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{m}_{e}") for m in metrics for e in ("low", "high")])
 
 
 def score_metrics(df: DataFrame, weights: dict[str, float], inverse: frozenset[str] = frozenset(), prefix: str = "metric") -> DataFrame:
@@ -44,18 +48,10 @@ def score_metrics(df: DataFrame, weights: dict[str, float], inverse: frozenset[s
     return both.select(*df.columns, F.round(F.when(have > 0, 100 * got / have), 4).alias(f"{prefix}_score"), F.round(have, 4).alias(f"{prefix}_completeness"), count.alias(f"{prefix}_metric_count"))
 
 
-def mid_rank(value: str, *keys: str) -> Column:
-    """Mid-rank percentile (0-100) of a value within its keys; 50 when all are equal."""
-    part, peers = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
-    rank = F.rank().over(part.orderBy(value))
-    share = (rank - 1 + 0.5 * F.count("*").over(peers)) / F.count("*").over(part) * 100
-    return F.when(F.min(value).over(part) == F.max(value).over(part), F.lit(50.0)).otherwise(share)
-
-
 def shrunk_axis_scores(df: DataFrame) -> DataFrame:
     """symbol, axis_id, raw, exposure, posts: adds percentile, confidence and the score shrunk towards 50."""
     confidence = F.least(F.lit(1.0), F.log1p("posts") / F.log1p(F.lit(15.0))) * F.least(F.lit(1.0), 0.2 + 0.8 * F.least(F.lit(1.0), 3.5 * F.col("exposure")))
-    df = df.withColumn("percentile", mid_rank("raw", "axis_id")).withColumn("confidence", confidence)
+    df = ordering.mid_ranks(df, ["axis_id"], "raw", "percentile").withColumn("confidence", confidence)
     return df.withColumn("axis_score", F.round(50 + F.col("confidence") * (F.col("percentile") - 50), 2)).withColumn("confidence", F.round("confidence", 4))
 
 
@@ -63,7 +59,7 @@ def shrunk_family_scores(df: DataFrame) -> DataFrame:
     """symbol, family_id, raw, exposure, dims, posts: the same for families."""
     evidence = F.col("dims") + F.least("posts", F.lit(24))
     confidence = F.least(F.lit(1.0), F.log1p(evidence) / F.log1p(F.lit(28.0))) * F.least(F.lit(1.0), 0.2 + 0.8 * F.least(F.lit(1.0), 1.8 * F.col("exposure")))
-    df = df.withColumn("percentile", mid_rank("raw", "family_id")).withColumn("confidence", confidence)
+    df = ordering.mid_ranks(df, ["family_id"], "raw", "percentile").withColumn("confidence", confidence)
     return df.withColumn("family_score", F.round(50 + F.col("confidence") * (F.col("percentile") - 50), 2)).withColumn("confidence", F.round("confidence", 4))
 
 

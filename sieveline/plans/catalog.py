@@ -284,9 +284,20 @@ def wn8_moving_averages(spark: SparkSession, d: str) -> DataFrame:
     return p.select("symbol", "event_id", F.round("ma20", 5).alias("ma20"), F.round("ma50", 5).alias("ma50"))
 
 
-@query()
+_INDICATORS = f"""WITH RECURSIVE {PRICES}, s AS MATERIALIZED (SELECT symbol, event_id, c, row_number() OVER w - 1 AS i, greatest(c - lag(c) OVER w, 0) AS up, greatest(lag(c) OVER w - c, 0) AS down
+  FROM prices WHERE c IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
+r AS (SELECT symbol, event_id, i, c AS e12, c AS e26, 0.0::DOUBLE AS sig, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l FROM s WHERE i = 0 UNION ALL
+  SELECT s.symbol, s.event_id, s.i, e12 * 11 / 13 + c * 2 / 13, e26 * 25 / 27 + c * 2 / 27, sig * 0.8::DOUBLE + ((e12 * 11 / 13 + c * 2 / 13) - (e26 * 25 / 27 + c * 2 / 27)) * 0.2::DOUBLE,
+    CASE WHEN s.i <= 14 THEN g + up / 14 ELSE (g * 13 + up) / 14 END, CASE WHEN s.i <= 14 THEN l + down / 14 ELSE (l * 13 + down) / 14 END
+  FROM r JOIN s ON s.symbol = r.symbol AND s.i = r.i + 1)
+SELECT symbol, event_id, round(e12, 6) AS ema12, round(e26, 6) AS ema26, CASE WHEN i >= 25 THEN round(e12 - e26, 6) END AS macd, CASE WHEN i >= 25 THEN round(sig, 6) END AS macd_signal,
+  CASE WHEN i >= 25 THEN round(e12 - e26 - sig, 6) END AS macd_hist, CASE WHEN i >= 14 THEN round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) END AS rsi14 FROM r"""
+
+
+@query(_INDICATORS)
 def wn9_wn11_indicators(spark: SparkSession, d: str) -> DataFrame:
-    return series.indicators(b.prices(spark, d), ["ts", "event_id"]).drop("ts")
+    made = series.indicators(b.prices(spark, d), ["ts", "event_id"])
+    return made.select("symbol", "event_id", *[F.round(c, 6).alias(c) for c in ("ema12", "ema26", "macd", "macd_signal", "macd_hist", "rsi14")])
 
 
 @query(f"WITH {PRICES}, r AS (SELECT *, lag(c, 1) OVER w AS p1, lag(c, 30) OVER w AS b30, lag(c, 90) OVER w AS b90, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS late FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)), s AS (SELECT *, CASE WHEN p1 <> 0 THEN c / p1 - 1 END AS ret FROM r), t AS (SELECT *, CASE WHEN ret IS NOT NULL THEN count(ret) OVER (PARTITION BY symbol ORDER BY late) END AS nth, max(CASE WHEN late <= 90 THEN c END) OVER (PARTITION BY symbol ORDER BY late DESC) AS peak FROM s) SELECT symbol, round(max(CASE WHEN late = 1 AND b30 <> 0 THEN c / b30 - 1 END), 6) AS momentum_30d, round(max(CASE WHEN late = 1 AND b90 <> 0 THEN c / b90 - 1 END), 6) AS momentum_90d, round(CASE WHEN count(*) FILTER (nth <= 30) >= 30 THEN stddev_pop(ret) FILTER (nth <= 30) END, 6) AS volatility_30d, round(max(CASE WHEN late <= 90 AND peak > 0 THEN 1 - c / peak END), 6) AS drawdown_90d FROM t GROUP BY symbol")
@@ -467,4 +478,4 @@ def ag13_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(statistics.weighted_mean(value, F.col("l_quantity")), 6).alias("mean"))
 
 
-from . import files_catalog, records_catalog  # noqa: E402, F401  register their queries beside these
+from . import files_catalog, models_catalog, records_catalog  # noqa: E402, F401  register their queries beside these
