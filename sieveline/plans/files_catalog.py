@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import discourse, identity, models, portfolio
-from ..sources import files
+from ..sources import commits, files
 from ..streaming import upserts
 from . import bindings as b
 from .catalog import COMPANIES, _master
@@ -250,10 +250,10 @@ def sk5_report_json(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::INTEGER AS s_nationkey FROM supplier")
 def sk6_resumed_append(spark: SparkSession, d: str) -> DataFrame:
     path, rows = files.scratch(spark), _suppliers(spark, d)
-    files.append_missing(rows.where("s_suppkey % 3 = 0"), path, "s_suppkey")
-    files.append_missing(rows, path, "s_suppkey")
-    files.append_missing(rows, path, "s_suppkey")
-    return files.json_lines(spark, path, _SUPPLIER)
+    commits.append_missing(rows.where("s_suppkey % 3 = 0"), path, "s_suppkey")
+    commits.append_missing(rows, path, "s_suppkey", "all")
+    commits.append_missing(rows, path, "s_suppkey", "all")
+    return commits.read(spark, path, _SUPPLIER)
 
 
 @query("SELECT r_regionkey::BIGINT AS r_regionkey, true AS refused FROM region")

@@ -13,10 +13,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_label, header_key
+from .commits import _store
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -55,12 +56,6 @@ def category_catalog(df: DataFrame) -> DataFrame:
     return df.withColumn("name", clean_label("name")).orderBy(F.lower("name"))
 
 
-def _store(spark: SparkSession, path: str) -> tuple[object, object]:
-    """The file system of a path, and the path in it: whatever Spark itself can read."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     store, there = _store(spark, path)
     return store.exists(there)
@@ -76,11 +71,16 @@ def write_file(spark: SparkSession, path: str, data: bytes | str) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share, below spark.checkpoint.dir; a session in one process may do without that setting."""
+    """A new folder that all executors share, below spark.checkpoint.dir; a session in one process may do without that setting. It goes
+    when the driver's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
-    return f"{base or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
+    path = f"{base or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
+    store, there = _store(spark, path)
+    store.mkdirs(there.getParent())
+    store.deleteOnExit(there)  # with the session: what a query reads from it is read lazily
+    return path
 
 
 def resolve(spark: SparkSession, path: str, fallback: str) -> str:
@@ -291,16 +291,6 @@ def message_index(messages: DataFrame) -> DataFrame:
     return messages.select("id", blank("datetime", ""), blank("username", "unknown"), F.substring(F.coalesce("text", F.lit("")), 1, 180).alias("text")).orderBy(F.col("datetime").desc(), "id")
 
 
-def append_missing(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key is not at ``path`` yet and returns their number; the rows are computed once."""
-    spark = df.sparkSession
-    if exists(spark, path):
-        df = df.join(spark.read.schema(df.schema).json(path).select(key).distinct(), key, "left_anti").select(df.columns)
-    seen = Observation()
-    df.observe(seen, F.count("*").alias("n")).write.mode("append").json(path)
-    return seen.get["n"]
-
-
 def report(title: str, sections: dict[str, DataFrame], limit: int = 500) -> str:
     """Markdown of small results; a section of over ``limit`` rows says how many it leaves out."""
     out = [f"# {title}"]

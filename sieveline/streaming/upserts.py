@@ -1,12 +1,16 @@
-"""Streaming upsert of message batches (ST). Each micro-batch merges into a stored table by the batch rules, so a replay of the
-same files gives the same table; the order of versions is the file order column of the data, not arrival."""
+"""Streaming upsert of message batches (ST). The rules of the batch upsert are one aggregation of mergeable states (first, longest, latest),
+which Structured Streaming keeps by message id: a micro-batch reads and writes the states of its own messages only. What they come to is
+appended to a committed table under the batch's number, so a batch that is run again adds nothing; the order of versions is
+the file order column of the data, not arrival."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.identity import upsert_messages
+from ..sources import commits
 
 SCHEMA = "id string, url string, username string, datetime string, text string, _ord long"
 
@@ -15,20 +19,36 @@ def message_stream(spark: SparkSession, path: str, schema: str = SCHEMA, files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str) -> object:
-    """Runs until all present files are read. Versions are appended once a batch (a batch that is replayed overwrites its own part)."""
+MERGED = "id string, url string, username string, datetime string, text string, versions long, first_seen long, last_seen long, batch long"
+
+
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Runs until all present files are read: each batch appends the merged form of the messages that it changed."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        commits.append(batch.sparkSession, target, lambda _: batch.withColumn("batch", F.lit(number)), f"{checkpoint}#{number}")
 
-    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    made = upsert_messages(stream).writeStream.outputMode("update").foreachBatch(store)
+    query = made.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """Each message as its last batch left it."""
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "batch").alias("m"))
+    return last.select("id", "m.*").select(rows.columns)
+
+
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The merged messages so far."""
-    return upsert_messages(spark.read.parquet(target).drop("batch"))
+    return _newest(commits.read(spark, target, MERGED)).drop("batch")
+
+
+def compact(spark: SparkSession, target: str) -> bool:
+    """Puts one part with the merged messages in place of those committed so far; False if another compaction came first."""
+    _, parts = commits.manifest(spark, target)
+    return len(parts) < 2 or commits.replace(_newest(commits.read(spark, target, MERGED, parts)), target, parts)
 
 
 def resume_pages(pages: DataFrame) -> DataFrame:

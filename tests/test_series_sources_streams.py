@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import identity, series, statistics
-from sieveline.sources import files
+from sieveline.sources import commits, files
 from sieveline.streaming import upserts
 
 
@@ -84,8 +84,8 @@ def test_sources_and_sinks(spark, tmp_path):
             (m / "meta.json").write_text(json.dumps({"id": i}))
     runs = files.latest_runs(spark, str(tmp_path / "tree"), "id string")
     assert sorted(r["message_id"] for r in runs.collect()) == ["b", "c"]
-    assert files.append_missing(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "out"), "k") == 1
-    assert files.append_missing(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), str(tmp_path / "out"), "k") == 1
+    assert commits.append_missing(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "out"), "k") == 1
+    assert commits.append_missing(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), str(tmp_path / "out"), "k") == 1
     page = "<table><tr><th>#</th><th>Name</th></tr><tr><td>1</td><td>Acme Corp ACM</td></tr></table>"
     assert [tuple(r) for r in files.listings(spark.createDataFrame([("u", page)], "url string, html string")).collect()] == [("u", 1, "ACM", "Acme Corp")]
     made = files.report("T", {"S": spark.range(1, 4)}, limit=2)
