@@ -14,8 +14,8 @@ pair of set and item that can matter; only pairs whose light count can still rea
 baskets. Counts are exact, and the rows made are at most ``bound`` times the rows of the frontier.
 
 What is broadcast. Supports of frequent items: each stands in at least a ``share``-th of all baskets, so there are at most
-``share`` times the mean basket of them, whatever the input; they and a level's children are counted first and joined by a shuffle
-beyond ``BROADCAST_ROWS``. To the driver go counts only, and the items that stand in all baskets (no more than the shortest basket).
+``share`` times the mean basket of them, whatever the input; they, a level's sets and children and the heavy baskets' items are counted
+first and joined by a shuffle beyond ``BROADCAST_ROWS``. To the driver go counts only, and the items that stand in all baskets (no more than the shortest basket).
 
 Rows. Null baskets or items take no part; rows that repeat a basket and an item are one; an empty table gives no sets; further
 columns are not read, whatever their names. All baskets count for the minimum, also those without a frequent item. Ties of
@@ -56,24 +56,26 @@ class Baskets:
         self.bound, self.n_heavy = next((b, n) for b, n in zip(bounds, longer, strict=True) if n < self.minimum)
         self.light = arrays.where(F.size("items") <= self.bound)
         self.heavy = arrays.where(F.size("items") > self.bound).select("basket", F.explode("items").alias("item"))
+        self.heavy_rows = self.heavy.count() if self.n_heavy else 0
         self.everywhere = sorted(r[0] for r in self.items.where(F.col("support") == self.total).select("item").collect())
 
     def light_rows(self, occurrences: DataFrame) -> DataFrame:
         """(key, basket, items) for the light occurrences of a frontier."""
         return self.light.hint("merge").join(occurrences, "basket").select("key", "basket", "items")
 
-    def with_heavy(self, counts: DataFrame, occurrences: DataFrame) -> DataFrame:
-        """Counts (key, item, n) of light baskets, brought to those of all baskets; those under the minimum go.
-        ``occurrences``: (key, basket) in heavy baskets."""
+    def with_heavy(self, counts: DataFrame, occurrences: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """Counts (key, item, n) of light baskets, brought to those of all baskets; those under the minimum go. ``occurrences``: (key,
+        basket) in heavy baskets. Also (key, item, basket): the heavy baskets found for what could still reach the minimum."""
         open_ = counts.where(F.col("n") >= self.minimum - self.n_heavy)
-        if not self.n_heavy:
-            return open_
-        more = occurrences.groupBy("key").agg(F.count("*").alias("more"))
-        open_ = open_.join(more.hint("merge"), "key", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) >= self.minimum)
-        found = open_.where("more > 0").select("key", "item").hint("merge").join(occurrences, "key").hint("merge").join(self.heavy, ["basket", "item"])
-        held = found.groupBy("key", "item").agg(F.count("*").alias("held"))
-        out = open_.hint("merge").join(held, ["key", "item"], "left").withColumn("n", F.col("n") + F.coalesce("held", F.lit(0)))
-        return out.where(F.col("n") >= self.minimum).select("key", "item", "n")
+        if occurrences is None:
+            return open_, None
+        open_ = cut(open_)
+        n = open_.count()
+        asked = occurrences.join(few(open_.select("key", "item"), n), "key")
+        found = cut(asked.join(few(self.heavy, self.heavy_rows), ["basket", "item"]).select("key", "item", "basket"))
+        held = found.groupBy("key", "item").agg(F.count("*").alias("held"))  # no more rows than ``open_``
+        total = F.col("n") + F.coalesce("held", F.lit(0))
+        return open_.join(few(held, n), ["key", "item"], "left").select("key", "item", total.alias("n")).where(F.col("n") >= self.minimum), found
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -115,22 +117,24 @@ def closed_itemsets(b: Baskets) -> DataFrame:
     pairs = _pairs(b.light)
     counts = pairs.groupBy("item", "other").agg(F.count("*").alias("n"))
     first = counts.select(F.col("item").alias("key"), F.col("other").alias("item"), "n")
-    first = cut(b.with_heavy(first, b.heavy.select(F.col("item").alias("key"), "basket")))
+    first, found = b.with_heavy(first, b.heavy.select(F.col("item").alias("key"), "basket") if b.n_heavy else None)
+    first = cut(first)
     own = b.items.select(F.col("item").alias("key"), "item", F.col("support").alias("n"))
     both = first.union(first.select("item", "key", "n")).union(own)
     starts = both.where(~F.array_contains(root, F.col("key"))) if b.everywhere else both
     nodes = cut(_nodes(starts.select(one(F.col("key")).alias("key"), "item", "n")))
     children, n = _children(nodes)
     rows = pairs.select(one(F.col("item")).alias("key"), F.col("other").alias("item"), "basket")
-    heavy = b.heavy.select(one(F.col("item")).alias("key"), "basket")
+    heavy = found.select(one(F.col("key")).alias("key"), "item", "basket") if found is not None else None
     levels = [nodes.select("items", "support")]
     while n:
         grown = rows.join(few(children, n), ["key", "item"]).select(F.col("child").alias("key"), "basket")
         occurrences = cut(grown.repartition(b.parts, "basket"))
-        if b.n_heavy:
-            heavy = cut(few(children, n).join(heavy, "key").hint("merge").join(b.heavy, ["basket", "item"]).select(F.col("child").alias("key"), "basket"))
+        if heavy is not None:
+            heavy = heavy.join(few(children, n), ["key", "item"]).select(F.col("child").alias("key"), "basket")
         rows = b.light_rows(occurrences).select("key", "basket", F.explode("items").alias("item"))
-        nodes = cut(_nodes(b.with_heavy(rows.groupBy("key", "item").agg(F.count("*").alias("n")), heavy)))
+        counts, heavy = b.with_heavy(rows.groupBy("key", "item").agg(F.count("*").alias("n")), heavy)
+        nodes = cut(_nodes(counts))
         levels.append(nodes.select("items", "support"))
         children, n = _children(nodes)
     if b.everywhere:
@@ -139,14 +143,14 @@ def closed_itemsets(b: Baskets) -> DataFrame:
     return reduce(DataFrame.union, levels)
 
 
-def rules(sets: DataFrame, b: Baskets, confidence: int) -> DataFrame:
+def rules(sets: DataFrame, n_sets: int, b: Baskets, confidence: int) -> DataFrame:
     """(items, item, rest_support, item_support): an item that follows from the others of a closed set, in at least ``confidence``
     per cent of their baskets and more often than by chance. The others are returned themselves, or else have the set's own closure
     and so its support."""
     parts = sets.where(F.size("items") > 1).select("items", "support", F.explode("items").alias("item"))
     parts = parts.withColumn("rest", F.array_except("items", F.array("item")))
     known = sets.select(F.col("items").alias("rest"), F.col("support").alias("known"))
-    found = parts.hint("merge").join(known, "rest", "left").withColumn("rest_support", F.coalesce("known", "support"))
+    found = parts.join(few(known, n_sets), "rest", "left").withColumn("rest_support", F.coalesce("known", "support"))
     single = few(b.items.select("item", F.col("support").alias("item_support")), b.n_items)
     often: Column = F.col("support") * 100 >= F.col("rest_support") * confidence
     return found.join(single, "item").where(often & (F.col("support") * F.lit(b.total) > F.col("rest_support") * F.col("item_support"))).select("items", "item", "rest_support", "item_support")
@@ -156,10 +160,11 @@ def itemset_report(lines: DataFrame, basket: str, item: str, least: int = 5, sha
     """Each closed itemset with its rules, counted and as a digest."""
     b = Baskets(lines, basket, item, least, share)
     sets = cut(closed_itemsets(b))
+    n_sets = sets.count()
     r = F.struct("item", "rest_support", "item_support")
-    found = rules(sets, b, confidence).groupBy("items").agg(F.count("*").alias("n_rules"), F.min_by("item", F.struct("rest_support", "item")).alias("best_item"), F.array_sort(F.collect_list(r)).alias("r"))
+    found = rules(sets, n_sets, b, confidence).groupBy("items").agg(F.count("*").alias("n_rules"), F.min_by("item", F.struct("rest_support", "item")).alias("best_item"), F.array_sort(F.collect_list(r)).alias("r"))
     told = F.concat_ws(";", F.transform("r", lambda x: F.concat_ws(":", x["item"].cast("string"), x["rest_support"].cast("string"), x["item_support"].cast("string"))))
-    out = sets.hint("merge").join(found, "items", "left")
+    out = sets.join(few(found, n_sets), "items", "left")
     return out.select(
         F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"), F.size("items").cast("long").alias("n_items"), "support",
         F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), "best_item", F.sha2(F.coalesce(told, F.lit("")), 256).alias("rules_sha256"),
