@@ -82,8 +82,9 @@ WITH d AS (SELECT doc_id, text, {units} AS u FROM documents),
 t AS (SELECT doc_id, text, u, list_transform(u, lambda x: trim(x, E' \\t\\n\\r\\f\\v')) AS b FROM d),
 n AS (SELECT doc_id, text, u, b, list_filter(range(1, len(u) + 1), lambda i: b[i] <> '') AS pos FROM t),
 w AS (SELECT doc_id, b, pos, unnest(range(1, len(pos) - 1)) AS j FROM n WHERE len(pos) >= 3),
-k AS (SELECT doc_id, pos, j, b[pos[j]] AS x, b[pos[j + 1]] AS y, b[pos[j + 2]] AS z FROM w),
-f AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, j) AS r FROM k WHERE length(x) + length(y) + length(z) >= {least}),
+k AS (SELECT doc_id, pos, j, b[pos[j]] AS x, b[pos[j + 1]] AS y, b[pos[j + 2]] AS z,
+  list_sum(list_transform([b[pos[j]], b[pos[j + 1]], b[pos[j + 2]]], lambda s: len(string_split_regex(s, '[ \\t\\n\\r\\f\\v]+')))) AS words FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, j) AS r FROM k WHERE words >= {least}),
 g AS (SELECT doc_id, list(DISTINCT pos[j + s]) AS gone FROM (SELECT doc_id, pos, j, unnest([0, 1, 2]) AS s FROM f WHERE r > 1) GROUP BY doc_id)
 SELECT n.doc_id, coalesce(len(pos), 0)::BIGINT AS {total}, coalesce(len(gone), 0)::BIGINT AS n_removed,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(u, lambda x, i: NOT list_contains(gone, i)), {joiner}), '') END AS text
@@ -128,9 +129,9 @@ WHERE score > 0 AND doc_id IS NOT NULL AND item_id IS NOT NULL QUALIFY rank <= 1
 
 
 def oracle_sql() -> dict[str, str]:
-    sentences = r"string_split(regexp_replace(text, '([.!?][ \t\r\n]|\n)', '\1' || chr(1), 'g'), chr(1))"
+    sentences = r"string_split(regexp_replace(text, '([.!?,;:][ \t\r\n]|\n)', '\1' || chr(1), 'g'), chr(1))"
     return {
-        "op6_substring_dedup": _REPEATS.format(units=sentences, joiner="''", total="n_sentences", least=spans.SENTENCES.least_chars),
+        "op6_substring_dedup": _REPEATS.format(units=sentences, joiner="''", total="n_sentences", least=spans.SENTENCES.least_words),
         "op7_line_dedup": _REPEATS.format(units="string_split(text, chr(10))", joiner="chr(10)", total="n_lines", least=1),
         "op11_itemsets": _ITEMSETS,
         "op13_ranked_search": _RANKED,

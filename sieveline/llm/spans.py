@@ -27,12 +27,12 @@ from .tools import cut, small
 
 @dataclass(frozen=True)
 class Units:
-    """How a text is cut: a pattern to split at, and what joins the units again; a run needs that many units and characters."""
+    """How a text is cut: a pattern to split at, and what joins the units again; a run needs that many units and words."""
 
     pattern: str
     joiner: str
     run: int
-    least_chars: int = 1
+    least_words: int = 1
 
     def split(self, text: Column) -> Column:
         return F.split(text, self.pattern, -1)
@@ -40,8 +40,9 @@ class Units:
 
 #: Lines, three in a run.
 LINES = Units(r"\n", "\n", 3)
-#: Sentences end at . ! ? before white space, or at a line's end, and keep that white space; three in a run.
-SENTENCES = Units(r"(?<=[.!?][ \t\r\n])|(?<=\n)", "", 3, 30)
+#: Sentences and their parts end at . ! ? , ; : before white space, or at a line's end, and keep that white space; three in a run,
+#: of at least 15 words together: shorter runs repeat by chance.
+SENTENCES = Units(r"(?<=[.!?,;:][ \t\r\n])|(?<=\n)", "", 3, 15)
 
 _BLANKS = " \t\n\r\f\x0b"
 
@@ -54,14 +55,16 @@ def runs(docs: DataFrame, units: Units) -> DataFrame:
     """__s_id, __s_text, at, h1, h2: every run, by the rank of its first unit among the non-blank ones."""
     bare = F.filter(F.transform(units.split(F.col("text")), _bare), lambda u: u != "")
     rows = docs.select(F.col("doc_id").alias("__s_id"), F.xxhash64("text").alias("__s_text"), bare.alias("u")).where(F.size("u") >= units.run)
+    if units.least_words > 1:
+        rows = rows.withColumn("w", F.transform("u", lambda u: F.size(F.split(u, f"[{_BLANKS}]+"))))
 
     def hashed(first: Column) -> Column:
         parts = [F.get("u", first + k) for k in range(units.run)]
         struct = F.struct(first.alias("at"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(units.run), *reversed(parts)).alias("h2"))
-        return struct if units.least_chars <= 1 else F.when(sum((F.length(p) for p in parts), F.lit(0)) >= units.least_chars, struct)
+        return struct if units.least_words <= 1 else F.when(sum((F.get("w", first + k) for k in range(units.run)), F.lit(0)) >= units.least_words, struct)
 
     spans = F.transform(F.sequence(F.lit(0), F.size("u") - units.run), hashed)
-    return rows.select("__s_id", "__s_text", F.inline(spans if units.least_chars <= 1 else F.array_compact(spans)))
+    return rows.select("__s_id", "__s_text", F.inline(spans if units.least_words <= 1 else F.array_compact(spans)))
 
 
 def covered(docs: DataFrame, units: Units) -> DataFrame:
