@@ -46,9 +46,10 @@ def topic_summary(assigned: DataFrame, cut: float = 0.08, top: int = 3) -> DataF
 
 def company_topics(assigned: DataFrame, cut: float = 0.05) -> DataFrame:
     """symbol, topic_id: weight, posts, weighted sentiment, share of the company's weight, signed score."""
-    by = assigned.where(F.col("weight") >= cut).groupBy("symbol", "topic_id").agg(F.sum("weight").alias("w"), F.count("*").alias("posts_with_topic"), (F.sum(F.col("weight") * F.col("sentiment_score")) / F.sum("weight")).alias("s"))
-    # summed as decimals, so that shares don't depend on the order of rows
-    total = by.groupBy("symbol").agg(F.sum(F.col("w").cast("decimal(38,18)")).cast("double").alias("all"))
+    exact = lambda c: F.sum(c.cast("decimal(26,12)"))  # noqa: E731  sums of decimals don't depend on the order of rows
+    by = assigned.where(F.col("weight") >= cut).groupBy("symbol", "topic_id").agg(exact(F.col("weight")).alias("exact"), F.count("*").alias("posts_with_topic"), exact(F.col("weight") * F.col("sentiment_score")).cast("double").alias("signed"))
+    by = by.withColumn("w", F.col("exact").cast("double")).withColumn("s", F.col("signed") / F.col("w"))
+    total = by.groupBy("symbol").agg(F.sum("exact").cast("double").alias("all"))
     share = F.col("w") / F.col("all")
     return by.join(total, "symbol").select("symbol", "topic_id", F.round("w", 4).alias("topic_weight_sum"), "posts_with_topic", F.round("s", 4).alias("avg_sentiment"), F.round(share, 6).alias("topic_share"), F.round(share * F.col("s"), 6).alias("signed_topic_score"))
 

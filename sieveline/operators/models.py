@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,28 +72,6 @@ def least_documents(documents: Column, requested: int = 20) -> Column:
     return F.least(F.lit(requested), F.greatest(F.lit(2), F.floor(documents / 50))).cast("int")
 
 
-def discover_topics(rows: DataFrame, k: int, seed: int = 42, min_df: float = 2, max_df: float = 0.9) -> DataFrame:
-    """doc_id, topic_id, weight (shares that sum to 1) from text."""
-    stages = [*text_features(min_df, max_df, 9000)[:4], LDA(k=k, seed=seed, featuresCol="tf", maxIter=10)]
-    out = Pipeline(stages=stages).fit(rows).transform(rows)
-    return out.select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "weight"))
-
-
-def assign_topics(vectors: DataFrame, k: int, outlier: float = 2.0, seed: int = 42) -> DataFrame:
-    """doc_id, topic_id by KMeans over a vector column; documents far from every centre are -1."""
-    some = vectors.select("vector").first()
-    if some is None:
-        return vectors.select("doc_id", F.lit(-1).alias("topic_id"), F.lit(None).cast("double").alias("distance"))
-    size = len(some["vector"])
-    parts = vectors.select("doc_id", *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(size)])
-    data = VectorAssembler(inputCols=[f"v{i}" for i in range(size)], outputCol="features").transform(parts)
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(data)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    out = model.transform(data).withColumn("c", F.get(centres, F.col("prediction")))
-    far = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    return out.select("doc_id", F.when(far > outlier, -1).otherwise(F.col("prediction")).alias("topic_id"), F.round(far, 6).alias("distance"))
-
-
 def cluster_axes(axes: DataFrame, low: int = 6, high: int = 12, seed: int = 42) -> DataFrame:
     """axis_id, cluster_id: KMeans over TF-IDF of ``text``, the k of the best silhouette; one cluster for few axes."""
     n = axes.count()

@@ -169,6 +169,6 @@ def ordered_families(families: Column | str) -> Column:
 
 
 def explanations(components: dict[str, str], weights: dict[str, float]) -> Column:
-    """Array of component, value and points (value times weight times 100), greatest first."""
-    parts = [F.struct(F.round(F.col(c) * weights[c] * 100, 2).alias("points"), F.lit(title).alias("title"), F.col(c).alias("value")) for c, title in components.items()]
-    return F.sort_array(F.array(*parts), asc=False)
+    """Array of title, value and points (value times weight times 100, two digits), most points first; equal points in the order of the components."""
+    parts = [F.struct((-F.round(F.col(c) * weights[c] * 100, 2)).alias("less"), F.lit(i).alias("at"), F.lit(title).alias("title"), F.col(c).alias("value")) for i, (c, title) in enumerate(components.items())]
+    return F.transform(F.array_sort(F.array(*parts)), lambda p: F.struct((-p["less"]).alias("points"), p["title"].alias("title"), p["value"].alias("value")))

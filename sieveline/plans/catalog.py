@@ -188,7 +188,7 @@ def ag5_topic_summary(spark: SparkSession, d: str) -> DataFrame:
     return discourse.topic_summary(b.topic_weights(spark, d)).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
 
 
-@query(f"WITH {TOPICS}, g AS (SELECT symbol, topic_id, sum(weight) AS w, count(*) AS n, sum(weight * sentiment_score) / sum(weight) AS s FROM topics WHERE weight >= 0.05 GROUP BY ALL) SELECT symbol, topic_id, round(w, 4) AS topic_weight_sum, n AS posts_with_topic, round(s, 4) AS avg_sentiment, round(w / sum(w) OVER (PARTITION BY symbol), 6) AS topic_share, round(w / sum(w) OVER (PARTITION BY symbol) * s, 6) AS signed_topic_score FROM g")
+@query(f"WITH {TOPICS}, g AS (SELECT symbol, topic_id, sum(weight::DECIMAL(38, 12)) AS exact, count(*) AS n, sum((weight * sentiment_score)::DECIMAL(38, 12))::DOUBLE / sum(weight::DECIMAL(38, 12))::DOUBLE AS s FROM topics WHERE weight >= 0.05 GROUP BY ALL), h AS (SELECT *, exact::DOUBLE AS w, (sum(exact) OVER (PARTITION BY symbol))::DOUBLE AS total FROM g) SELECT symbol, topic_id, round(w, 4) AS topic_weight_sum, n AS posts_with_topic, round(s, 4) AS avg_sentiment, round(w / total, 6) AS topic_share, round(w / total * s, 6) AS signed_topic_score FROM h")
 def ag6_company_topics(spark: SparkSession, d: str) -> DataFrame:
     return discourse.company_topics(b.topic_weights(spark, d))
 
@@ -412,10 +412,10 @@ def ev5_distribution(spark: SparkSession, d: str) -> DataFrame:
     return statistics.distribution(b.read(spark, d, "documents"), "lang", ["en", "de", "fr", "es", "xx"])
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def so5_to_do(spark: SparkSession, d: str) -> DataFrame:
     c = b.read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return identity.to_do(c, b.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return identity.to_do(c, b.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query()
@@ -426,11 +426,6 @@ def ml4_sentiment_model(spark: SparkSession, d: str) -> DataFrame:
     return models.score_sentiment(model, rows.select("doc_id", "text")).drop("text")
 
 
-@query()
-def ml7_topic_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return models.assign_topics(b.vectors(spark, d).select("doc_id", "vector"), 10)
-
-
 @query()
 def fu5_fused_profiles(spark: SparkSession, d: str) -> DataFrame:
     v = b.vectors(spark, d).withColumn("symbol", F.concat(F.lit("s"), F.col("doc_id") % 20))

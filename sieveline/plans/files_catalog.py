@@ -395,10 +395,10 @@ def st2_last_extract(spark: SparkSession, d: str) -> DataFrame:
     return upserts.last_extract(c.select(F.col("turn").cast("long").alias("step"), (F.col("conv_id") % 3).alias("id")), 2)
 
 
-@query("SELECT DISTINCT concat('C', c_custkey) AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0)")
+@query("SELECT DISTINCT concat('C', c_custkey) AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderpriority = '1-URGENT')")
 def st3_open_symbols(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderkey") % 3 == 1, "done").when(F.col("o_orderkey") % 3 == 2, "failed").otherwise("started")
-    journal = b.read(spark, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("symbol"), status.alias("status"))
+    journal = b.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("C"), "o_custkey").alias("symbol"), status.alias("status"))
     return upserts.open_symbols(b.read(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("symbol")).distinct(), journal)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import factors
+from ..operators import density, factors
 from . import bindings as b
 from .registry import query
 
@@ -48,3 +48,8 @@ def ml5_topics(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml5_topic_terms(spark: SparkSession, d: str) -> DataFrame:
     return factors.topic_terms(*_topics(spark, d))
+
+
+@query()
+def ml7_topic_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return density.density_clusters(b.vectors(spark, d), "doc_id", "vector")

@@ -15,14 +15,6 @@ from .registry import query
 SUFFIXES = ("NSE", "TSX", "US")
 
 
-def _chain(start: str, *steps: tuple[str, str] | str) -> str:
-    """Nested regexp_replace in SQL."""
-    for s in steps:
-        pattern, by = (s, " ") if isinstance(s, str) else s
-        start = f"regexp_replace({start}, '{pattern}', '{by}', 'g')"
-    return f"trim({start})"
-
-
 # --- identity
 
 
@@ -183,10 +175,9 @@ def cl11_metric_availability(spark: SparkSession, d: str) -> DataFrame:
 # --- roll-ups
 
 
-@query(f"SELECT {_chain('lower(text)', r'\d+', r'[^a-z\s]', r'\s+')} AS template, count(*) AS n FROM conversations WHERE role = 'user' AND regexp_matches(text, '^[\\x00-\\x7F]*$') AND NOT regexp_matches(text, '[@$/]|\\w\\.\\w') GROUP BY 1")
+@query(f"SELECT {sqltext.topic('text')} AS template, count(*) AS n FROM conversations GROUP BY 1")
 def ag4_template_frequency(spark: SparkSession, d: str) -> DataFrame:
-    c = b.read(spark, d, "conversations").where(r"role = 'user' and text rlike '^[\\x00-\\x7F]*$' and not text rlike '[@$/]|\\w\\.\\w'")
-    return c.groupBy(text.template_text("text").alias("template")).agg(F.count("*").alias("n"))
+    return b.read(spark, d, "conversations").groupBy(text.template_text("text").alias("template")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT p_partkey AS axis_id, p_brand AS f, (p_size % 10) / 10.0::DOUBLE AS rel, (p_size * 40)::DOUBLE AS cw, (p_partkey % 5 - 2) / 4.0::DOUBLE AS s FROM part), w AS (SELECT *, greatest(0.2, rel + least(1.0, cw / 2000)) AS w FROM a)
@@ -328,9 +319,9 @@ def pf7_company_axes(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "part").select("p_partkey", F.array_join(records.company_axes(nested, F.array(axis(F.col("p_name")), axis(F.lit(" "))))["axis_label"], ",").alias("axes"))
 
 
-@query("SELECT p_partkey, CASE WHEN 0.6 * a >= 0.4 * z THEN 'first,second' ELSE 'second,first' END AS titles FROM (SELECT p_partkey, (p_size % 8) / 8.0::DOUBLE AS a, (p_partkey % 7) / 8.0::DOUBLE AS z FROM part) WHERE abs(0.6 * a - 0.4 * z) > 0.001")
+@query("SELECT p_partkey, CASE WHEN round(60 * a, 2) >= round(40 * z, 2) THEN 'first,second' ELSE 'second,first' END AS titles FROM (SELECT p_partkey, (p_size % 8) / 8.0::DOUBLE AS a, (p_partkey % 7) / 8.0::DOUBLE AS z FROM part)")
 def pf9_explanations(spark: SparkSession, d: str) -> DataFrame:
-    p = b.read(spark, d, "part").select("p_partkey", (F.col("p_size") % 8 / 8).alias("a"), (F.col("p_partkey") % 7 / 8).alias("z")).where("abs(0.6D * a - 0.4D * z) > 0.001D")
+    p = b.read(spark, d, "part").select("p_partkey", (F.col("p_size") % 8 / 8).alias("a"), (F.col("p_partkey") % 7 / 8).alias("z"))
     return p.select("p_partkey", F.array_join(records.explanations({"a": "first", "z": "second"}, {"a": 0.6, "z": 0.4})["title"], ",").alias("titles"))
 
 
