@@ -1,4 +1,4 @@
-"""Model-backed operators on pyspark.ml (ML): distant-supervision sentiment, topics, axis clusters, pluggable profilers."""
+"""Model-backed operators (ML): numbers of topics and documents, axis clusters, pluggable profilers."""
 
 from __future__ import annotations
 
@@ -6,19 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import polarity
-
-MIN_CLASS = 25
-
 
 def text_features(min_df: float = 3, max_df: float = 0.9, size: int = 25_000) -> list:
     """Normalised TF-IDF of words and word pairs from the column text."""
@@ -32,33 +26,6 @@ def text_features(min_df: float = 3, max_df: float = 0.9, size: int = 25_000) ->
     ]
 
 
-def train_sentiment(rows: DataFrame) -> PipelineModel | None:
-    """text, label (1.0 positive, 0.0 negative): a balanced logistic model, or None with under MIN_CLASS rows of a class."""
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(n.get(0.0, 0), n.get(1.0, 0)) < MIN_CLASS:
-        return None
-    total = n[0.0] + n[1.0]
-    weighted = rows.withColumn("w", F.when(F.col("label") == 1, total / 2 / n[1.0]).otherwise(total / 2 / n[0.0]))
-    return Pipeline(stages=[*text_features(), LogisticRegression(weightCol="w", maxIter=30, regParam=0.01)]).fit(weighted)
-
-
-def score_sentiment(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds sentiment_score = p(+) - p(-), label and confidence; texts under two tokens are neutral."""
-    keep = rows.columns
-    out = model.transform(rows).withColumn("p", vector_to_array("probability"))
-    short = F.size("w1") < 2
-    score = F.when(short, 0.0).otherwise(F.round(F.col("p")[1] - F.col("p")[0], 4))
-    return out.select(*keep, score.alias("sentiment_score"), polarity(score).alias("sentiment_label"), F.when(short, 0.0).otherwise(F.round(F.greatest(F.col("p")[0], F.col("p")[1]), 4)).alias("sentiment_confidence"))
-
-
-def holdout_quality(scored: DataFrame) -> DataFrame:
-    """label, sentiment_score: accuracy and macro F1 of its sign, one row."""
-    hit = lambda p, t: F.count_if((F.col("sentiment_score") > 0).cast("double").eqNullSafe(F.lit(p)) & (F.col("label") == t))
-    tp, fp, fn, tn = hit(1.0, 1.0), hit(1.0, 0.0), hit(0.0, 1.0), hit(0.0, 0.0)
-    f1 = lambda a, b, c: 2 * a / F.greatest(2 * a + b + c, F.lit(1))
-    return scored.agg(F.round((tp + tn) / F.count("*"), 4).alias("accuracy"), F.round((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2, 4).alias("macro_f1"))
-
-
 def topic_count(documents: Column, requested: Column | int) -> Column:
     """Number of topics: the requested one within bounds by the number of documents; 0 without documents."""
     least = F.when(documents >= 5_000, 12).otherwise(6)

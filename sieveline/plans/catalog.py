@@ -418,14 +418,6 @@ def so5_to_do(spark: SparkSession, d: str) -> DataFrame:
     return identity.to_do(c, b.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query()
-def ml4_sentiment_model(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.read(spark, d, "documents").withColumn("text", text.training_text("text"))
-    rows = docs.join(b.read(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    model = models.train_sentiment(rows)
-    return models.score_sentiment(model, rows.select("doc_id", "text")).drop("text")
-
-
 @query()
 def fu5_fused_profiles(spark: SparkSession, d: str) -> DataFrame:
     v = b.vectors(spark, d).withColumn("symbol", F.concat(F.lit("s"), F.col("doc_id") % 20))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import density, factors
+from ..operators import density, factors, sentiment
 from . import bindings as b
 from .registry import query
 
@@ -28,15 +28,18 @@ SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY do
 
 @query(_TFIDF)
 def ml5_weighted_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows, vocabulary = factors.tfidf(b.read(spark, d, "documents"), "doc_id", informative_tokens("text"), 20, 0.22, 2000)
+    docs, tokens = b.read(spark, d, "documents"), informative_tokens("text")
+    vocabulary = factors.fit_vocabulary(docs, "doc_id", tokens, 20, 0.22, 2000)
+    rows = factors.weighted_terms(docs, "doc_id", tokens, vocabulary)
     each = rows.select("key", F.inline(F.arrays_zip("terms", "values")))
     return each.join(F.broadcast(vocabulary), F.col("terms") == F.col("place")).select(F.col("key").alias("doc_id"), "term", F.round("values", 6).alias("value"))
 
 
 def _topics(spark: SparkSession, d: str) -> tuple[factors.Factors, DataFrame]:
     """Factors of the documents' terms: 12 topics, terms in at least 20 documents, the 2,000 most frequent ones, up to 40 rounds."""
-    rows, vocabulary = factors.tfidf(b.read(spark, d, "documents"), "doc_id", informative_tokens("text"), 20, 0.22, 2000)
-    return factors.factorise(rows, 12, 2000, rounds=40), vocabulary
+    docs, tokens = b.read(spark, d, "documents"), informative_tokens("text")
+    vocabulary = factors.fit_vocabulary(docs, "doc_id", tokens, 20, 0.22, 2000)
+    return factors.factorise(factors.weighted_terms(docs, "doc_id", tokens, vocabulary), 12, 2000, rounds=40), vocabulary
 
 
 @query()
@@ -53,3 +56,21 @@ def ml5_topic_terms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml7_topic_assignment(spark: SparkSession, d: str) -> DataFrame:
     return density.density_clusters(b.vectors(spark, d), "doc_id", "vector")
+
+
+def _marked_posts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, label, tokens: the marker words are two that the invented prose has; tokens are without them."""
+    posts = b.read(spark, d, "documents").select("doc_id", "text")
+    return sentiment.marked(posts, "doc_id", "text", "les", "der")
+
+
+@query()
+def ml4_sentiment_model(spark: SparkSession, d: str) -> DataFrame:
+    posts = _marked_posts(spark, d)
+    return sentiment.scored(posts, sentiment.train(posts)).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def ml3_holdout_quality(spark: SparkSession, d: str) -> DataFrame:
+    posts = _marked_posts(spark, d)
+    return sentiment.holdout_quality(sentiment.scored(posts, sentiment.train(posts)))
