@@ -88,10 +88,21 @@ def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     return near.near_classes(docs, percent, MINHASH)
 
 
-def _bounds(ids: DataFrame, parts: int) -> list[int]:
-    """First doc_ids of up to ``parts`` ranges with about as many rows each; as long as the number of ranges."""
-    cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first()["c"] if parts > 1 else []
-    return sorted(set(cuts or []))
+def _ranges(ids: DataFrame, parts: int) -> tuple[list[int], int]:
+    """First doc_ids of up to ``parts`` ranges with about as many rows each, and a power of two: of the ranges for rows without doc_id."""
+    cuts = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)
+    c, n, named = ids.agg(cuts, F.count("*"), F.count("doc_id")).first()
+    return sorted(set(c or [])) if parts > 1 else [], (max(1, (n - named) * parts // max(n, 1)) - 1).bit_length()
+
+
+def _place(bounds: list[int], bits: int) -> Column:
+    """A row's range: how many bounds its doc_id reaches, by halving steps; rows without doc_id follow by their text's hash, on its ``bits`` upper bits."""
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    known = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<long>")
+    reached = lambda at, step: F.when(F.col("doc_id") >= F.get(known, at + step - 1), at + step).otherwise(at)
+    named = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), reached) if steps else F.lit(0)
+    free = F.shiftright("order", 64 - bits).cast("int") + (1 << bits >> 1) if bits else F.lit(0)
+    return F.when(F.col("doc_id").isNull(), free + len(bounds) + 1).otherwise(named)
 
 
 def _next_texts(docs: DataFrame) -> DataFrame:
@@ -99,37 +110,19 @@ def _next_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    bounds = _bounds(ids.where("doc_id is not null"), parts)
-    # range k holds bounds[k-1] <= doc_id < bounds[k]; rows without doc_id are the last range
-    last = len(bounds) + 1
-
-    def pick(leaf: Callable[[int], Column], low: int = 0, high: int = last - 1) -> Column:
-        """leaf(k) for the range k of a row, by binary search."""
-        if low == high:
-            return leaf(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < bounds[mid], pick(leaf, low, mid)).otherwise(pick(leaf, mid + 1, high))
-
-    def by_range(leaf: Callable[[int], Column]) -> Column:
-        return F.when(F.col("doc_id").isNull(), leaf(last)).otherwise(pick(leaf))
-
+    bounds, bits = _ranges(docs.select("doc_id"), parts)
+    ranges = len(bounds) + 1 + (1 << bits)
     ordered = docs.withColumn("order", F.xxhash64("text"))
+    ordered = ordered.withColumn("at", _place(bounds, bits))
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "order")).alias("least")
-    firsts = {r["part"]: r["least"] for r in ordered.select(by_range(F.lit).alias("part"), "doc_id", "order").groupBy("part").agg(least).collect()}
-    filled = sorted(firsts)
-    before = {p: filled[i - 1] for i, p in enumerate(filled)}
-    place = "at int, first long, first_order long, copy_to int"
-
-    def leaf(k: int) -> Column:
-        values = (k, *firsts[k], before[k]) if k in firsts else (k, None, None, None)
-        return F.struct(*[F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(values, place.split(", "), strict=True)])
-
-    rows = ordered.withColumn("place", by_range(leaf))
-    opens = (F.coalesce("doc_id", F.lit(0)) == F.col("place.first")) & (F.col("order") == F.col("place.first_order"))
-    ways = F.array(F.struct(F.col("place.at").alias("at"), F.lit(False).alias("copy")), F.when(opens, F.struct(F.col("place.copy_to").alias("at"), F.lit(True).alias("copy"))))
+    firsts = sorted(tuple(r) for r in ordered.groupBy("at").agg(least).select("at", "least.doc_id", "least.order").collect())  # one row for each range
+    before = [firsts[i - 1][0] for i in range(len(firsts))]
+    known = spark.createDataFrame([(*f, b) for f, b in zip(firsts, before, strict=True)], "of int, first long, first_order long, copy_to int")
+    rows = ordered.join(F.broadcast(known), F.col("at") == F.col("of"))
+    opens = (F.coalesce("doc_id", F.lit(0)) == F.col("first")) & (F.col("order") == F.col("first_order"))
+    ways = F.array(F.struct("at", F.lit(False).alias("copy")), F.when(opens, F.struct(F.col("copy_to").alias("at"), F.lit(True).alias("copy"))))
     rows = rows.select("doc_id", "text", "order", F.explode(F.array_compact(ways)).alias("way")).select("doc_id", "text", "order", "way.at", "way.copy")
-    dealt = rows.repartitionById(last + 1, F.col("at")).sortWithinPartitions("copy", F.col("doc_id").asc_nulls_last(), "order")
+    dealt = rows.repartitionById(ranges, F.col("at")).sortWithinPartitions("copy", F.col("doc_id").asc_nulls_last(), "order")
     return dealt.select("doc_id", "text", "copy")
 
 

@@ -478,6 +478,23 @@ def test_fingerprints(spark, documents, odd):
     assert abs(float((sign(a) == sign(b)).mean()) - 240 / 360) < 0.2
 
 
+@pytest.mark.parametrize("named", [0, 3, 40, 200])
+def test_ranges_of_rows_with_and_without_doc_id(spark, named):
+    """Every row is followed by the next one, whatever share of them lies in the ranges of rows without doc_id."""
+    rows = [(i * 11 % 97 - 30 if i < named else None, f"text number {i % 150} " * 3) for i in range(200)]
+    df = table(spark, rows)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprint_edits(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    told = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["h"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).collect())
+    texts = [t[3] for t in told]
+    want = sorted((n, i, len(t), hashlib.sha256(fingerprints.edited(t, after).encode()).hexdigest()) for (n, i, _, t), after in zip(told, [*texts[1:], texts[0]], strict=True))
+    assert got == want
+
+
 def test_fingerprints_equal_plain_minhash(spark, documents):
     df = documents.where("doc_id < 60").select("doc_id", "text")
     rows = sorted(df.collect())
