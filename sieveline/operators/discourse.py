@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import clamp
+from .lineage import cut
 from .statistics import top_k
 
 
@@ -44,10 +47,10 @@ def topic_summary(assigned: DataFrame, cut: float = 0.08, top: int = 3) -> DataF
     return sums.join(examples, "topic_id")
 
 
-def company_topics(assigned: DataFrame, cut: float = 0.05) -> DataFrame:
+def company_topics(assigned: DataFrame, least: float = 0.05) -> DataFrame:
     """symbol, topic_id: weight, posts, weighted sentiment, share of the company's weight, signed score."""
     exact = lambda c: F.sum(c.cast("decimal(26,12)"))  # noqa: E731  sums of decimals don't depend on the order of rows
-    by = assigned.where(F.col("weight") >= cut).groupBy("symbol", "topic_id").agg(exact(F.col("weight")).alias("exact"), F.count("*").alias("posts_with_topic"), exact(F.col("weight") * F.col("sentiment_score")).cast("double").alias("signed"))
+    by = assigned.where(F.col("weight") >= least).groupBy("symbol", "topic_id").agg(exact(F.col("weight")).alias("exact"), F.count("*").alias("posts_with_topic"), exact(F.col("weight") * F.col("sentiment_score")).cast("double").alias("signed"))
     by = by.withColumn("w", F.col("exact").cast("double")).withColumn("s", F.col("signed") / F.col("w"))
     total = by.groupBy("symbol").agg(F.sum("exact").cast("double").alias("all"))
     share = F.col("w") / F.col("all")
@@ -139,11 +142,33 @@ def select_topics(quality: DataFrame, target: int, floor: int = 24) -> DataFrame
     return ranked.withColumn("chosen", (F.col("passes") & (F.col("rn") <= target)) | (F.col("rn") <= floor)).drop("rn")
 
 
-def category_overlaps(members: DataFrame, sample: int = 30) -> DataFrame:
-    """category, ticker: shared tickers of each pair of categories (a < b), with a sorted sample."""
+#: A ticker in more categories than this has them dealt in blocks of about as many.
+HOT_TICKER = 1000
+
+
+def _category_pairs(members: DataFrame) -> DataFrame:
+    """a, b, ticker: two categories (a < b) with a ticker in common. A hot ticker's categories are spread over blocks on one side and
+    repeated for each block on the other, so that no task has all of its pairs."""
     m = members.select("category", "ticker").distinct()
-    pairs = m.select(F.col("category").alias("a"), "ticker").join(m.select(F.col("category").alias("b"), "ticker"), "ticker").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.array_join(F.slice(F.array_sort(F.collect_list("ticker")), 1, sample), ",").alias("sample"))
+    hot = cut(m.groupBy("ticker").agg(F.count("*").alias("n")).where(F.col("n") > HOT_TICKER).select("ticker", F.ceil(F.col("n") / HOT_TICKER).cast("int").alias("blocks")))
+    if hot.isEmpty():
+        spread, repeated = m.withColumn("block", F.lit(0)), m.withColumn("block", F.lit(0))
+    else:
+        dealt = m.join(hot, "ticker", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        spread = dealt.withColumn("block", F.pmod(F.xxhash64("category"), F.col("blocks")).cast("int"))
+        repeated = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one, two = spread.select("ticker", "block", F.col("category").alias("a")), repeated.select("ticker", "block", F.col("category").alias("b"))
+    return one.join(two, ["ticker", "block"]).where("a < b").select("a", "b", "ticker")
+
+
+def category_overlaps(members: DataFrame, sample: int = 30) -> DataFrame:
+    """a, b, shared, sample: tickers that each pair of categories (a < b) shares, with the first ``sample`` of them. The sample is a rank
+    limited before its shuffle, so no pair's tickers are ever gathered whole."""
+    pairs = _category_pairs(members)
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy("ticker"))).where(F.col("rn") <= sample)
+    told = first.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("sample"))
+    return counted.join(told, ["a", "b"])
 
 
 def category_counts(members: DataFrame) -> DataFrame:
@@ -155,23 +180,34 @@ def shared_tickers(members: DataFrame) -> DataFrame:
     return by.where(F.size("c") >= 2).select("ticker", F.size("c").alias("categories"), F.array_join("c", ",").alias("slugs"))
 
 
-def redundant_categories(members: DataFrame, contained: float = 0.85, likeness: float = 0.60) -> list[tuple[str, str]]:
-    """(dropped, kept) pairs: a category contained in, or like, a larger kept one. Pair counts are Spark's; the greedy pass over the few edges is the driver's."""
-    sizes = {r["category"]: r["tickers"] for r in category_counts(members).collect()}
-    edges = category_overlaps(members, 1)
-    size = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))])
-    small = F.least(size[F.col("a")], size[F.col("b")])
-    near = edges.where((F.col("shared") >= contained * small) | (F.col("shared") >= likeness * (size[F.col("a")] + size[F.col("b")] - F.col("shared"))))
-    dropped: dict[str, str] = {}
-    rows = [(r["a"], r["b"], r["shared"]) for r in near.collect()]
-    for rule in ("contained", "like"):
-        for a, b, n in sorted(rows, key=lambda r: (-max(sizes[r[0]], sizes[r[1]]), r[0], r[1])):
-            big, less = (a, b) if (sizes[a], b) >= (sizes[b], a) else (b, a)
-            if a in dropped or b in dropped:
-                continue
-            if rule == "contained" and n >= contained * sizes[less] or rule == "like" and n >= likeness * (sizes[a] + sizes[b] - n):
-                dropped[less] = big
-    return sorted(dropped.items())
+def _greedy(edges: DataFrame) -> DataFrame:
+    """dropped, kept: what one pass over the edges (a, b, less, big) in the order of ``rank`` drops, if an edge with a dropped end does
+    nothing and any other one drops its ``less``. Done in rounds: an edge that comes first at both of its ends waits for nothing."""
+    left, made = cut(edges), []
+    while not left.isEmpty():
+        first = left.select(F.explode(F.array("a", "b")).alias("v"), "rank").groupBy("v").agg(F.min("rank").alias("least"))
+        at = lambda side: first.select(F.col("v").alias(side), F.col("least").alias(f"least_{side}"))
+        ready = left.join(at("a"), "a").join(at("b"), "b").where((F.col("rank") == F.col("least_a")) & (F.col("rank") == F.col("least_b")))
+        made.append(cut(ready.select(F.col("less").alias("dropped"), F.col("big").alias("kept"))))
+        gone = made[-1].select("dropped")
+        left = cut(left.join(gone, F.col("a") == F.col("dropped"), "left_anti").join(gone, F.col("b") == F.col("dropped"), "left_anti"))
+    return reduce(DataFrame.union, made) if made else edges.select(F.col("less").alias("dropped"), F.col("big").alias("kept")).limit(0)
+
+
+def redundant_categories(members: DataFrame, contained: float = 0.85, likeness: float = 0.60) -> DataFrame:
+    """dropped, kept: a category contained in a larger one goes, then one like a larger one that is left (of equal sizes the
+    alphabetically later one goes). Pairs are taken by the size of the larger category, falling, then by name."""
+    sizes = cut(category_counts(members))
+    size = lambda side: sizes.select(F.col("category").alias(side), F.col("tickers").alias(f"n_{side}"))
+    pairs = _category_pairs(members).groupBy("a", "b").agg(F.count("*").alias("shared")).join(size("a"), "a").join(size("b"), "b")
+    bigger = F.col("n_a") >= F.col("n_b")
+    pairs = pairs.select("a", "b", "shared", "n_a", "n_b", F.when(bigger, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(bigger, F.col("b")).otherwise(F.col("a")).alias("less"), F.struct((-F.greatest("n_a", "n_b")).alias("size"), "a", "b").alias("rank"))
+    inside, like = F.col("shared") >= contained * F.least("n_a", "n_b"), F.col("shared") >= likeness * (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    near = cut(pairs.where(inside | like))
+    first = cut(_greedy(near.where(inside)))
+    gone = first.select("dropped")
+    left = near.where(like).join(gone, F.col("a") == F.col("dropped"), "left_anti").join(gone, F.col("b") == F.col("dropped"), "left_anti")
+    return first.union(_greedy(left))
 
 
 def merge_report(merged: DataFrame, listed: DataFrame) -> DataFrame:

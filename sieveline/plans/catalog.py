@@ -391,7 +391,7 @@ def pf20_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pf21_redundant_categories(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(discourse.redundant_categories(b.members(spark, d)), "dropped string, kept string")
+    return discourse.redundant_categories(b.members(spark, d))
 
 
 # --- evaluation and sets

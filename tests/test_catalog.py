@@ -81,7 +81,23 @@ def test_redundant_categories_equal_a_plain_pass(spark):
             if a not in dropped and b not in dropped and (both >= 0.85 * n[less] if rule == "contained" else both >= 0.6 * len(sets[a] | sets[b])):
                 dropped[less] = big
     rows = spark.createDataFrame([(c, f"t{t}") for c, s in sets.items() for t in s], "category string, ticker string")
-    assert dropped and discourse.redundant_categories(rows) == sorted(dropped.items())
+    assert dropped and sorted(map(tuple, discourse.redundant_categories(rows).collect())) == sorted(dropped.items())
+
+
+def test_overlaps_of_a_hot_ticker_equal_all_pairs(spark, monkeypatch):
+    """One ticker is in all categories, dealt in blocks of three; samples are the first tickers."""
+    import itertools
+    import random
+
+    from sieveline.operators import discourse
+
+    monkeypatch.setattr(discourse, "HOT_TICKER", 3)
+    rng = random.Random(3)
+    own = {f"c{i:02d}": {"HOT", *(f"T{rng.randrange(30)}" for _ in range(rng.randrange(12)))} for i in range(25)}
+    rows = spark.createDataFrame([(c, t) for c, ts in own.items() for t in ts] * 2, "category string, ticker string")
+    got = {(r["a"], r["b"]): (r["shared"], r["sample"]) for r in discourse.category_overlaps(rows, 2).collect()}
+    assert got == {(a, b): (len(both), ",".join(sorted(both)[:2])) for a, b in itertools.combinations(sorted(own), 2) if (both := own[a] & own[b])}
+    assert discourse.category_overlaps(rows.limit(0)).count() == 0 and discourse.redundant_categories(rows.limit(0)).count() == 0
 
 
 def test_stratified_sample_equals_a_plain_one(spark):
