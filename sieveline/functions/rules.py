@@ -116,13 +116,13 @@ def explicit_override(label: Column | str, score: Column | str, confidence: Colu
 
 
 def within(value: Column | str, low: float | None = None, high: float | None = None, include_missing: bool = True) -> Column:
-    """Bounds of a dimension filter; missing values pass or not by the switch."""
+    """Bounds of a dimension filter; missing values pass or not by the switch, also where there is no bound."""
     v, ok = col(value), F.lit(True)
     if low is not None:
         ok = ok & (v >= low)
     if high is not None:
         ok = ok & (v <= high)
-    return F.lit(True) if low is None and high is None else F.when(v.isNull(), F.lit(include_missing)).otherwise(ok)
+    return F.lit(True) if low is None and high is None and include_missing else F.when(v.isNull(), F.lit(include_missing)).otherwise(ok)
 
 
 def low_signal(coverage: Column | str, profiled: Column | str) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import discourse, identity, models, portfolio, series, statistics
+from ..operators import discourse, identity, portfolio, previews, series, statistics
 from ..sources import files
 from . import bindings as b
 from . import sqltext
@@ -366,6 +368,24 @@ def pf13_summary(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.summary(portfolio.preview(_master(spark, d), PROFILE))
 
 
+SELECTED = dataclasses.replace(PROFILE, categories=("Brand#11", "Brand#23", "Brand#45"))
+
+
+def _previewed(name: str, scored: str) -> str:
+    return f"""SELECT * FROM (WITH {COMPANIES}, {scored}, {_PICK}, a AS (SELECT category, sum(weight) AS w, min(position) AS first FROM holdings GROUP BY category)
+SELECT '{name}' AS profile, (SELECT count(*) FROM scored) AS matched, string_agg(symbol || ':' || weight, ',' ORDER BY position) AS holdings, count(*) AS n, round(sum(weight * weight), 4) AS hhi, max(weight) AS max_weight, (SELECT category FROM a ORDER BY round(w, 4) DESC, first LIMIT 1) AS top_category FROM holdings)"""
+
+
+_IN_SELECTED = _SCORED.replace(f"WHERE posts_count >= {PROFILE.min_posts}", f"WHERE posts_count >= {PROFILE.min_posts} AND category IN ({_terms(SELECTED.categories)})")
+
+
+@query(f"{_previewed('all', _SCORED)} UNION ALL {_previewed('selected', _IN_SELECTED)}")
+def pf17_previews(spark: SparkSession, d: str) -> DataFrame:
+    made = previews.previews(_master(spark, d), {"all": PROFILE, "selected": SELECTED})
+    shown = F.array_join(F.transform("holdings", lambda h: F.concat(h["symbol"], F.lit(":"), h["weight"].cast("string"))), ",")
+    return made.select("profile", "matched", shown.alias("holdings"), "summary.n", "summary.hhi", "summary.max_weight", "summary.top_category")
+
+
 _OTHER = _SCORED.replace(_selection(_W), _selection(portfolio.normal_weights(portfolio.BENCHMARK_WEIGHTS)))
 _MEANS = ", ".join(f"round(sum({c} * weight) / sum(CASE WHEN {c} IS NOT NULL THEN weight END), 4) AS avg_{c}" for c in ("custom_esg_proxy_score", "profitability_score"))
 
