@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import discourse, identity, models, portfolio
-from ..sources import commits, files
+from ..sources import commits, files, paged
 from ..streaming import upserts
 from . import bindings as b
 from .catalog import COMPANIES, _master
@@ -197,6 +198,28 @@ def sc19_data_status(spark: SparkSession, d: str) -> DataFrame:
     return files.data_status(spark, {"master": _lines(spark, _suppliers(spark, d)), "technicals": f"{files.scratch(spark)}/technicals.jsonl"})
 
 
+def _saved_pages(spark: SparkSession, d: str) -> str:
+    """Parts as listing pages of ten, by brand."""
+    path = files.scratch(spark)
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    rows = b.read(spark, d, "part").withColumn("n", F.row_number().over(w) - 1)
+    rows = rows.select(F.regexp_replace("p_brand", "#", "-").alias("category"), (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), (F.col("n") % 10).cast("int").alias("place"), F.col("p_name").alias("item"))
+    rows.repartition("category", "page").write.partitionBy("category", "page").parquet(path)
+    return path
+
+
+_PAGES = "SELECT replace(p_brand, '#', '-') AS category, (n // 10 + 1)::INTEGER AS page, (n % 10)::INTEGER AS place, p_name AS item FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)"
+
+
+@query(_PAGES)
+def sc12_paged_listing(spark: SparkSession, d: str) -> DataFrame:
+    spark.dataSource.register(paged.PagedListing)
+    root = _saved_pages(spark, d)
+    categories = [r[0] for r in spark.read.parquet(root).select("category").distinct().collect()]  # what the crawl is asked for
+    reader = spark.read.format("paged_listing").option("provider", "sieveline.sources.paged:SavedPages").option("root", root)
+    return reader.option("categories", json.dumps(categories)).load()
+
+
 # --- sinks
 
 
