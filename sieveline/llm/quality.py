@@ -1,9 +1,11 @@
 """Quality rules by n-gram perplexity (operator 9).
 
 A modified Kneser-Ney model over the bytes of the texts (order 4, ASCII lower-cased, white space as one blank each) is
-counted by Spark over all documents, for each language. Probabilities of the n-grams seen are stored in two arrays sorted
-by language and n-gram, 12 bytes for each distinct n-gram of a language; none share an entry. A document's perplexity is that of its bytes; each language has a lower and an upper
-bound, FENCE interquartile ranges outside the quartiles of its documents' perplexities, and documents beyond them are rejected.
+counted by Spark over all documents, for each language. Log probabilities of the n-grams of at least 1/HOT_GRAMS of all occurrences,
+so of at most HOT_GRAMS of them, go to all tasks in two arrays sorted by language and n-gram; those of all others stay dealt by hash
+and are joined to the rare n-grams that each document hands on. None share an entry. A document's perplexity is that of its bytes;
+each language has a lower and an upper bound, FENCE interquartile ranges outside the quartiles of its documents' perplexities,
+and documents beyond them are rejected.
 
 Above the bytes, whole words are counted too (ASCII lower-cased; those without a letter or digit are left out, so that separators
 don't make a text look usual). A word's probability leaves out the very occurrence that is scored (its count less one, discounted,
@@ -35,6 +37,8 @@ HELD_GRAMS = 1 << 20
 #: Perplexity bands: so many interquartile ranges of its logarithm beyond the quartiles.
 FENCE = 4.0
 BIN = 0.002
+#: N-grams with at least this part of all occurrences are broadcast, 16 bytes each.
+HOT_GRAMS = 1 << 21
 #: Words with at least this part of all occurrences are broadcast; the others are dealt to buckets of about BUCKET_WORDS occurrences.
 HOT = 100_000
 BUCKET_WORDS = 1 << 23
@@ -150,14 +154,26 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return below.select("lang", "slot", F.col("c").alias("n"), F.log("p").alias("logp"))
 
 
-def stored_model(docs: DataFrame) -> Broadcast:
-    """Sorted slots (int64) and their log probabilities (float32), one for each n-gram of a language."""
-    counts = cut(count_grams(docs))
-    model = kneser_ney(counts)
-    by_slot = model.groupBy("slot").agg((F.sum(F.col("logp") * F.col("n")) / F.sum("n")).cast("float").alias("logp")).toArrow()
-    at, logp = by_slot.column("slot").to_numpy(), by_slot.column("logp").to_numpy().astype(np.float32)
+def gram_model(docs: DataFrame) -> DataFrame:
+    """slot, n, logp (in millionths) of each n-gram of a language."""
+    model = kneser_ney(cut(count_grams(docs)))
+    # languages whose hashes meet share entries
+    return cut(model.groupBy("slot").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("logp") * F.col("n")) / F.sum("n") * 1_000_000).cast("long").alias("logp")))
+
+
+def hot_grams(model: DataFrame, total: int) -> Broadcast:
+    """Sorted slots and log probabilities of the n-grams of at least 1/HOT_GRAMS of all ``total`` occurrences."""
+    hot = model.where(F.col("n") * HOT_GRAMS >= total).select("slot", "logp").toArrow()
+    at, logp = hot.column("slot").to_numpy(), hot.column("logp").to_numpy()
     order = np.argsort(at)
-    return docs.sparkSession.sparkContext.broadcast((at[order], logp[order]))
+    return model.sparkSession.sparkContext.broadcast((at[order], logp[order]))
+
+
+def rare_gram_sums(scores: DataFrame, model: DataFrame, total: int) -> DataFrame:
+    """of, gram_sum, gram_n: sums over the rare n-grams that rows with an equal key handed on together, and their number."""
+    rare = model.where(F.col("n") * HOT_GRAMS < total).select("slot", "logp")
+    asked = scores.select(F.col("key").alias("of"), F.explode("rare_grams").alias("slot"))
+    return asked.join(rare, "slot").groupBy("of").agg(F.sum("logp").alias("gram_sum"), F.count("*").alias("gram_n"))
 
 
 def words_in(texts: list[bytes], langs: list[str | None]) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
@@ -317,11 +333,11 @@ def base_counts(text: bytes, words: np.ndarray, raw: np.ndarray) -> tuple[int, i
     return n, chars, symbols, again, repeated
 
 
-_SCORED = "doc_id long, lang string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, key long, hot_sum long, all_n long, hot_n long"
+_SCORED = "doc_id long, lang string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, key long, hot_sum long, all_n long, hot_n long, bytes long, gram_hot long, rare_grams array<long>"
 
 
 def scored(docs: DataFrame, model: Broadcast, hot: Broadcast) -> DataFrame:
-    """Base counts and log perplexity of every whole text, the sum over its hot words, and the numbers of all and of hot words."""
+    """Base counts of every whole text, the sums over its hot words and n-grams, the numbers of all and of hot words, and its rare n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, logp = model.value
@@ -329,7 +345,8 @@ def scored(docs: DataFrame, model: Broadcast, hot: Broadcast) -> DataFrame:
         for b in small(batches):
             texts, langs = encoded(b.column(3)), b.column(1).to_pylist()
             rows = [base_counts(t, w, np.frombuffer(t, np.uint8)) for t, w in zip(texts, document_word_hashes(texts), strict=True)]
-            perplexity: list[float | None] = [None] * len(texts)
+            gram_sums = np.zeros(len(texts), np.int64)
+            rare: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
             by: dict[str | None, list[int]] = {}
             for i, lang in enumerate(langs):
                 if texts[i]:
@@ -338,11 +355,14 @@ def scored(docs: DataFrame, model: Broadcast, hot: Broadcast) -> DataFrame:
                 for first, last in slices([texts[i] for i in own]):
                     group = own[first:last]
                     which = slots(lang, grams([texts[i] for i in group]))
-                    found = logp[np.minimum(np.searchsorted(at, which), len(at) - 1)]
+                    place = np.minimum(np.searchsorted(at, which), max(len(at) - 1, 0))
+                    here = at[place] == which if len(at) else np.zeros(len(which), bool)
+                    values = np.where(here, logp[place], 0) if len(at) else np.zeros(len(which), np.int64)
                     ends = np.cumsum([len(texts[i]) for i in group])
-                    total = np.add.reduceat(found.astype(np.float64), np.concatenate([[0], ends[:-1]]))
-                    for i, s in zip(group, total, strict=True):
-                        perplexity[i] = round(-float(s) / len(texts[i]), 9)
+                    gram_sums[group] = np.add.reduceat(values, np.concatenate([[0], ends[:-1]]))
+                    gone = np.flatnonzero(~here)
+                    for i, part in zip(group, np.split(which[gone], np.searchsorted(gone, ends[:-1])), strict=True):
+                        rare[i] = part
             totals = np.zeros((3, len(texts)), np.int64)
             for _, which, words in words_in(texts, langs):
                 place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
@@ -350,7 +370,9 @@ def scored(docs: DataFrame, model: Broadcast, hot: Broadcast) -> DataFrame:
                 totals[0] += np.bincount(which[is_hot], known_logp[place[is_hot]], len(texts)).astype(np.int64)
                 totals[1] += np.bincount(which, minlength=len(texts))
                 totals[2] += np.bincount(which[is_hot], minlength=len(texts))
-            columns = [b.column(0), pa.array(langs, pa.string()), b.column(2), *(pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [()] * 5)), pa.array(perplexity, pa.float64()), b.column(4), *(pa.array(t, pa.int64()) for t in totals)]
+            columns = [b.column(0), pa.array(langs, pa.string()), b.column(2), *(pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [()] * 5)), b.column(4), *(pa.array(t, pa.int64()) for t in totals)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]), pa.int32()), pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64), pa.int64()))
+            columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(gram_sums), lists]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("row"), "text", _key()).mapInArrow(run, _SCORED)
@@ -378,7 +400,14 @@ def perplexities(docs: DataFrame) -> DataFrame:
     order = np.argsort(words)
     hot = docs.sparkSession.sparkContext.broadcast((words[order], logp[order]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scores = cut(scored(docs, stored_model(docs), hot).withColumn("base_failed", failed))
+    byte_model = gram_model(docs)
+    n_bytes = byte_model.agg(F.sum("n")).first()[0] or 0
+    scores = cut(scored(docs, hot_grams(byte_model, n_bytes), hot).withColumn("base_failed", failed))
+    rare = rare_gram_sums(scores, byte_model, n_bytes)
+    scores = scores.join(rare, F.col("key") == F.col("of"), "left").drop("of")
+    own = F.coalesce(F.col("gram_sum") * (F.size("rare_grams") / F.col("gram_n")), F.lit(0.0))
+    each = F.when(F.col("bytes") > 0, F.round(-(F.col("gram_hot") + own) / 1_000_000 / F.col("bytes"), 9))
+    scores = scores.withColumn("log_perplexity", each).drop("bytes", "gram_hot", "rare_grams", "gram_sum", "gram_n")
     sums = word_sums(docs, model.where(~is_hot), hot, bits).withColumnRenamed("key", "of")
     own = F.coalesce(F.col("rare_sum") * ((F.col("all_n") - F.col("hot_n")) / F.col("rare_n")), F.lit(0.0))
     each = F.when(F.col("all_n") > 0, F.round(-(F.col("hot_sum") + own) / 1_000_000 / F.col("all_n"), 9))

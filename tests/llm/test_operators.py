@@ -1,6 +1,7 @@
 """The llm operators against plain versions, on small fixtures and the driver's smallest tables."""
 
 import collections
+import math
 import hashlib
 import html
 import random
@@ -451,12 +452,78 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(0 < v <= 1.0001 for v in total.values())
 
 
+def plain_kneser_ney(texts):
+    """Log probability of every 4-gram of bytes: interpolated modified Kneser-Ney, from plain dictionaries."""
+    grams = collections.Counter()
+    for t in texts:
+        b = bytes(0x20 if c in b" \t\n\r\x0b\x0c\0" else c + 32 if 0x41 <= c <= 0x5A else c for c in t.encode())
+        b = b"\0\0\0" + b
+        grams.update(b[i : i + 4] for i in range(len(b) - 3))
+    levels = [dict(grams)]
+    for _ in range(3):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    lower = {}
+    for counts in reversed(levels):
+        n = [sum(c == k for c in counts.values()) for k in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [0.0] + [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k + 1] / max(n[k], 1))) if n[k] else k * 0.5 for k in (1, 2, 3)]
+        total, gone = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            gone[g[:-1]] += d[min(c, 3)]
+        lower = {g: (c - d[min(c, 3)]) / total[g[:-1]] + gone[g[:-1]] / total[g[:-1]] * lower.get(g[1:], 1 / 255) for g, c in counts.items()}
+    return {g: math.log(p) for g, p in lower.items()}
+
+
+def plain_bands(values):
+    """Lower and upper bound of one language's values."""
+    bins = sorted(math.floor(v / quality.BIN) for v in values)
+    at = lambda q: (next(b for b in dict.fromkeys(bins) if sum(x <= b for x in bins) >= q * len(bins)) + 0.5) * quality.BIN
+    spread = max(at(0.75) - at(0.25), quality.BIN) * quality.FENCE
+    return at(0.25) - spread, at(0.75) + spread
+
+
+@pytest.mark.parametrize("hot", [200, 1 << 21])
+def test_byte_perplexity_bands_and_verdicts_equal_plain_ones(spark, documents, odd, monkeypatch, hot):
+    """With nearly all n-grams dealt and joined, and with all of them broadcast; rows that repeat, nulls and blanks among them."""
+    monkeypatch.setattr(quality, "HOT_GRAMS", hot)
+    some = documents.where("doc_id < 250")
+    df = some.unionByName(some.where("doc_id < 3")).unionByName(odd.select(some.columns))
+    rows = df.collect()
+    texts = collections.defaultdict(list)
+    for r in rows:
+        texts[r["lang"]].append(r["text"] or "")
+    logp = {lang: plain_kneser_ney(ts) for lang, ts in texts.items()}
+
+    def perplexity(lang, t):
+        b = b"\0\0\0" + bytes(0x20 if c in b" \t\n\r\x0b\x0c\0" else c + 32 if 0x41 <= c <= 0x5A else c for c in t.encode())
+        return -sum(logp[lang][b[i : i + 4]] for i in range(len(b) - 3)) / (len(b) - 3) if t else None
+
+    got = quality.judge(df).collect()
+    of = lambda x: -1.0 if x is None else x
+    want = sorted((r["doc_id"] or 0, of(perplexity(r["lang"], r["text"] or ""))) for r in rows)
+    have = sorted((r["doc_id"] or 0, -1.0 if r["perplexity"] is None else math.log(r["perplexity"])) for r in got)
+    assert len(got) == len(rows) and all(i == k and abs(a - b) < 2e-6 for (i, a), (k, b) in zip(want, have, strict=True))
+    # the verdicts from the plain bands
+    lang = {r["row"]: None for r in got} | {r["h"]: r["lang"] for r in df.withColumn("h", F.xxhash64("text")).collect()}
+    limits = {}
+    for column in ("perplexity", "word_perplexity"):
+        by = collections.defaultdict(list)
+        for r in got:
+            if not r["base_failed"] and r[column] is not None:
+                by[lang[r["row"]]].append(math.log(r[column]))
+        limits[column] = {k: plain_bands(v) for k, v in by.items()}
+    for r in got:
+        inside = all(r[c] is None or lang[r["row"]] not in limits[c] or limits[c][lang[r["row"]]][0] <= math.log(r[c]) <= limits[c][lang[r["row"]]][1] for c in limits)
+        assert r["kept"] == (not r["base_failed"] and inside)
+
+
 def test_model_keeps_every_n_gram_apart(spark):
     random.seed(8)
     texts = ["".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(4000)) for _ in range(6)]
     df = table(spark, enumerate(texts)).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3))
     distinct = {(i % 3, g) for i, t in enumerate(texts) for g in quality.grams([t.encode()]).tolist()}
-    assert len(distinct) > 30_000 and len(quality.stored_model(df).value[0]) == len(distinct)
+    assert len(distinct) > 30_000 and quality.gram_model(df).count() == len(distinct)
 
 
 # 10
