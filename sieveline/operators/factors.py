@@ -24,25 +24,26 @@ SLICE = 1 << 15
 LEAST = 1e-12
 
 
-def _grams(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, n: words and pairs of neighbouring words with their counts."""
+def _grams(docs: DataFrame, key: str, tokens: Column, pairs: bool) -> DataFrame:
+    """key, term, n: words, and pairs of neighbouring words if asked for, with their counts."""
     words = docs.select(F.col(key).alias("key"), tokens.alias("w"))
-    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
-    return words.select("key", F.explode(F.concat("w", pairs)).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
+    return words.select("key", F.explode(F.concat("w", two) if pairs else F.col("w")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
 
 
-def fit_vocabulary(docs: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: float = 0.22, size: int = 9000) -> DataFrame:
+def fit_vocabulary(docs: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: float = 0.22, size: int = 9000, pairs: bool = True) -> DataFrame:
     """term, place, df, idf: terms in at least ``min_df`` documents and at most the share ``max_df`` of them, the ``size`` most
     frequent ones (ties by the alphabet), with ln((1 + n) / (1 + df)) + 1."""
     total = docs.count()
-    kept = _grams(docs, key, tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total)).orderBy(F.desc("all"), "term").limit(size)
+    kept = _grams(docs, key, tokens, pairs).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total)).orderBy(F.desc("all"), "term").limit(size)
     idf = F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1
     return cut(kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"), "df", idf.alias("idf")))  # ``size`` rows at most
 
 
-def weighted_terms(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame) -> DataFrame:
-    """(key, terms, values) of every document with a known term: 1 + ln(count), times idf; a document's values have length 1."""
-    told = _grams(docs, key, tokens).join(F.broadcast(vocabulary), "term").select("key", F.struct("place", ((1 + F.log("n")) * F.col("idf")).alias("value")).alias("x"))
+def weighted_terms(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, pairs: bool = True, sublinear: bool = True) -> DataFrame:
+    """(key, terms, values) of every document with a known term: 1 + ln(count), or the count, times idf; a document's values have length 1."""
+    often = 1 + F.log("n") if sublinear else F.col("n")
+    told = _grams(docs, key, tokens, pairs).join(F.broadcast(vocabulary), "term").select("key", F.struct("place", (often * F.col("idf")).alias("value")).alias("x"))
     rows = told.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("x"))
     length = F.sqrt(F.aggregate("x.value", F.lit(0.0), lambda s, v: s + v * v))
     return rows.select("key", F.col("x.place").alias("terms"), F.transform("x.value", lambda v: v / length).alias("values"))

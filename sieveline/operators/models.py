@@ -1,4 +1,4 @@
-"""Model-backed operators (ML): numbers of topics and documents, axis clusters, pluggable profilers."""
+"""Numbers of topics and documents, and pluggable profilers (ML6, ML10)."""
 
 from __future__ import annotations
 
@@ -6,26 +6,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def text_features(min_df: float = 3, max_df: float = 0.9, size: int = 25_000) -> list:
-    """Normalised TF-IDF of words and word pairs from the column text."""
-    return [
-        RegexTokenizer(inputCol="text", outputCol="w1", pattern="[^a-z]+"),
-        NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, maxDF=max_df, vocabSize=size),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features"),
-    ]
-
-
 def topic_count(documents: Column, requested: Column | int) -> Column:
     """Number of topics: the requested one within bounds by the number of documents; 0 without documents."""
     least = F.when(documents >= 5_000, 12).otherwise(6)
@@ -39,18 +23,6 @@ def least_documents(documents: Column, requested: int = 20) -> Column:
     return F.least(F.lit(requested), F.greatest(F.lit(2), F.floor(documents / 50))).cast("int")
 
 
-def cluster_axes(axes: DataFrame, low: int = 6, high: int = 12, seed: int = 42) -> DataFrame:
-    """axis_id, cluster_id: KMeans over TF-IDF of ``text``, the k of the best silhouette; one cluster for few axes."""
-    n = axes.count()
-    if n < low:
-        return axes.select("axis_id", F.lit(0).alias("cluster_id"))
-    data = Pipeline(stages=text_features(1, 1.0, 5000)).fit(axes).transform(axes).cache()
-    score = ClusteringEvaluator(featuresCol="features")
-    models = [KMeans(k=k, seed=seed).fit(data) for k in range(low, min(high, n - 1) + 1)] or [KMeans(k=2, seed=seed).fit(data)]
-    best = max(models, key=lambda m: score.evaluate(m.transform(data)))
-    return best.transform(data).select("axis_id", F.col("prediction").alias("cluster_id"))
-
-
 def profile_companies(prompts: DataFrame, call: Callable[[str], str], retries: int = 2) -> DataFrame:
     """symbol, profile (JSON text), error: an injected model call for each prompt; a failed one leaves an error row."""
 

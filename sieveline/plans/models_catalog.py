@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import density, factors, sentiment
+from ..operators import axis_clusters, density, factors, models, sentiment
 from . import bindings as b
 from .registry import query
 
@@ -74,3 +74,20 @@ def ml4_sentiment_model(spark: SparkSession, d: str) -> DataFrame:
 def ml3_holdout_quality(spark: SparkSession, d: str) -> DataFrame:
     posts = _marked_posts(spark, d)
     return sentiment.holdout_quality(sentiment.scored(posts, sentiment.train(posts)))
+
+
+@query()
+def ml8_axis_clusters(spark: SparkSession, d: str) -> DataFrame:
+    parts = b.read(spark, d, "part").select(F.col("p_partkey").alias("axis_id"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), r"[^a-z]+").alias("w"))
+    return axis_clusters.cluster_axes(parts, F.filter("w", lambda w: F.length(w) > 1))
+
+
+def _model_answer(prompt: str) -> str:
+    """Stands for a language model: JSON in a sentence, or nothing of use."""
+    return f'Sure: {{"coverage": {len(prompt) % 4}}} as asked' if "STEEL" in prompt else "no idea"
+
+
+@query("SELECT p_partkey::VARCHAR AS symbol, CASE WHEN contains(p_type, 'STEEL') THEN concat('{\"coverage\": ', length(p_type) % 4, '}') END AS profile, NOT contains(p_type, 'STEEL') AS error FROM part")
+def ml10_model_profiles(spark: SparkSession, d: str) -> DataFrame:
+    prompts = b.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.col("p_type").alias("prompt"))
+    return models.profile_companies(prompts, _model_answer, 1)
