@@ -386,6 +386,13 @@ def pf17_previews(spark: SparkSession, d: str) -> DataFrame:
     return made.select("profile", "matched", shown.alias("holdings"), "summary.n", "summary.hhi", "summary.max_weight", "summary.top_category")
 
 
+@query(f"WITH {COMPANIES}, m AS (SELECT *, CASE WHEN posts_count > 1000000 THEN technical_score END AS t FROM master), n AS (SELECT count(t) = 0 AS gone FROM m) SELECT 'asks' AS profile, CASE WHEN gone THEN 'no_technical_metrics' ELSE '' END AS warnings FROM n UNION ALL SELECT 'neutral', 'ambiguous_universe' FROM n")
+def cl12_warnings(spark: SparkSession, d: str) -> DataFrame:
+    m = _master(spark, d).withColumn("technical_score", F.when(F.col("posts_count") > 1_000_000, F.col("technical_score")))
+    neutral = dataclasses.replace(PROFILE, technical_mode="neutral", universes=("common_equity", "ambiguous"))
+    return previews.previews(m, {"asks": PROFILE, "neutral": neutral}).select("profile", F.array_join("warnings", ",").alias("warnings"))
+
+
 _OTHER = _SCORED.replace(_selection(_W), _selection(portfolio.normal_weights(portfolio.BENCHMARK_WEIGHTS)))
 _MEANS = ", ".join(f"round(sum({c} * weight) / sum(CASE WHEN {c} IS NOT NULL THEN weight END), 4) AS avg_{c}" for c in ("custom_esg_proxy_score", "profitability_score"))
 

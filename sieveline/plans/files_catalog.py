@@ -198,6 +198,18 @@ def sc19_data_status(spark: SparkSession, d: str) -> DataFrame:
     return files.data_status(spark, {"master": _lines(spark, _suppliers(spark, d)), "technicals": f"{files.scratch(spark)}/technicals.jsonl"})
 
 
+@query("SELECT c_custkey::VARCHAR AS symbol, c_mktsegment AS industry, round(c_acctbal, 2) AS roe FROM customer")
+def tx11_header_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """A table whose headers go by other names, found by aliases whatever their case and signs."""
+    path = files.scratch(spark)
+    c = b.read(spark, d, "customer").select(F.col("c_custkey").alias("Ticker "), F.col("c_mktsegment").alias("INDUSTRY"), F.format_string("%.2f", "c_acctbal").alias("Return on Equity (%)"), F.lit("x").alias("other"))
+    c.write.option("header", True).csv(path)
+    df = files.csv_table(spark, path)
+    found = files.header_mapping(df.columns, {"symbol": ["ticker"], "industry": [], "roe": ["ROE", "return_on_equity"]})
+    named = df.select(*[F.col(f"`{source}`").alias(name) for name, source in found.items()])
+    return named.select("symbol", "industry", text.ratio("roe").alias("roe"))
+
+
 def _saved_pages(spark: SparkSession, d: str) -> str:
     """Parts as listing pages of ten, by brand."""
     path = files.scratch(spark)
