@@ -3,8 +3,9 @@
 Centroids come from a sample of at most about ``SAMPLE`` vectors (by a hash of vec_id), cut in two again and again at the median between two
 means, so that all leaves hold the same number. Every vector is then put into the list of its nearest centroid and, near a boundary,
 of up to ``COPIES`` centroids that are at most ``BOUNDARY`` times as far. Centroids are found by a beam walk over a graph in memory that links
-each of them to its nearest ones. A query reads the lists whose centroids are at most ``PRUNE`` times as far as its nearest one, ``LEAST_LISTS``
-to ``MOST_LISTS`` of them. In a list all distances are exact, in double precision, one dimension after the other.
+each of them to its nearest ones. A query reads the lists whose centroids are at most ``PRUNE`` times as far as its nearest one: at least
+``LEAST_LISTS``, at most ``MOST_LISTS`` or a quarter of all lists, whichever is more. (Where vectors lie alike in all directions nearly all
+distances are about equal and the ratio prunes nothing; a number of lists that doesn't grow with them would lose recall then.) In a list all distances are exact, in double precision, one dimension after the other.
 
 Size. Centroids are at most ``MOST_CENTROIDS``, which bounds what is broadcast and what the driver holds. A list that gets longer than
 ``BLOCK`` (or is read by more than ``BLOCK`` queries) is dealt in blocks (parts), so no task holds a whole list. Equal vectors are one entry with
@@ -35,7 +36,8 @@ COPIES = 4
 BOUNDARY = 1.15
 PRUNE = 1.35
 LEAST_LISTS = 8
-MOST_LISTS = 48
+MOST_LISTS = 64
+MOST_SHARE = 4
 LINKS = 24
 BLOCK = 4096
 
@@ -202,7 +204,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id
     entries = cut(listed(entries, f"first long, ids array<long>, vector {kind}", BOUNDARY, 1, COPIES))
     asking = v.where(F.col("vec_id") % every == 0)
     distinct = cut(asking.groupBy("vector").agg(F.min("vec_id").alias("query")).select("query", "vector"))
-    found = cut(_hits(entries, listed(distinct, f"query long, vector {kind}", PRUNE, LEAST_LISTS, MOST_LISTS), size, k + 1))
+    found = cut(_hits(entries, listed(distinct, f"query long, vector {kind}", PRUNE, LEAST_LISTS, max(MOST_LISTS, len(graph.value.centroids) // MOST_SHARE)), size, k + 1))
     enough = found.groupBy("query").count().where(F.col("count") >= min(k + 1, n))
     short = distinct.join(enough, "query", "left_anti")
     if not short.isEmpty():
