@@ -11,8 +11,9 @@ exponential hash, floored), mergeable by the maximum. Bands of registers are has
    anything. Where they don't, they are compared with each other exactly, all against all in blocks of bounded size (one
    task has two blocks); a block pair returns the links of a spanning forest, never all pairs.
 
-So within band values no link is lost to caps, and the count of rows between stages grows with classes, not pairs. A pair at
-the threshold shares no band with probability (1 - t**ROWS)**BANDS, 8e-7 at 0.85.
+So within band values no link is lost to caps. Rows between stages grow with classes in the first step, and in the second with the square
+of the classes of an open band value, in blocks: each class goes once to every block, with its set. A pair at the threshold shares no
+band with probability (1 - t**ROWS)**BANDS, 8e-7 at 0.85.
 
 Nulls: a null text counts as empty; empty texts, and texts without words, link with nothing. Rows with a null doc_id have no
 component and are kept. Rows that repeat a doc_id are each reported and may lie in different components, as their texts say; a

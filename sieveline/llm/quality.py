@@ -38,7 +38,7 @@ HELD_GRAMS = 1 << 20
 FENCE = 4.0
 BIN = 0.002
 #: N-grams with at least this part of all occurrences are broadcast, 16 bytes each.
-HOT_GRAMS = 1 << 21
+HOT_GRAMS = 1 << 23
 #: Words with at least this part of all occurrences are broadcast; the others are dealt to buckets of about BUCKET_WORDS occurrences.
 HOT = 100_000
 BUCKET_WORDS = 1 << 23

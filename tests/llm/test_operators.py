@@ -508,7 +508,7 @@ def plain_bands(values):
     return at(0.25) - spread, at(0.75) + spread
 
 
-@pytest.mark.parametrize("hot", [200, 1 << 21])
+@pytest.mark.parametrize("hot", [200, 1 << 23])
 def test_byte_perplexity_bands_and_verdicts_equal_plain_ones(spark, documents, odd, monkeypatch, hot):
     """With nearly all n-grams dealt and joined, and with all of them broadcast; rows that repeat, nulls and blanks among them."""
     monkeypatch.setattr(quality, "HOT_GRAMS", hot)
