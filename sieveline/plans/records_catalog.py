@@ -306,7 +306,9 @@ def fu3_merged_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_discount DESC, l_tax DESC, l_linenumber) AS families FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey) GROUP BY l_orderkey")
 def pf16_family_preview(spark: SparkSession, d: str) -> DataFrame:
-    one = identity.first_by(b.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"))
+    # rows that the order leaves equal count as they lie in the table
+    lines = b.read(spark, d, "lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    one = identity.first_by(lines, ["l_orderkey", "l_linenumber"], F.col("l_partkey"), F.col("file"), F.col("at"))
     family = F.struct("l_linenumber", F.col("l_linenumber").cast("string").alias("family_id"), F.col("l_discount").alias("relevance"), F.col("l_tax").alias("exposure"), F.lit(None).cast("double").alias("confidence"))
     listed = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(family)).alias("f"))
     return listed.select("l_orderkey", F.array_join(F.transform(records.ordered_families("f"), lambda f: f["family_id"]), ",").alias("families"))

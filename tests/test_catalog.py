@@ -129,3 +129,27 @@ def test_fused_profiles_on_cases(spark):
     assert (b["methods"], b["has_signal"], b["profile_null"]) == (0, False, True)
     assert (c["post_count"], c["axiological_coverage"], c["methods"], c["profile_null"]) == (8, 0.02, 1, True)
     assert (e["post_count"], e["n_frames"], e["methods"], e["confidence"]) == (5, 0, 0, 0.0)
+
+
+def test_family_preview_takes_equal_rows_as_they_lie(spark, tmp_path):
+    """Lines that repeat order, number and part, in two files of which the later is the larger one and read first."""
+    import random
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sieveline.plans import catalog
+
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, tax, copies in (("a", 0.01, 1), ("b", 0.02, 50)):
+        rows = [(i, j, 7, (i * j + (c + j + 1) * (name == "b")) % 5 / 100, tax) for i in range(40) for c in range(copies) for j in range(3)]
+        columns = dict(zip(["l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax"], map(list, zip(*rows, strict=True)), strict=True))
+        columns["l_extendedprice"] = [random.random() for _ in rows]
+        pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["pf16_family_preview"]).fetchall()
+    assert sorted(map(tuple, catalog.queries()["pf16_family_preview"](spark, str(tmp_path)).collect())) == sorted(want)
