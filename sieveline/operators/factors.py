@@ -14,39 +14,147 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .lineage import cut
 
 BLOCK_ROWS = 1024
 SLICE = 1 << 15
 LEAST = 1e-12
+#: Tokens that are counted together, and words that are sent to all tasks to tell which pairs are worth counting.
+TOKENS = 1 << 19
+BROADCAST_WORDS = 1_000_000
 
 
-def _grams(docs: DataFrame, key: str, tokens: Column, pairs: bool) -> DataFrame:
-    """key, term, n: words, and pairs of neighbouring words if asked for, with their counts."""
-    words = docs.select(F.col(key).alias("key"), tokens.alias("w"))
+def _grams(rows: DataFrame, pairs: bool) -> DataFrame:
+    """key, term, n: words, and pairs of neighbouring words if asked for, with their counts. Rows of equal keys count together."""
     two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
-    return words.select("key", F.explode(F.concat("w", two) if pairs else F.col("w")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    return rows.select("key", F.explode(F.concat("w", two) if pairs else F.col("w")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+
+
+def _parted(docs: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame | None]:
+    """key, w of the rows whose key no other row has, and of the rest (None if there is none). Only keys are grouped for it."""
+    rows = docs.select(F.col(key).alias("key"), tokens.alias("w"))
+    repeated = cut(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("again")))
+    if repeated.isEmpty():
+        return rows, None
+    same = rows["key"].eqNullSafe(repeated["again"])
+    return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi")
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Rows of at most ``TOKENS`` tokens, or one row, with their distinct words, and the word's and the row's number of each token."""
+    for b in batches:
+        lists = b.column(b.schema.names.index("w"))
+        upto = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOKENS, "right")))
+            own = np.diff(upto[at:end], prepend=upto[at - 1] if at else 0)
+            coded = lists.slice(at, end - at).flatten().dictionary_encode()
+            yield b.slice(at, end - at), coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(end - at), own)
+            at = end
+
+
+def _totals(rows: DataFrame, words: Broadcast | None) -> DataFrame:
+    """term, df, all of words; with ``words`` of pairs of neighbouring words that are both among these. Sums over slices of rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, known, code, row in _slices(batches):
+            if words is None:
+                term, which = known, code
+            else:
+                live = np.ones(len(known), bool) if words.value is None else pc.is_in(known, value_set=words.value).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero((row[1:] == row[:-1]) & live[code[1:]] & live[code[:-1]])
+                pair, which = np.unique(code[at] * len(known) + code[at + 1], return_inverse=True)
+                term, row = pc.binary_join_element_wise(known.take(pa.array(pair // max(len(known), 1))), known.take(pa.array(pair % max(len(known), 1))), " "), row[at]
+            n = len(term)
+            df = np.bincount(np.unique(row * n + which) % max(n, 1), minlength=n)
+            yield pa.RecordBatch.from_arrays([term.cast(pa.string()), pa.array(df, pa.int64()), pa.array(np.bincount(which, minlength=n), pa.int64())], ["term", "df", "all"])
+
+    return rows.select("w").mapInArrow(run, "term string, df long, all long")
 
 
 def fit_vocabulary(docs: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: float = 0.22, size: int = 9000, pairs: bool = True) -> DataFrame:
     """term, place, df, idf: terms in at least ``min_df`` documents and at most the share ``max_df`` of them, the ``size`` most
-    frequent ones (ties by the alphabet), with ln((1 + n) / (1 + df)) + 1."""
+    frequent ones (ties by the alphabet), with ln((1 + n) / (1 + df)) + 1. Tokens hold no blanks.
+
+    A pair is at most as frequent as its words and in no more documents, so pairs are counted only where both words are in
+    ``min_df`` documents and as frequent as the last of the ``size`` words that could be taken: no other pair can be among the terms.
+    """
     total = docs.count()
-    kept = _grams(docs, key, tokens, pairs).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total)).orderBy(F.desc("all"), "term").limit(size)
+    rows, again = _parted(docs, key, tokens)
+    summed = lambda t: t.groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all"))
+    counted = _totals(rows, None)
+    # rows that share a key are few; all their terms are counted together
+    rest = None if again is None else cut(_grams(again, pairs).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("all")))
+    blank = F.contains("term", F.lit(" "))
+    words = summed(counted if rest is None else counted.union(rest.where(~blank))).where(F.col("df") >= min_df)
+    if pairs:
+        words = cut(words)
+        last = words.where(F.col("df") <= max_df * total).orderBy(F.desc("all")).select("all").limit(size).agg(F.count("*"), F.min("all")).first()
+        often = words.where(F.col("all") >= (last[1] if last[0] == size else 0)).select("term")
+        # size and what is as frequent as the last one or in more documents than max_df; all words where these are too many to send
+        some = often.limit(BROADCAST_WORDS + 1).toArrow().column(0).combine_chunks()
+        shared = docs.sparkSession.sparkContext.broadcast(some if len(some) <= BROADCAST_WORDS else None)
+        two = _totals(rows, shared)
+        words = words.union(summed(two if rest is None else two.union(rest.where(blank))).where(F.col("df") >= min_df))
+    kept = words.where(F.col("df") <= max_df * total).orderBy(F.desc("all"), "term").limit(size)
     idf = F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1
     return cut(kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"), "df", idf.alias("idf")))  # ``size`` rows at most
 
 
 def weighted_terms(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, pairs: bool = True, sublinear: bool = True) -> DataFrame:
     """(key, terms, values) of every document with a known term: 1 + ln(count), or the count, times idf; a document's values have length 1."""
+    rows, again = _parted(docs, key, tokens)
+    told = vocabulary.select("term", "place", "idf").orderBy("place").toArrow()  # as many rows as the vocabulary's size
+    single = [t.split(" ") for t in told.column("term").to_pylist()]
+    words = sorted({w for own in single for w in own})
+    number = {w: i for i, w in enumerate(words)}
+    place = np.full(len(words), -1, np.int64)
+    for at, own in enumerate(single):
+        if len(own) == 1:
+            place[number[own[0]]] = at
+    two = sorted((number[own[0]] * len(words) + number[own[1]], at) for at, own in enumerate(single) if len(own) == 2) if pairs else []
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), place, np.array(two, np.int64).reshape(-1, 2), told.column("idf").to_numpy()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, place, two, idf = shared.value
+        for b, known, code, row in _slices(batches):
+            word = pc.index_in(known, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code] if len(words) else np.full(len(code), -1)
+            own = np.flatnonzero(word >= 0)
+            own = own[place[word[own]] >= 0]
+            found, where = [place[word[own]]], [row[own]]
+            if len(two):
+                at = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+                pair = word[at] * len(words) + word[at + 1]
+                near = np.minimum(np.searchsorted(two[:, 0], pair), len(two) - 1)
+                hit = two[near, 0] == pair
+                found, where = [*found, two[near[hit], 1]], [*where, row[at[hit]]]
+            each, n = np.unique(np.concatenate(where) * len(idf) + np.concatenate(found), return_counts=True)
+            if not len(each):
+                continue
+            row, term = each // len(idf), each % len(idf)
+            value = (1 + np.log(n) if sublinear else n) * idf[term]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            value /= np.repeat(np.sqrt(np.add.reduceat(value**2, first)), np.diff(np.append(first, len(row))))
+            bounds = pa.array(np.append(first, len(row)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(term, pa.int32()), pa.array(value, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("key")).take(pa.array(row[first])), *lists], ["key", "terms", "values"])
+
+    schema = StructType([rows.schema["key"], StructField("terms", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
+    made = rows.mapInArrow(run, schema)
+    if again is None:
+        return made
     often = 1 + F.log("n") if sublinear else F.col("n")
-    told = _grams(docs, key, tokens, pairs).join(F.broadcast(vocabulary), "term").select("key", F.struct("place", (often * F.col("idf")).alias("value")).alias("x"))
-    rows = told.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    more = _grams(again, pairs).join(F.broadcast(vocabulary), "term").select("key", F.struct("place", (often * F.col("idf")).alias("value")).alias("x"))
+    more = more.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("x"))
     length = F.sqrt(F.aggregate("x.value", F.lit(0.0), lambda s, v: s + v * v))
-    return rows.select("key", F.col("x.place").alias("terms"), F.transform("x.value", lambda v: v / length).alias("values"))
+    return made.union(more.select("key", F.col("x.place").alias("terms"), F.transform("x.value", lambda v: v / length).alias("values")))
 
 
 class Factors(NamedTuple):

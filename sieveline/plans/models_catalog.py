@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import axis_clusters, density, factors, models, sentiment
+from ..operators.lineage import cut
 from . import bindings as b
 from .registry import query
 
 STOPS = ["the", "that", "with"]
 
 
-def informative_tokens(c: str) -> Column:
-    t = text.informative_text(F.lower(c), STOPS)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
 _TFIDF = """WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: NOT w IN ('the', 'that', 'with')) AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
 c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL),
@@ -26,9 +22,15 @@ x AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM document
 SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM x"""
 
 
+def _told(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """The documents' informative words, found once, and the tokens in them."""
+    docs = b.read(spark, d, "documents").select("doc_id", text.informative_text(F.lower("text"), STOPS).alias("told"))
+    return cut(docs), F.when(F.col("told") == "", F.array().cast("array<string>")).otherwise(F.split("told", " "))
+
+
 @query(_TFIDF)
 def ml5_weighted_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs, tokens = b.read(spark, d, "documents"), informative_tokens("text")
+    docs, tokens = _told(spark, d)
     vocabulary = factors.fit_vocabulary(docs, "doc_id", tokens, 20, 0.22, 2000)
     rows = factors.weighted_terms(docs, "doc_id", tokens, vocabulary)
     each = rows.select("key", F.inline(F.arrays_zip("terms", "values")))
@@ -37,7 +39,7 @@ def ml5_weighted_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def _topics(spark: SparkSession, d: str) -> tuple[factors.Factors, DataFrame]:
     """Factors of the documents' terms: 12 topics, terms in at least 20 documents, the 2,000 most frequent ones, up to 40 rounds."""
-    docs, tokens = b.read(spark, d, "documents"), informative_tokens("text")
+    docs, tokens = _told(spark, d)
     vocabulary = factors.fit_vocabulary(docs, "doc_id", tokens, 20, 0.22, 2000)
     return factors.factorise(factors.weighted_terms(docs, "doc_id", tokens, vocabulary), 12, 2000, rounds=40), vocabulary
 

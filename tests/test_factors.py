@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,38 @@ def test_factors_stop_by_their_error(spark, fixture_rows):
     assert 2 < len(made.losses) < 60 and made.losses[-2] - made.losses[-1] < 1e-2 * made.losses[0] <= made.losses[-3] - made.losses[-2] + 1e9
 
 
+@pytest.mark.parametrize("size, pairs", [(6, True), (40, True), (1000, True), (12, False)])
+def test_terms_equal_plain_counts_and_shuffle_few_pairs(spark, monkeypatch, size, pairs):
+    """Rows that share a key count together; rare words' pairs aren't told to anyone."""
+    from collections import Counter
+    from math import log
+
+    monkeypatch.setattr(factors, "TOKENS", 37)
+    rng = random.Random(size)
+    rows = [(i // 2 if i < 20 else None if i < 23 else i, [f"w{min(rng.randrange(1, 30), rng.randrange(1, 60))}" for _ in range(rng.randrange(25))]) for i in range(120)] + [(500, []), (501, None), (502, [f"x{i}" for i in range(300)])]
+    df = spark.createDataFrame(rows, "key long, w array<string>").repartition(3)
+    own = {}
+    for k, w in rows:
+        own.setdefault(k, Counter()).update([*(w or []), *(f"{a} {b}" for a, b in zip(w or [], (w or [])[1:]) if pairs)])
+    dfs, total = Counter(t for c in own.values() for t in c), sum(own.values(), Counter())
+    kept = sorted(sorted((t for t in total if 3 <= dfs[t] <= 0.5 * len(rows)), key=lambda t: (-total[t], t))[:size])
+    vocabulary = factors.fit_vocabulary(df, "key", F.col("w"), 3, 0.5, size, pairs)
+    got = {r["term"]: (r["place"], r["df"]) for r in vocabulary.collect()}
+    assert got == {t: (i, dfs[t]) for i, t in enumerate(kept)}
+    want = {}
+    for k, c in own.items():
+        v = {t: (1 + log(c[t])) * (log((1 + len(rows)) / (1 + dfs[t])) + 1) for t in kept if c[t]}
+        if v:
+            want[k] = [(kept.index(t), x / sum(y * y for y in v.values()) ** 0.5) for t, x in v.items()]
+    made = factors.weighted_terms(df, "key", F.col("w"), vocabulary, pairs).collect()
+    assert sorted(map(str, want)) == sorted(str(r["key"]) for r in made)
+    for r in made:
+        assert r["terms"] == [t for t, _ in want[r["key"]]] and np.allclose(r["values"], [x for _, x in want[r["key"]]])
+    rows_of = factors._parted(df, "key", F.col("w"))[0]
+    some = spark.sparkContext.broadcast(pa.array(["w1", "w2"]))
+    assert {r["term"] for r in factors._totals(rows_of, some).collect()} <= {"w1 w1", "w1 w2", "w2 w1", "w2 w2"}
+
+
 def test_top_topics_ties_and_nothing(spark):
     rows = [(1, [0.5, 0.5, 0.0]), (2, [0.0, 0.0, 0.0]), (3, [0.05, 0.9, 0.05])]
     got = {r["key"]: r for r in factors.top_topics(spark.createDataFrame(rows, "key long, shares array<double>")).collect()}
