@@ -3,8 +3,9 @@
 The matrix of documents and terms is cut into blocks of ``BLOCK_ROWS`` documents. Its first factor (documents x topics) grows with the
 input and stays in the same blocks; its second one (topics x terms) is bounded by ``size`` terms and goes to all tasks. A round is one pass:
 each block updates its own weights against the terms' factor and gives its part of two products (topics x terms, topics x topics) and
-of the squared error; a task adds up its blocks, Spark adds up the tasks term by term, and the terms' factor is updated. No update
-can raise the error. Rounds end when the error falls by less than ``tolerance`` of the first one.
+of the squared error; a task adds up its blocks, Spark adds up the tasks term by term, and the terms' factor is updated. Blocks are
+neither shuffled nor written in a round: their weights are found again from the terms' factors of the rounds since they were last
+kept, every ``KEPT`` rounds. No update can raise the error. Rounds end when the error falls by less than ``tolerance`` of the first one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .lineage import cut
 BLOCK_ROWS = 1024
 SLICE = 1 << 15
 LEAST = 1e-12
+KEPT = 10
 #: Tokens that are counted together, and words that are sent to all tasks to tell which pairs are worth counting.
 TOKENS = 1 << 19
 BROADCAST_WORDS = 1_000_000
@@ -171,81 +173,105 @@ def _start(ids: np.ndarray, k: int, scale: float) -> np.ndarray:
     return scale * (((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _products(block: dict, h: np.ndarray, scale: float, sums: dict) -> np.ndarray:
-    """One block's new weights; adds its products and its error to ``sums``."""
-    k = len(h)
-    rows = len(block["ids"])
-    sizes = np.array([len(t) for t in block["terms"]], np.int64)
-    terms, values = (np.concatenate([np.asarray(x) for x in block[c]]) for c in ("terms", "values"))
-    old = _start(np.array(block["ids"], np.int64).view(np.uint64), k, scale) if block["weights"] is None else np.frombuffer(block["weights"]).reshape(rows, k)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    cuts = np.unique(np.concatenate([np.searchsorted(bounds, np.arange(0, bounds[-1], SLICE)), [rows]]))
-    ht, met = h.T, np.empty((rows, k))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+def _met(block: dict, h: np.ndarray) -> np.ndarray:
+    """The block's documents against the terms' factor: documents x topics."""
+    bounds, ht = block["bounds"], h.T
+    met = np.empty((len(bounds) - 1, len(h)))
+    for a, b in zip(block["cuts"][:-1], block["cuts"][1:], strict=True):
         part = slice(bounds[a], bounds[b])
-        met[a:b] = np.add.reduceat(values[part, None] * ht[terms[part]], bounds[a:b] - bounds[a])
-    new = old * met / (old @ (h @ ht) + LEAST)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        met[a:b] = np.add.reduceat(block["values"][part, None] * ht[block["terms"][part]], bounds[a:b] - bounds[a])
+    return met
+
+
+def _products(block: dict, old: np.ndarray, h: np.ndarray, sums: dict) -> None:
+    """Adds a block's products with its new weights, and its error, to ``sums``."""
+    met = _met(block, h)
+    new = old * met / (old @ (h @ h.T) + LEAST)
+    bounds, size = block["bounds"], h.shape[1]
+    for a, b in zip(block["cuts"][:-1], block["cuts"][1:], strict=True):
         part = slice(bounds[a], bounds[b])
-        order = np.argsort(terms[part], kind="stable")
-        own = terms[part][order]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        sums["terms"][own[first]] += np.add.reduceat((values[part, None] * np.repeat(new[a:b], sizes[a:b], axis=0))[order], first)
+        told = block["values"][part, None] * np.repeat(new[a:b], np.diff(bounds[a : b + 1]), axis=0)
+        for t in range(len(h)):
+            sums["terms"][:, t] += np.bincount(block["terms"][part], told[:, t], size)
     square = new.T @ new
     sums["topics"] += square
-    sums["error"] += (values**2).sum() - 2 * (new * met).sum() + (square * (h @ ht)).sum()
-    return new
+    sums["error"] += (block["values"] ** 2).sum() - 2 * (new * met).sum() + (square * (h @ h.T)).sum()
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], past: list[np.ndarray], k: int, scale: float) -> Iterator[tuple[pa.RecordBatch, dict, np.ndarray]]:
+    """Blocks one by one with their weights after the updates against ``past`` since weights were last kept."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            ids, sizes, terms, values = (one.column(one.schema.names.index(c)).flatten().to_numpy() for c in ("ids", "sizes", "terms", "values"))
+            kept = one.column(one.schema.names.index("weights"))[0].as_py()
+            bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            cuts = np.unique(np.concatenate([np.searchsorted(bounds, np.arange(0, bounds[-1], SLICE)), [len(ids)]]))
+            block = {"terms": terms, "values": values, "bounds": bounds, "cuts": cuts}
+            w = _start(ids.view(np.uint64), k, scale) if kept is None else np.frombuffer(kept).reshape(len(ids), k)
+            for h in past:
+                w = w * _met(block, h) / (w @ (h @ h.T) + LEAST)
+            yield one, block, w
 
 
 def factorise(rows: DataFrame, k: int, size: int, rounds: int = 60, tolerance: float = 1e-4) -> Factors:
     """Factors of (key, terms, values); every row has at least one term, keys are any values and may repeat."""
     spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("id", F.xxhash64("key", "terms"))
+    keyed = cut(rows.withColumn("id", F.xxhash64("key", "terms")))
     n, mean = keyed.agg(F.count("*"), F.sum(F.aggregate("values", F.lit(0.0), lambda s, v: s + v))).first()
     scale = float(np.sqrt((mean or 0.0) / max(n * size, 1) / k))
-    blocks = keyed.withColumn("block", F.pmod("id", F.lit(max(1, -(-n // BLOCK_ROWS))))).repartition(parts, "block")
-    blocks = cut(blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "key", "terms", "values"))).alias("x")).select("block", F.col("x.id").alias("ids"), F.col("x.terms").alias("terms"), F.col("x.values").alias("values"), F.col("x.key").alias("keys")))
-    schema = pa.schema([("block", pa.int64()), ("weights", pa.binary()), ("place", pa.int64()), ("part", pa.list_(pa.float64()))])
+    many = max(1, -(-n // BLOCK_ROWS))
+    parts = min(many, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = keyed.withColumn("block", F.pmod("id", F.lit(many))).repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "key", "terms", "values"))).alias("x"))
+    flat = listed.select(F.col("x.id").alias("ids"), F.transform("x.terms", lambda t: F.size(t)).alias("sizes"), F.flatten("x.terms").alias("terms"), F.flatten("x.values").alias("values"), F.col("x.key").alias("keys"))
+    blocks = cut(flat.withColumn("weights", F.lit(None).cast("binary")))
+    schema = pa.schema([("place", pa.int64()), ("part", pa.list_(pa.float64()))])
     h = _start(np.arange(size), k, scale).T.copy()
-    weights, losses = None, []
+    past, losses = [], []
     for _ in range(rounds):
-        shared = sc.broadcast(h)
+        if len(past) == KEPT:
+            blocks, past = cut(_kept(blocks, sc.broadcast(past), k, scale)), []
+        shared = sc.broadcast([*past, h])
 
         def one(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            h = shared.value
+            *past, h = shared.value
             sums = {"terms": np.zeros((size, k)), "topics": np.zeros((k, k)), "error": 0.0}
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    block = batch.slice(i, 1).to_pylist()[0]
-                    new = _products(block, h, scale, sums)
-                    yield pa.RecordBatch.from_pylist([{"block": block["block"], "weights": new.tobytes()}], schema)
+            for _, block, w in _blocks(batches, past, k, scale):
+                _products(block, w, h, sums)
             told = np.flatnonzero(sums["terms"].any(1))
             made = np.concatenate([sums["terms"][told], sums["topics"], np.full((1, k), sums["error"])])
             places = np.concatenate([told, size + np.arange(k + 1)])
             for a in range(0, len(made), 2048):
                 yield pa.RecordBatch.from_pylist([{"place": int(p), "part": m.tolist()} for p, m in zip(places[a : a + 2048], made[a : a + 2048], strict=True)], schema)
 
-        before = blocks.drop("keys").withColumn("weights", F.lit(None).cast("binary")) if weights is None else blocks.drop("keys").join(weights, "block")
-        passed = cut(before.select("block", "ids", "terms", "values", "weights").mapInArrow(one, "block long, weights binary, place long, part array<double>"))
-        weights = passed.where("block IS NOT NULL").select("block", "weights")
-        summed = passed.where("place IS NOT NULL").groupBy("place").agg(F.array(*[F.sum(F.col("part")[i]) for i in range(k)]).alias("part")).collect()  # size + topics + 1 rows
+        passed = blocks.select("ids", "sizes", "terms", "values", "weights").mapInArrow(one, "place long, part array<double>")
+        summed = passed.groupBy("place").agg(F.array(*[F.sum(F.col("part")[i]) for i in range(k)]).alias("part")).collect()  # size + topics + 1 rows
         total = np.zeros((size + k + 1, k))
         for r in summed:
             total[r["place"]] = r["part"]
+        past.append(h)
         losses.append(float(total[-1, 0]))
         if len(losses) > 1 and losses[-2] - losses[-1] < tolerance * losses[0]:
             break
         h = h * total[:size].T / (total[size : size + k] @ h + LEAST)
-    last = shared.value
+    shared = sc.broadcast(past)
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.frombuffer(w).reshape(-1, k).tolist() for w in batch.column("weights").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(made, pa.list_(pa.list_(pa.float64())))], ["block", "w"])
+        for b, _, w in _blocks(batches, shared.value, k, scale):
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("keys")).flatten(), pa.array(list(w), pa.list_(pa.float64()))], ["key", "weights"])
+
+    made = blocks.mapInArrow(told, StructType([rows.schema["key"], StructField("weights", ArrayType(DoubleType()))]))
+    return Factors(made, past[-1], losses)
+
+
+def _kept(blocks: DataFrame, shared: Broadcast, k: int, scale: float) -> DataFrame:
+    """The blocks with their weights of now."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, w in _blocks(batches, shared.value, k, scale):
+            yield b.set_column(b.schema.names.index("weights"), "weights", pa.array([w.tobytes()], pa.binary()))
 
-    each = blocks.select("block", "keys").join(weights.mapInArrow(told, "block long, w array<array<double>>"), "block")
-    return Factors(each.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("w").alias("weights")))), last, losses)
+    return blocks.mapInArrow(run, blocks.schema)
 
 
 def topic_shares(factors: Factors) -> DataFrame:
