@@ -20,8 +20,8 @@ from .tools import no_collector
 
 _NONE = np.int64(1 << 62)
 _POSITION = np.int64(32)
-#: Bytes of folded texts that are cut together.
-SLICE = 8 << 20
+#: Bytes of folded texts that are cut together; what a worker needs for it is some thirty times as much.
+SLICE = 2 << 20
 
 #: Kinds of bytes: white space, letters, digits, other signs, and those of words that the tokenizer's pattern must cut.
 _BLANK, _LETTER, _DIGIT, _SIGN, _HARD = range(5)
