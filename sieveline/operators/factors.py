@@ -110,10 +110,18 @@ def fit_vocabulary(docs: DataFrame, key: str, tokens: Column, min_df: int = 2, m
     return cut(kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"), "df", idf.alias("idf")))  # ``size`` rows at most
 
 
-def weighted_terms(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, pairs: bool = True, sublinear: bool = True) -> DataFrame:
-    """(key, terms, values) of every document with a known term: 1 + ln(count), or the count, times idf; a document's values have length 1."""
-    rows, again = _parted(docs, key, tokens)
-    told = vocabulary.select("term", "place", "idf").orderBy("place").toArrow()  # as many rows as the vocabulary's size
+class Lexicon(NamedTuple):
+    """A vocabulary as arrays, for the tasks."""
+
+    words: pa.Array  # the words of all terms
+    place: np.ndarray  # each word's place as a term, or -1
+    pairs: np.ndarray  # rows of (number of the first word * number of words + number of the second, place), ascending
+    idf: np.ndarray
+
+
+def lexicon(vocabulary: DataFrame, pairs: bool = True) -> Lexicon:
+    """As many terms as the vocabulary's size, by way of the driver."""
+    told = vocabulary.select("term", "place", "idf").orderBy("place").toArrow()
     single = [t.split(" ") for t in told.column("term").to_pylist()]
     words = sorted({w for own in single for w in own})
     number = {w: i for i, w in enumerate(words)}
@@ -122,28 +130,42 @@ def weighted_terms(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFr
         if len(own) == 1:
             place[number[own[0]]] = at
     two = sorted((number[own[0]] * len(words) + number[own[1]], at) for at, own in enumerate(single) if len(own) == 2) if pairs else []
-    shared = docs.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), place, np.array(two, np.int64).reshape(-1, 2), told.column("idf").to_numpy()))
+    return Lexicon(pa.array(words, pa.string()), place, np.array(two, np.int64).reshape(-1, 2), told.column("idf").to_numpy())
+
+
+def valued(batches: Iterable[pa.RecordBatch], known: Lexicon, sublinear: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of rows with the row, place and value of each known term in them, by row and place; a row's values have length 1."""
+    words, place, two, idf = known
+    for b, seen, code, row in _slices(batches):
+        word = pc.index_in(seen, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code] if len(words) else np.full(len(code), -1)
+        own = np.flatnonzero(word >= 0)
+        own = own[place[word[own]] >= 0]
+        found, where = [place[word[own]]], [row[own]]
+        if len(two):
+            at = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+            pair = word[at] * len(words) + word[at + 1]
+            near = np.minimum(np.searchsorted(two[:, 0], pair), len(two) - 1)
+            hit = two[near, 0] == pair
+            found, where = [*found, two[near[hit], 1]], [*where, row[at[hit]]]
+        each, n = np.unique(np.concatenate(where) * len(idf) + np.concatenate(found), return_counts=True)
+        row, term = each // max(len(idf), 1), each % max(len(idf), 1)
+        value = (1 + np.log(n) if sublinear else n) * idf[term]
+        if len(each):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            value /= np.repeat(np.sqrt(np.add.reduceat(value**2, first)), np.diff(np.append(first, len(row))))
+        yield b, row, term, value
+
+
+def weighted_terms(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, pairs: bool = True, sublinear: bool = True) -> DataFrame:
+    """(key, terms, values) of every document with a known term: 1 + ln(count), or the count, times idf; a document's values have length 1."""
+    rows, again = _parted(docs, key, tokens)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon(vocabulary, pairs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, place, two, idf = shared.value
-        for b, known, code, row in _slices(batches):
-            word = pc.index_in(known, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code] if len(words) else np.full(len(code), -1)
-            own = np.flatnonzero(word >= 0)
-            own = own[place[word[own]] >= 0]
-            found, where = [place[word[own]]], [row[own]]
-            if len(two):
-                at = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
-                pair = word[at] * len(words) + word[at + 1]
-                near = np.minimum(np.searchsorted(two[:, 0], pair), len(two) - 1)
-                hit = two[near, 0] == pair
-                found, where = [*found, two[near[hit], 1]], [*where, row[at[hit]]]
-            each, n = np.unique(np.concatenate(where) * len(idf) + np.concatenate(found), return_counts=True)
-            if not len(each):
+        for b, row, term, value in valued(batches, shared.value, sublinear):
+            if not len(row):
                 continue
-            row, term = each // len(idf), each % len(idf)
-            value = (1 + np.log(n) if sublinear else n) * idf[term]
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            value /= np.repeat(np.sqrt(np.add.reduceat(value**2, first)), np.diff(np.append(first, len(row))))
             bounds = pa.array(np.append(first, len(row)), pa.int32())
             lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(term, pa.int32()), pa.array(value, pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("key")).take(pa.array(row[first])), *lists], ["key", "terms", "values"])

@@ -75,7 +75,8 @@ def ml4_sentiment_model(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml3_holdout_quality(spark: SparkSession, d: str) -> DataFrame:
     posts = _marked_posts(spark, d)
-    return sentiment.holdout_quality(sentiment.scored(posts, sentiment.train(posts)))
+    known = posts.where(F.col("label").isNotNull())
+    return sentiment.holdout_quality(sentiment.scored(known, sentiment.train(posts)))
 
 
 @query()

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.operators import sentiment
 
@@ -96,3 +97,39 @@ def test_the_queries_score_every_document(spark, sf_dir):
     assert catalog.queries()["ml4_sentiment_model"](spark, sf_dir).count() == 1000
     row = catalog.queries()["ml3_holdout_quality"](spark, sf_dir).first()
     assert row["labelled"] > 100 and row["accuracy"] > 0.75 and row["macro_f1"] > 0.7
+
+
+def test_rows_that_share_a_key_are_scored_by_their_own_words(spark, posts):
+    doubled = [*posts, (3, posts[7][1]), (None, posts[9][1])]
+    made = sentiment.marked(spark.createDataFrame(doubled, "id long, text string"), "id", "text")
+    model = sentiment.train(made)
+    one = sentiment.marked(spark.createDataFrame([(1000 + i, t) for i, (_, t) in enumerate(doubled)], "id long, text string"), "id", "text")
+    alone = {r["key"] - 1000: r for r in sentiment.scored(one.withColumn("fold", F.lit(0)), model).collect()}
+    got = collections.defaultdict(list)
+    for r in sentiment.scored(made.withColumn("fold", F.lit(0)), model).collect():
+        got[r["key"]].append((r["model"], r["raw_score"]))
+    assert len(alone) == len(doubled) == sum(map(len, got.values()))
+    for key in (3, 7, None, 9):
+        assert sorted(got[key]) == sorted((alone[i]["model"], alone[i]["raw_score"]) for i, (k, _) in enumerate(doubled) if k == key)
+
+
+def test_all_models_share_passes(spark, posts):
+    """A few jobs for each pass, and a fit at the optimum to four places whatever the number of posts."""
+    many = [(i, t) for k in range(20) for i, t in ((1000 * k + i, t) for i, t in posts)]
+    made = sentiment.marked(spark.createDataFrame(many, "id long, text string"), "id", "text")
+    sc = spark.sparkContext
+    sc.setJobGroup("fit", "")
+    try:
+        model = sentiment.train(made)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("fit")) < 150
+    rows = [r for r in made.collect() if r["label"] and len(r["tokens"]) >= 2]
+    kept, x = plain_features({i: r["tokens"] for i, r in enumerate(rows)}, range(len(rows)))
+    m, y = np.array([x[i] for i in range(len(rows))]), np.array([r["label"] == "positive" for r in rows], float)
+    w = np.zeros(len(kept) + 1)
+    for r in model.weights.where("model = -1").collect():
+        w[r["place"]] = r["weight"]
+    s = np.where(y == 1, len(rows) / 2 / y.sum(), len(rows) / 2 / (1 - y).sum())
+    slope = s * (1 / (1 + np.exp(-(m @ w[:-1] + w[-1]))) - y)
+    assert np.linalg.norm(np.append(w[:-1] + m.T @ slope, slope.sum())) < 2e-4
