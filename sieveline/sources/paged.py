@@ -26,6 +26,10 @@ SCHEMA = "category string, page int, place int, item string"
 SUFFIXES = (".WA", ".L", ".DE", ".PA", ".AS", ".MC", ".MI", ".SW", ".HK", ".AX", ".TO")
 #: So many names that a search finds are tried.
 FOUND = 3
+#: Saved pages that share a file.
+VOLUME = 1000
+#: What Spark calls the folder of rows without a category.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def patient(call: Callable[[], object], tries: int, pause: float) -> object:
@@ -124,19 +128,37 @@ class PagedListing(DataSource):
 
 
 class SavedPages:
-    """Pages saved as Parquet (category, page, place, item) in the folder ``root``, partitioned by category and page."""
+    """Pages saved as Parquet (category, page, place, item) in the folder ``root`` by ``save_pages``. One volume is held at a time."""
 
     def __init__(self, options: dict) -> None:
         self.root = options["root"].removeprefix("file://")
+        self.held, self.pages = None, {}
 
-    def fetch(self, category: str, page: int) -> list[str] | None:
+    def fetch(self, category: str | None, page: int) -> list[str] | None:
+        volume = (category, page // VOLUME)
+        if volume != self.held:
+            self.held, self.pages = volume, self._volume(*volume)
+        return self.pages.get(page)
+
+    def _volume(self, category: str | None, volume: int) -> dict[int, list[str]]:
         import pyarrow.parquet as pq
 
+        name = NULL_FOLDER if category is None else category
         try:
-            rows = pq.read_table(f"{self.root}/category={category}/page={page}", columns=["place", "item"], partitioning=None)
+            rows = pq.read_table(f"{self.root}/category={name}/volume={volume}", columns=["page", "place", "item"], partitioning=None)
         except FileNotFoundError:
-            return None
-        return rows.sort_by("place").column("item").to_pylist()
+            return {}
+        pages: dict[int, list[str]] = {}
+        rows = rows.sort_by([("page", "ascending"), ("place", "ascending")])
+        for page, item in zip(rows.column("page").to_pylist(), rows.column("item").to_pylist(), strict=True):
+            pages.setdefault(page, []).append(item)
+        return pages
+
+
+def save_pages(pages: DataFrame, root: str) -> None:
+    """category, page, place, item as Parquet, ``VOLUME`` pages of a category to a file: a file for each page would have the driver list them all."""
+    volumes = pages.withColumn("volume", F.floor(F.col("page") / VOLUME))
+    volumes.repartition("category", "volume").write.partitionBy("category", "volume").parquet(root)
 
 
 def resume_starts(fetched: DataFrame) -> str:

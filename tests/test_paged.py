@@ -60,6 +60,19 @@ def test_stream_rounds_survive_a_stop(spark, reader, tmp_path):
     assert sorted((r["category"], r["page"], r["place"], r["item"]) for r in rows.collect()) == want(7)
 
 
+def test_saved_pages_share_files(spark, tmp_path):
+    """Files grow with pages by the volume, and every page comes back, also those without a category or at a volume's edge."""
+    spark.dataSource.register(paged.PagedListing)
+    n = 2 * paged.VOLUME + 1
+    rows = [(c, p, i, f"{c}{p}{i}") for c, last in (("x", n), ("y", 3), (None, paged.VOLUME)) for p in range(1, last + 1) for i in (0, 1)]
+    root = str(tmp_path / "saved")
+    paged.save_pages(spark.createDataFrame(rows, paged.SCHEMA), root)
+    assert len(list((tmp_path / "saved").rglob("*.parquet"))) == 3 + 1 + 2
+    read = spark.read.format("paged_listing").option("provider", "sieveline.sources.paged:SavedPages").option("root", "file://" + root)
+    got = read.option("categories", '["x", null, "y", "z"]').load().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
 def test_series_by_fallback(spark):
     known = {"AAA": [1, 2], "BBB.DE": [3.5], "BBB.TO": [9], "CC-X": [4]}
 
