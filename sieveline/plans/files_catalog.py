@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -210,7 +210,8 @@ def tx11_header_mapping(spark: SparkSession, d: str) -> DataFrame:
     return named.select("symbol", "industry", text.ratio("roe").alias("roe"))
 
 
-_CATEGORY = F.regexp_replace("p_brand", "#", "-")
+def _category() -> Column:
+    return F.regexp_replace("p_brand", "#", "-")
 
 
 def _saved_pages(spark: SparkSession, d: str) -> str:
@@ -218,7 +219,7 @@ def _saved_pages(spark: SparkSession, d: str) -> str:
     path = files.scratch(spark)
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
     rows = b.read(spark, d, "part").withColumn("n", F.row_number().over(w) - 1)
-    rows = rows.select(_CATEGORY.alias("category"), (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), (F.col("n") % 10).cast("int").alias("place"), F.col("p_name").alias("item"))
+    rows = rows.select(_category().alias("category"), (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), (F.col("n") % 10).cast("int").alias("place"), F.col("p_name").alias("item"))
     paged.save_pages(rows, path)
     return path
 
@@ -230,7 +231,7 @@ _PAGES = "SELECT replace(p_brand, '#', '-') AS category, (n // 10 + 1)::INTEGER
 def sc12_paged_listing(spark: SparkSession, d: str) -> DataFrame:
     spark.dataSource.register(paged.PagedListing)
     root = _saved_pages(spark, d)
-    categories = [r[0] for r in b.read(spark, d, "part").select(_CATEGORY).distinct().collect()]  # what the crawl is asked for
+    categories = [r[0] for r in b.read(spark, d, "part").select(_category()).distinct().collect()]  # what the crawl is asked for
     reader = spark.read.format("paged_listing").option("provider", "sieveline.sources.paged:SavedPages").option("root", root)
     return reader.option("categories", json.dumps(categories)).load()
 
