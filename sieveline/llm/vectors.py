@@ -3,12 +3,16 @@
 Centroids come from a sample of at most about ``SAMPLE`` vectors (by a hash of vec_id), cut in two again and again at the median between two
 means, so that all leaves hold the same number. Every vector is then put into the list of its nearest centroid and, near a boundary,
 of up to ``COPIES`` centroids that are at most ``BOUNDARY`` times as far. Centroids are found by a beam walk over a graph in memory that links
-each of them to its nearest ones. A query reads the lists whose centroids are at most ``PRUNE`` times as far as its nearest one: at least
+each of them to its nearest ones; a beam that would hold a quarter of them or more meets nearly all, so there all are measured at once, without
+the walk. A query reads the lists whose centroids are at most ``PRUNE`` times as far as its nearest one: at least
 ``LEAST_LISTS``, at most ``MOST_LISTS`` or a quarter of all lists, whichever is more. (Where vectors lie alike in all directions nearly all
-distances are about equal and the ratio prunes nothing; a number of lists that doesn't grow with them would lose recall then.) In a list all distances are exact, in double precision, one dimension after the other.
+distances are about equal and the ratio prunes nothing; a number of lists that doesn't grow with them would lose recall then.) In a list a matrix product finds
+what can be among the k nearest, with its rounding allowed for; distances of these are exact, in double precision, one dimension after the other.
 
-Size. Centroids are at most ``MOST_CENTROIDS``, which bounds what is broadcast and what the driver holds. A list that gets longer than
-``BLOCK`` (or is read by more than ``BLOCK`` queries) is dealt in blocks (parts), so no task holds a whole list. Equal vectors are one entry with
+Size. Centroids are at most ``MOST_CENTROIDS``, which bounds what is broadcast and what the driver holds. Lists that follow one another lie near
+each other; at most ``RANGES`` ranges of them are what is dealt to tasks, so a query is sent once for each range, not for each list, and k rows come back
+from there. A range of more than ``BLOCK`` vectors (or of ``BLOCK_VALUES`` components), or that is read by as many queries, is dealt in blocks (parts),
+so no task holds a whole range. Equal vectors are one entry with
 their k + 1 least vec_ids, taken before the shuffle by a partial limit, and equal queries are one query, so a vector that a third of all
 rows share is searched once. A query that finds less than k neighbours reads all lists.
 
@@ -39,7 +43,11 @@ LEAST_LISTS = 8
 MOST_LISTS = 64
 MOST_SHARE = 4
 LINKS = 24
-BLOCK = 4096
+RANGES = 64
+BLOCK = 32_768
+BLOCK_VALUES = 1 << 21
+CELLS = 1 << 17
+PAIRS = 1 << 21
 
 
 class Graph(NamedTuple):
@@ -91,12 +99,16 @@ def walk(graph: Graph, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.
     n, m = len(graph.centroids), len(queries)
     width = min(width, n)
     norms, own = (graph.centroids**2).sum(1), (queries**2).sum(1)
+    if 4 * width >= n:
+        d = own[:, None] - 2 * queries @ graph.centroids.T + norms
+        ids = np.argsort(d, 1, kind="stable")[:, :width]
+        return ids, np.sqrt(np.maximum(np.take_along_axis(d, ids, 1), 0))
     seen = np.zeros((m, n), bool)
     ids, far = np.zeros((m, width), np.int64), np.full((m, width), np.inf)
     opened = np.ones((m, width), bool)
 
     def meet(rows: np.ndarray, new: np.ndarray) -> None:
-        d = own[rows, None] - 2 * np.einsum("rd,rkd->rk", queries[rows], graph.centroids[new]) + norms[new]
+        d = own[rows, None] - 2 * np.matmul(graph.centroids.take(new, 0), queries[rows, :, None])[:, :, 0] + norms[new]
         d[seen[rows[:, None], new]] = np.inf
         seen[rows[:, None], new] = True
         all_ids, all_far = np.concatenate([ids[rows], new], 1), np.concatenate([far[rows], d], 1)
@@ -115,41 +127,110 @@ def walk(graph: Graph, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.
         meet(rows, graph.links[ids[rows, at]])
 
 
-def _chosen(graph: Graph, vectors: np.ndarray, ratio: float, least: int, most: int) -> list[np.ndarray]:
-    """Lists of each vector: those of the nearest centroids, at most ``ratio`` times as far as the nearest one."""
+def _chosen(graph: Graph, vectors: np.ndarray, ratio: float, least: int, most: int) -> np.ndarray:
+    """(row, list) of each vector's lists: those of the nearest centroids, at most ``ratio`` times as far as the nearest one."""
     ids, far = walk(graph, vectors, max(2 * most, 16))
-    keep = np.isfinite(far) & ((far <= ratio * far[:, :1]) | (np.arange(far.shape[1]) < least)) & (np.arange(far.shape[1]) < most)
-    return [i[k] for i, k in zip(ids, keep, strict=True)]
+    at = np.arange(far.shape[1])
+    keep = np.isfinite(far) & ((far <= ratio * far[:, :1]) | (at < least)) & (at < most)
+    return np.stack([np.nonzero(keep)[0], ids[keep]], 1)
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _listed(batches: Iterable[pa.RecordBatch], graph: Graph, ratio: float, least: int, most: int) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterable[pa.RecordBatch], graph: Graph, *how: float) -> Iterator[pa.RecordBatch]:
+    """Rows with their lists by range; all lists where ``how`` isn't given."""
+    n = len(graph.centroids)
+    per = -(-n // RANGES)
     for b in small(batches):
-        lists = _chosen(graph, _matrix(b.column("vector"), graph.centroids.shape[1]), ratio, least, most) if b.num_rows else []
-        yield b.append_column("lists", pa.array([x.tolist() for x in lists], pa.list_(pa.int64())))
+        m = b.num_rows if n else 0
+        if how and m:
+            read = _chosen(graph, _matrix(b.column("vector"), graph.centroids.shape[1]), *how)
+        else:
+            read = np.stack([np.repeat(np.arange(m), n), np.tile(np.arange(n), m)], 1)
+        row, at = read[np.lexsort((read[:, 1], read[:, 0]))].T
+        place = at // max(per, 1)
+        starts = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(place, prepend=-1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(at, pa.int32()))
+        ranges = pa.StructArray.from_arrays([pa.array(place[starts], pa.int32()), lists], ["range", "lists"])
+        yield b.append_column("ranges", pa.ListArray.from_arrays(pa.array(np.searchsorted(row[starts], np.arange(b.num_rows + 1)), pa.int32()), ranges))
+
+
+def _by_list(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(list, row), ordered by list."""
+    lists = rows["lists"].combine_chunks()
+    at, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(at, kind="stable")
+    return at[order], row[order]
+
+
+def _bounds(asked: np.ndarray, far: np.ndarray, n: int, place: int) -> np.ndarray:
+    """For each of n queries what the ``place``-th least of its squared distances isn't above; infinite where there are fewer."""
+    keys = np.sort((asked.astype(np.uint64) << np.uint64(32)) | np.maximum(far, 0).astype(np.float32).view(np.uint32))
+    starts = np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+    enough = np.flatnonzero(np.diff(starts) >= place)
+    least = keys[starts[enough] + place - 1].astype(np.uint32).view(np.float32).astype(np.float64)
+    out = np.full(n, np.inf)
+    out[enough] = np.where(np.isnan(least), np.inf, least * (1 + 2**-20) + 1e-37)  # as the keys are rounded to single precision
+    return out
 
 
 def _nearest(rows: pa.Table, queries: pa.Table, size: int, k: int) -> pa.Table:
-    """The k nearest rows of each query in one block of a list."""
-    out = []
+    """The k nearest rows of each query in the lists that it reads in one block of a range."""
     v, q = _matrix(rows["vector"].combine_chunks(), size), _matrix(queries["vector"].combine_chunks(), size)
-    first = rows["first"].to_numpy()
-    ids, keys = rows["ids"].combine_chunks(), queries["query"].to_pylist()
-    for a in range(0, len(q), chunk := max(1, (1 << 20) // max(1, len(v)))):
-        d = np.zeros((len(q[a : a + chunk]), len(v)))
-        for dim in range(size if len(v) else 0):
-            d += (q[a : a + chunk, dim, None] - v[:, dim]) ** 2
+    first, ids = rows["first"].to_numpy(), rows["ids"].combine_chunks()
+    lists, member = _by_list(rows)
+    read, reader = _by_list(queries)
+    copies = np.bincount(member, minlength=1).max()
+    norms, own = (v**2).sum(1), (q**2).sum(1)
+    slack = 64 * (size + 8) * np.finfo(np.float64).eps * (own + norms.max(initial=0)) + np.finfo(np.float64).tiny  # rounding of a product
+    bound = np.full(len(q), np.inf)
+    none = np.zeros(0, np.int64)
+
+    def best(pairs: list[np.ndarray], far: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs (query times len(v) plus row) and their rough squared distances each query's k nearest, nearest first, and exact distances."""
+        pair, rough = np.concatenate([none, *pairs]), np.concatenate([np.zeros(0), *far])
+        for again in (copies, 1):  # first a row may count once for each of its lists
+            asked = pair // max(len(v), 1)
+            bound[:] = np.minimum(bound, _bounds(asked, rough, len(q), (k - 1) * again + 1) + slack)
+            near = ~(rough > bound[asked])
+            pair, at = np.unique(pair[near], return_index=True)
+            rough = rough[near][at]
+        asked, row = np.divmod(pair, max(len(v), 1))
+        d = np.zeros(len(pair))
+        for dim in range(size):
+            d += (q[asked, dim] - v[row, dim]) ** 2
         d = np.sqrt(d)
-        worst = np.partition(d, k - 1, 1)[:, k - 1] if len(v) > k else np.full(len(d), np.inf)
-        for key, row, most in zip(keys[a : a + chunk], d, worst, strict=True):
-            near = np.flatnonzero(row <= most)
-            near = near[np.lexsort((first[near], row[near]))][:k]
-            out += [(key, ids[int(i)].as_py(), float(row[i])) for i in near]
-    columns = list(zip(*out, strict=True)) or [[], [], []]
-    return pa.table({"query": pa.array(columns[0], pa.int64()), "ids": pa.array(columns[1], pa.list_(pa.int64())), "score": pa.array(columns[2], pa.float64())})
+        order = np.lexsort((first[row], d, asked))
+        asked = asked[order]
+        order = order[np.arange(len(order)) - np.searchsorted(asked, asked) < k]
+        return pair[order], d[order]
+
+    pairs, far, held = [], [], 0
+    for at in np.intersect1d(lists, read):
+        own_rows = member[slice(*np.searchsorted(lists, [at, at + 1]))]
+        readers = reader[slice(*np.searchsorted(read, [at, at + 1]))]
+        theirs, their_norms = -2 * v[own_rows].T, norms[own_rows]
+        for a in range(0, len(readers), chunk := max(1, CELLS // len(own_rows))):
+            asked = readers[a : a + chunk]
+            d = q[asked] @ theirs
+            d += their_norms  # less the query's own norm
+            new = np.flatnonzero(np.isinf(bound[asked])) if len(own_rows) >= k else none
+            if len(new):
+                kth = np.partition(d[new], k - 1, 1)[:, k - 1] + own[asked[new]]
+                bound[asked[new]] = np.where(np.isnan(kth), np.inf, kth + slack[asked[new]])
+            near = np.flatnonzero(~(d > (bound - own)[asked, None]))
+            i, j = np.divmod(near, len(own_rows))
+            pairs.append(asked[i] * len(v) + own_rows[j])
+            far.append(d.ravel()[near] + own[asked[i]])
+            held += len(near)
+            if held > PAIRS:
+                pair, exact = best(pairs, far)
+                pairs, far, held = [pair], [exact**2], 0
+    pair, exact = best(pairs, far)
+    asked, row = np.divmod(pair, max(len(v), 1))
+    return pa.table({"query": queries["query"].combine_chunks().take(pa.array(asked)), "ids": ids.take(pa.array(row)), "score": pa.array(exact)})
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
@@ -167,20 +248,21 @@ def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
 
 
 def _hits(entries: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame:
-    """query, vec_id, score: candidates of each query, its k nearest among them. Both sides have ``lists``."""
-    rows, asked = (x.withColumn("list", F.explode("lists")).drop("lists") for x in (entries, queries))
-    share = lambda n: F.ceil(F.col(n) / BLOCK)
-    many = rows.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
-    many = F.broadcast(many.select("list", share("n").alias("blocks"), share("m").alias("parts")))  # at most MOST_CENTROIDS rows
+    """query, vec_id, score: candidates of each query, its k nearest among them. Both sides have ``ranges``."""
+    rows, asked = (x.withColumn("r", F.explode("ranges")).select("*", "r.range", "r.lists").drop("ranges", "r") for x in (entries, queries))
+    most = max(1, min(BLOCK, BLOCK_VALUES // max(size, 1)))
+    share = lambda n: F.ceil(F.col(n) / most)
+    many = rows.groupBy("range").agg(F.count("*").alias("n")).join(asked.groupBy("range").agg(F.count("*").alias("m")), "range")
+    many = F.broadcast(many.select("range", share("n").alias("blocks"), share("m").alias("parts")))  # at most RANGES rows
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = rows.join(many, "list").withColumn("block", F.pmod(F.xxhash64("first"), "blocks")).withColumn("part", each("parts"))
-    asked = asked.join(many, "list").withColumn("part", F.pmod(F.xxhash64("query"), "parts")).withColumn("block", each("blocks"))
-    by = ["list", "block", "part"]
-    near = rows.select(*by, "first", "ids", "vector").groupBy(*by).cogroup(asked.select(*by, "query", "vector").groupBy(*by))
+    rows = rows.join(many, "range").withColumn("block", F.pmod(F.xxhash64("first"), "blocks")).withColumn("part", each("parts"))
+    asked = asked.join(many, "range").withColumn("part", F.pmod(F.xxhash64("query"), "parts")).withColumn("block", each("blocks"))
+    by = ["range", "block", "part"]
+    near = rows.select(*by, "first", "ids", "vector", "lists").groupBy(*by).cogroup(asked.select(*by, "query", "vector", "lists").groupBy(*by))
     found = near.applyInArrow(lambda r, q: _nearest(r, q, size, k), "query long, ids array<long>, score double")
-    found = found.select("query", F.explode("ids").alias("vec_id"), "score").distinct()
-    w = Window.partitionBy("query").orderBy("score", "vec_id")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    found = found.select("query", F.explode("ids").alias("vec_id"), "score")
+    w = Window.partitionBy("query").orderBy("score", "vec_id")  # a vector found in several ranges takes one place
+    return found.withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= k).distinct()
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -195,21 +277,23 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id
     graph = sc.broadcast(fit(sample, int(min(MOST_CENTROIDS, max(1, n // LIST_VECTORS), max(1, len(sample) // 8)))))
 
     def listed(df: DataFrame, schema: str, *how: float) -> DataFrame:
-        return df.mapInArrow(lambda batches: _listed(batches, graph.value, *how), f"{schema}, lists array<long>")
+        return df.mapInArrow(lambda batches: _listed(batches, graph.value, *how), f"{schema}, ranges array<struct<range: int, lists: array<int>>>")
 
     kind = v.schema["vector"].dataType.simpleString()
-    same = Window.partitionBy("vector").orderBy("vec_id")
-    least = v.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
-    entries = least.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("first"), "ids", "vector")
+    same = Window.partitionBy("hash", "vector").orderBy("vec_id")  # sorted by the hash, which costs less
+    least = v.withColumn("hash", F.xxhash64("vector")).withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
+    entries = least.withColumn("ids", F.collect_list("vec_id").over(same.rowsBetween(0, k))).where("place = 1").select(F.col("vec_id").alias("first"), "ids", "vector")
     entries = cut(listed(entries, f"first long, ids array<long>, vector {kind}", BOUNDARY, 1, COPIES))
     asking = v.where(F.col("vec_id") % every == 0)
-    distinct = cut(asking.groupBy("vector").agg(F.min("vec_id").alias("query")).select("query", "vector"))
-    found = cut(_hits(entries, listed(distinct, f"query long, vector {kind}", PRUNE, LEAST_LISTS, max(MOST_LISTS, len(graph.value.centroids) // MOST_SHARE)), size, k + 1))
+    distinct = asking.groupBy("vector").agg(F.min("vec_id").alias("query")).select("query", "vector")
+    distinct = cut(distinct.repartition(min(RANGES, 1 + n // (RANGES * every))))  # few bytes, but work for more than one task
+    asked = f"query long, vector {kind}"
+    most = max(MOST_LISTS, len(graph.value.centroids) // MOST_SHARE)
+    found = cut(_hits(entries, cut(listed(distinct, asked, PRUNE, LEAST_LISTS, most)), size, k + 1))
     enough = found.groupBy("query").count().where(F.col("count") >= min(k + 1, n))
     short = distinct.join(enough, "query", "left_anti")
     if not short.isEmpty():
-        everything = F.array(*[F.lit(i).cast("long") for i in range(len(graph.value.centroids))])
-        found = found.join(enough, "query", "left_semi").unionByName(_hits(entries, short.withColumn("lists", everything), size, k + 1))
+        found = found.join(enough, "query", "left_semi").unionByName(_hits(entries, listed(short, asked), size, k + 1))
     near = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # k + 1 at most
     whose = asking.join(distinct, "vector").select(F.col("vec_id").alias("query_id"), "query").join(near, "query")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -214,3 +216,46 @@ def test_heap_merge_equals_sums(lists, k):
         sums.update(x)
     expected = sorted(((s, -d) for d, s in sums.items()), reverse=True)[:k]
     assert sorted(lexical.best_of_shard(made, k, lexical._floor(made, tops)), reverse=True) == expected
+
+
+def test_wide_beams_measure_all_centroids_at_once():
+    points = np.random.Generator(np.random.PCG64(2)).normal(size=(12_000, 8))
+    graph = vectors.fit(points, 1500)
+    began = time.process_time()
+    ids, far = vectors.walk(graph, points[:512], 750)
+    assert time.process_time() - began < 10  # by the graph: over 20 s
+    true = np.sqrt(((points[:512, None] - graph.centroids) ** 2).sum(2))
+    assert np.allclose(np.sort(true, 1)[:, :750], far) and np.allclose(np.take_along_axis(true, ids, 1), far)
+
+
+def test_a_query_is_sent_once_for_each_range(monkeypatch):
+    points = np.random.Generator(np.random.PCG64(3)).normal(size=(3000, 8))
+    graph = vectors.fit(points, 300)
+    batch = pa.record_batch({"query": pa.array(range(700)), "vector": pa.array(points[:700].tolist(), pa.list_(pa.float64()))})
+    for how in ((100.0, 8, 75), ()):
+        rows = [r for b in vectors._listed([batch], graph, *how) for r in b.to_pylist()]
+        assert [r["query"] for r in rows] == list(range(700))
+        for r in rows:
+            assert 0 < len({x["range"] for x in r["ranges"]}) == len(r["ranges"]) <= vectors.RANGES
+            read = [at for x in r["ranges"] for at in x["lists"]]
+            near = np.argsort(((points[r["query"]] - graph.centroids) ** 2).sum(1), kind="stable")[: how[2] if how else 300]
+            assert sorted(read) == sorted(near.tolist())
+
+
+def test_nearest_of_a_range_equals_plain(monkeypatch):
+    """Rows in several lists, ties, lists of fewer than k, numbers that a product rounds off or can't hold, pairs compared in many parts."""
+    rng = random.Random(4)
+    for cells, pairs, shift, scale in ((1 << 17, 1 << 21, 0.0, 1.0), (40, 60, 0.0, 1.0), (40, 60, 1e7, 1.0), (64, 200, 0.0, 1e-170), (64, 200, 0.0, 1e160)):
+        monkeypatch.setattr(vectors, "CELLS", cells)
+        monkeypatch.setattr(vectors, "PAIRS", pairs)
+        made = lambda n, m: [([shift + scale * rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)], rng.sample(range(9), rng.randint(1, m))) for _ in range(n)]  # noqa: B023, E731
+        rows, asked = made(150, 4), made(40, 9)
+        columns = lambda made, name, keys: {name: pa.array(keys), "vector": pa.array([v for v, _ in made]), "lists": pa.array([x for _, x in made], pa.list_(pa.int32()))}
+        keys = rng.sample(range(1000), 150)
+        table_of = pa.table(columns(rows, "first", keys) | {"ids": pa.array([[k] for k in keys], pa.list_(pa.int64()))})
+        got = defaultdict(list)
+        for r in vectors._nearest(table_of, pa.table(columns(asked, "query", list(range(40)))), 3, 7).to_pylist():
+            got[r["query"]].append((r["score"], *r["ids"]))
+        for i, (v, lists) in enumerate(asked):
+            far = sorted((math.sqrt(sum((b - a) * (b - a) for a, b in zip(v, w, strict=True))), k) for k, (w, own) in zip(keys, rows, strict=True) if set(own) & set(lists))
+            assert got[i] == far[:7]
