@@ -233,18 +233,19 @@ def _nearest(rows: pa.Table, queries: pa.Table, size: int, k: int) -> pa.Table:
     return pa.table({"query": queries["query"].combine_chunks().take(pa.array(asked)), "ids": ids.take(pa.array(row)), "score": pa.array(exact)})
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """(vec_id, vector) of the rows that take part, and the length of their vectors."""
+def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, int]:
+    """(vec_id, vector) of the rows that take part, the length of their vectors and how many they are."""
     v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).where("vec_id IS NOT NULL")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = v.where(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    size = v.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
-    v = v.where(F.size("vector") == (size["n"] if size else 0))
+    size, n = v.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first() or (0, 0)
+    v = v.where(F.size("vector") == size)
     again = v.groupBy("vec_id").count().where("count > 1").select("vec_id")
     if again.isEmpty():
-        return v, size["n"] if size else 0
+        return v, size, n
     again = cut(again)
-    return v.join(again, "vec_id", "left_anti").union(v.join(again, "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector"))), size["n"]
+    v = cut(v.join(again, "vec_id", "left_anti").union(v.join(again, "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector"))))
+    return v, size, v.count()
 
 
 def _hits(entries: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame:
@@ -268,9 +269,7 @@ def _hits(entries: DataFrame, queries: DataFrame, size: int, k: int) -> DataFram
 def search(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row whose key is divisible by ``every``."""
     sc = vectors.sparkSession.sparkContext
-    v, size = usable(vectors, key, vector)
-    v = cut(v)
-    n = v.count()
+    v, size, n = usable(vectors, key, vector)
     modulus = 1 << 40
     drawn = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(modulus)) < int(min(1, SAMPLE / max(n, 1)) * modulus)).select("vector").toArrow()
     sample = _matrix(drawn["vector"].combine_chunks(), size) if size else np.zeros((0, 0))
@@ -284,7 +283,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id
     least = v.withColumn("hash", F.xxhash64("vector")).withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
     entries = least.withColumn("ids", F.collect_list("vec_id").over(same.rowsBetween(0, k))).where("place = 1").select(F.col("vec_id").alias("first"), "ids", "vector")
     entries = cut(listed(entries, f"first long, ids array<long>, vector {kind}", BOUNDARY, 1, COPIES))
-    asking = v.where(F.col("vec_id") % every == 0)
+    asking = cut(v.where(F.col("vec_id") % every == 0))
     distinct = asking.groupBy("vector").agg(F.min("vec_id").alias("query")).select("query", "vector")
     distinct = cut(distinct.repartition(min(RANGES, 1 + n // (RANGES * every))))  # few bytes, but work for more than one task
     asked = f"query long, vector {kind}"
